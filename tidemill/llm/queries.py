@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemill.llm import op10_chat
+from tidemill.llm import op1_minhash, op10_chat
 
 QUERIES = {
+    "op1_minhash": op1_minhash.op1_minhash,
     "op10_chat": op10_chat.op10_chat,
 }
 ORACLES = {
