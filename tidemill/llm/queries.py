@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemill.llm import op1_minhash, op5_pack, op10_chat
+from tidemill.llm import op1_minhash, op2_langid, op5_pack, op10_chat
 
 QUERIES = {
     "op1_minhash": op1_minhash.op1_minhash,
+    "op2_langid": op2_langid.op2_langid,
     "op5_pack": op5_pack.op5_pack,
     "op10_chat": op10_chat.op10_chat,
 }
