@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 _own: dict[str, str] = {}
 
@@ -34,42 +35,56 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Kept:
+    """Cached intermediate tables, which lost executors rebuild from their lineage; all let go at once."""
+
+    def __init__(self) -> None:
+        self.frames: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.frames.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    def drop(self) -> None:
+        for df in self.frames:
+            df.unpersist()
+        self.frames.clear()
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a long, b long): one row (node, component) per linked node, component being the smallest node reached.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014), each a grouped minimum and a join, until
-    every edge joins a node to the minimum of its component. A path of d links takes about log(d) rounds.
+    every edge joins a node to the minimum of its component. A path of d links takes about log(d) rounds. Rounds are
+    cached; the last is written to the shared folder.
     """
-    edges = stash(
+    edges = (
         links.filter("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct(),
-        "edges",
+        .distinct()
     )
-    last = None
+    kept = Kept()
+    edges = kept(edges)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: each larger neighbour of u, and no other, moves to u's minimum
-        large = (
-            both.join(least, "u")
-            .filter("v > u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .distinct()
-        )
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: the smaller neighbours of u, and u, move to u's minimum
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(
-            F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
-        ).select("e.u", "e.v").filter("u <> v").distinct()
-        edges = stash(small, "edges")
-        state = edges.agg(
-            F.count("*").alias("n"),
-            F.count_distinct("u").alias("d"),
-            F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-        ).first()
-        if last == state and state["n"] == state["d"]:
+        small = (
+            large.join(low, "u")
+            .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+            .select("e.u", "e.v")
+            .filter("u <> v")
+            .distinct()
+        )
+        edges = kept(small)
+        # done when each node has one edge and it leads to a root
+        marks = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("root")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if marks.groupBy("x").agg(F.sum("out").alias("out"), F.max("root").alias("root")).filter("out > 1 OR (out > 0 AND root > 0)").isEmpty():
             break
-        last = state
-    roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    done = stash(edges, "components")
+    kept.drop()
+    roots = done.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
+    return done.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import components, stash, table
+from tidemill.llm.common import Kept, components, stash, table
 from tidemill.llm.words import chunks, mix, words
 
 TREES, MIN_DEPTH, DEPTH, NEAR, SKETCH = 28, 6, 8, 6, 128
@@ -156,7 +156,12 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def _rest(dense: DataFrame, labels: DataFrame, comps: DataFrame, sets_of, percent: int, min_depth: int) -> DataFrame:
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The stars of comps and new links, as links."""
+    return comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
+
+
+def _rest(dense: DataFrame, labels: DataFrame, comps: DataFrame, sets_of, kept: Kept, percent: int, min_depth: int) -> DataFrame:
     """Exact links between different components of a region that is denser than its texts' neighbours reach.
 
     Texts of such regions, where they hold more than one component, are joined on prefixes: if two sets meet the
@@ -164,9 +169,9 @@ def _rest(dense: DataFrame, labels: DataFrame, comps: DataFrame, sets_of, percen
     """
     regions = dense.select("tree", "head").distinct()
     inside = labels.withColumn("head", F.substring("label", 1, 4 * min_depth)).join(regions, ["tree", "head"]).select("tree", "head", "doc_id")
-    inside = inside.join(comps, inside["doc_id"] == comps["node"], "left").withColumn("c", F.coalesce("component", "doc_id"))
+    inside = kept(inside.join(comps, inside["doc_id"] == comps["node"], "left").withColumn("c", F.coalesce("component", "doc_id")))
     mixed = inside.groupBy("tree", "head").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("tree", "head")
-    texts = stash(inside.join(mixed, ["tree", "head"]).select("doc_id", "c").distinct(), "dense")
+    texts = inside.join(mixed, ["tree", "head"]).select("doc_id", "c").distinct()
     sets = sets_of(texts.select("doc_id"))
     grams = sets.select("doc_id", F.size("grams").alias("n"), F.explode("grams").alias("g"))
     often = grams.groupBy("g").agg(F.count("*").alias("often")).filter("often > 1")
@@ -192,9 +197,10 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 80, trees: int
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stash(slim.mapInArrow(_signed(width, trees, depth, seed), "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary, sketch binary"), "signed")
     full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stash(full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
+    kept = Kept()
+    classes = kept(full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")))
     heads = signed.join(classes.select("fp1", "fp2", F.col("rep").alias("doc_id")), ["doc_id", "fp1", "fp2"]).dropDuplicates(["doc_id", "fp1", "fp2"])
-    labels = stash(heads.select("doc_id", "sig", "sketch").mapInArrow(_labels(trees, depth), "tree int, label binary, doc_id long, sketch binary"), "labels")
+    labels = heads.select("doc_id", "sig", "sketch").mapInArrow(_labels(trees, depth), "tree int, label binary, doc_id long, sketch binary")
     # at the least similarity, sketch bits agree with probability (1 + percent/100) / 2; five deviations below are let through
     p = (1 + percent / 100) / 2
     floor = int(SKETCH * p - 5 * (SKETCH * p * (1 - p)) ** 0.5)
@@ -202,7 +208,7 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 80, trees: int
         labels.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label", "doc_id").mapInArrow(_neighbours(min_depth, near, floor), "a long, b long, same int, dense boolean, tree int, head binary"),
         "met",
     )
-    pairs = stash(met.filter("NOT dense AND a < b").groupBy("a", "b").agg(F.max("same").alias("same")), "pairs")
+    pairs = kept(met.filter("NOT dense AND a < b").groupBy("a", "b").agg(F.max("same").alias("same")))
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """Full sets of the class heads in ids."""
@@ -213,14 +219,18 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 80, trees: int
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     # first each text with its likeliest smaller partner, then what is still apart
     likely = pairs.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a"))
-    links = stash(_confirmed(likely, sets, percent), "links")
+    links = kept(_confirmed(likely, sets, percent))
     comps = components(links)
-    links = stash(links.union(_confirmed(stash(_apart(pairs, comps), "apart"), sets, percent)), "links")
-    comps = stash(components(links), "comps")
+    more = kept(_confirmed(_apart(pairs, comps), sets, percent))
+    if not more.isEmpty():
+        comps = components(_merged(comps, more))
     dense = met.filter("dense")
     if not dense.isEmpty():
-        links = stash(links.union(_rest(dense, labels, comps, sets_of, percent, min_depth)), "links")
-        comps = stash(components(links), "comps")
+        more = kept(_rest(dense, labels, comps, sets_of, kept, percent, min_depth))
+        if not more.isEmpty():
+            comps = components(_merged(comps, more))
+    classes = stash(classes, "classes")
+    kept.drop()
     heads_of = classes.join(comps, classes["rep"] == comps["node"], "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("head"))
     out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(heads_of, ["fp1", "fp2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("head")).otherwise(F.col("doc_id"))

@@ -11,11 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.llm.common import table
 from tidemill.llm.words import chunks
@@ -251,7 +251,7 @@ def identify_languages(docs: DataFrame, models: LanguageModels) -> DataFrame:
                 lang, score = shared.value.predict(text[lo:hi].cast(pa.large_string()).fill_null(""))
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns), pa.array(lang, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
