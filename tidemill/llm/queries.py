@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from tidemill.llm import op1_minhash, op2_langid, op5_pack, op10_chat
+from tidemill.llm import op1_minhash, op2_langid, op3_urls, op5_pack, op7_mix, op10_chat
 
 QUERIES = {
     "op1_minhash": op1_minhash.op1_minhash,
     "op2_langid": op2_langid.op2_langid,
+    "op3_urls": op3_urls.op3_urls,
     "op5_pack": op5_pack.op5_pack,
+    "op7_mix": op7_mix.op7_mix,
     "op10_chat": op10_chat.op10_chat,
 }
 ORACLES = {
+    "op3_urls": op3_urls.ORACLE_SQL,
+    "op7_mix": op7_mix.ORACLE_SQL,
     "op10_chat": op10_chat.ORACLE_SQL,
 }
