@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import Kept, table
 
-BLOCK_TOKENS, BUCKET_ROWS, SEED = 1 << 20, 50_000, 17
+BLOCK_TOKENS, BUCKET_ROWS, SEED = 1 << 20, 4_000, 17
 
 
 def token_count() -> Column:
