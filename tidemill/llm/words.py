@@ -59,17 +59,22 @@ def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
         at = to
 
 
-def runs(starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Hash of each byte run [start, end)."""
-    up, down = _powers.upto(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:], dtype=np.uint64)
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+class Line:
+    """The bytes of many texts with hashes of any of their runs."""
 
+    def __init__(self, data: np.ndarray) -> None:
+        up, self.down = _powers.upto(len(data) + 1)
+        self.sums = np.empty(len(data) + 1, np.uint64)
+        self.sums[0] = 0
+        np.cumsum(_BYTE[data] * up[: len(data)], out=self.sums[1:], dtype=np.uint64)
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs of bytes that are no ASCII white space, A-Z lower-cased) and where each text's begin (one more than texts)."""
+    def runs(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of each byte run [start, end)."""
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+
+def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of bytes that are no ASCII white space), and where each text's begin (one more than texts)."""
     word = ~SPACE[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
@@ -78,4 +83,10 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     first[inner] = word[inner]
     last[inner - 1] = word[inner - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return runs(starts, ends, LOWER[data] if lower else data), np.searchsorted(starts, offsets)
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, A-Z lower-cased, and where each text's begin."""
+    starts, ends, at = bounds(data, offsets)
+    return Line(LOWER[data] if lower else data).runs(starts, ends), at
