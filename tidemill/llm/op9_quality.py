@@ -156,10 +156,10 @@ class QualityNet:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_quality(labelled: DataFrame, label: str = "quality", sample: int = SAMPLE, epochs: int = EPOCHS) -> QualityNet:
-    """labelled: text, lang (for an even sample only) and the label. Every fourth sampled text calibrates."""
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, epochs: int = EPOCHS) -> QualityNet:
+    """docs: doc_id, text, lang (for an even sample only); labels: doc_id and the label. Every fourth sampled text calibrates."""
     model = QualityNet()
-    rows = sampled(labelled, label, sample)
+    rows = sampled(docs, labels, label, sample)
     if not rows:
         return model
     made = []
@@ -182,8 +182,7 @@ def fit_quality(labelled: DataFrame, label: str = "quality", sample: int = SAMPL
 
 
 def trained(spark: SparkSession, sf_dir: str) -> QualityNet:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return fit_quality(docs.select("doc_id", "text", "lang").join(labels.filter(remainder("doc_id", 5) != 0).select("doc_id", "quality"), "doc_id"))
+    return fit_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(remainder("doc_id", 5) != 0))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
