@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+ROWS_A_FILE = 500_000
+
 _own: dict[str, str] = {}
 
 
@@ -55,16 +57,18 @@ def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a long, b long): one row (node, component) per linked node, component being the smallest node reached.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014), each a grouped minimum and a join, until
-    every edge joins a node to the minimum of its component. A path of d links takes about log(d) rounds. Rounds are
-    cached; the last is written to the shared folder.
+    every edge joins a node to the minimum of its component. A path of d links takes about log(d) rounds, each of
+    which is written to the shared folder, as the plan would otherwise grow from round to round.
     """
-    edges = (
+    kept = Kept()
+    first = kept(
         links.filter("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    kept = Kept()
-    edges = kept(edges)
+    # rounds are written in as few files as their rows need
+    parts = 1 + first.count() // ROWS_A_FILE
+    edges = first
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -79,12 +83,12 @@ def components(links: DataFrame) -> DataFrame:
             .filter("u <> v")
             .distinct()
         )
-        edges = kept(small)
+        edges = stash(small.coalesce(parts), "components")
         # done when each node has one edge and it leads to a root
         marks = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("root")).union(edges.select("v", F.lit(0), F.lit(1)))
         if marks.groupBy("x").agg(F.sum("out").alias("out"), F.max("root").alias("root")).filter("out > 1 OR (out > 0 AND root > 0)").isEmpty():
             break
-    done = stash(edges, "components")
     kept.drop()
+    done = edges
     roots = done.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return done.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

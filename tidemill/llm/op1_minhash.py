@@ -198,7 +198,7 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 80, trees: int
     signed = stash(slim.mapInArrow(_signed(width, trees, depth, seed), "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary, sketch binary"), "signed")
     full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     kept = Kept()
-    classes = kept(full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")))
+    classes = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
     heads = signed.join(classes.select("fp1", "fp2", F.col("rep").alias("doc_id")), ["doc_id", "fp1", "fp2"]).dropDuplicates(["doc_id", "fp1", "fp2"])
     labels = heads.select("doc_id", "sig", "sketch").mapInArrow(_labels(trees, depth), "tree int, label binary, doc_id long, sketch binary")
     # at the least similarity, sketch bits agree with probability (1 + percent/100) / 2; five deviations below are let through
@@ -214,7 +214,7 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 80, trees: int
         """Full sets of the class heads in ids."""
         texts = slim.join(ids.distinct(), "doc_id")
         found = texts.mapInArrow(_sets(width), "doc_id long, fp1 long, grams array<long>")
-        return stash(found.join(heads.select("doc_id", "fp1"), ["doc_id", "fp1"]).dropDuplicates(["doc_id"]).drop("fp1"), "sets")
+        return kept(found.join(heads.select("doc_id", "fp1"), ["doc_id", "fp1"]).dropDuplicates(["doc_id"]).drop("fp1"))
 
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     # first each text with its likeliest smaller partner, then what is still apart
@@ -229,7 +229,6 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 80, trees: int
         more = kept(_rest(dense, labels, comps, sets_of, kept, percent, min_depth))
         if not more.isEmpty():
             comps = components(_merged(comps, more))
-    classes = stash(classes, "classes")
     kept.drop()
     heads_of = classes.join(comps, classes["rep"] == comps["node"], "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("head"))
     out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(heads_of, ["fp1", "fp2"], "left")
