@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Kept, components, stash, table
+from tidemill.llm.common import ROWS_A_FILE, components, stash, table
 from tidemill.llm.words import chunks, mix, words
 
 TREES, MIN_DEPTH, DEPTH, NEAR, SKETCH = 28, 6, 8, 6, 128
@@ -138,16 +138,16 @@ def _sets(width: int):
             for lo, hi, data, offsets in chunks(batch.column("text")):
                 values, at = shingles(data, offsets, width)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array(_digest(values, at)[0]), lists], ["doc_id", "fp1", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], lists], ["doc_id", "grams"])
 
     return run
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union; where a doc_id has several texts, those of any."""
     left, right = (sets.select(F.col("doc_id").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
     both = F.size(F.array_intersect("ga", "gb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("ga") + F.size("gb") - both)).select("a", "b")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("ga") + F.size("gb") - both)).select("a", "b").distinct()
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     return comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
 
 
-def _rest(dense: DataFrame, labels: DataFrame, comps: DataFrame, sets_of, kept: Kept, percent: int, min_depth: int) -> DataFrame:
+def _rest(dense: DataFrame, labels: DataFrame, comps: DataFrame, sets_of, percent: int, min_depth: int) -> DataFrame:
     """Exact links between different components of a region that is denser than its texts' neighbours reach.
 
     Texts of such regions, where they hold more than one component, are joined on prefixes: if two sets meet the
@@ -169,7 +169,7 @@ def _rest(dense: DataFrame, labels: DataFrame, comps: DataFrame, sets_of, kept:
     """
     regions = dense.select("tree", "head").distinct()
     inside = labels.withColumn("head", F.substring("label", 1, 4 * min_depth)).join(regions, ["tree", "head"]).select("tree", "head", "doc_id")
-    inside = kept(inside.join(comps, inside["doc_id"] == comps["node"], "left").withColumn("c", F.coalesce("component", "doc_id")))
+    inside = stash(inside.join(comps, inside["doc_id"] == comps["node"], "left").select("tree", "head", "doc_id", F.coalesce("component", "doc_id").alias("c")), "dense")
     mixed = inside.groupBy("tree", "head").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("tree", "head")
     texts = inside.join(mixed, ["tree", "head"]).select("doc_id", "c").distinct()
     sets = sets_of(texts.select("doc_id"))
@@ -191,15 +191,20 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 80, trees: int
     width words, or the whole sequence if that is shorter. Documents are linked where percent per cent of the union
     of their sets is shared. Returns one row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id
     reachable by links), kept (doc_id = component_id). Texts that are null, empty or without words have no shingles
-    and link with nothing. Rows that repeat a doc_id count as one node, and each comes back. A row with null doc_id
+    and link with nothing. Rows that repeat a doc_id are classed by their own texts, and each comes back. A row with null doc_id
     keeps a null component_id, links with nothing and is kept. An empty table gives an empty table.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stash(slim.mapInArrow(_signed(width, trees, depth, seed), "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary, sketch binary"), "signed")
+    parts = 1 + signed.count() // ROWS_A_FILE
     full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    kept = Kept()
     classes = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    heads = signed.join(classes.select("fp1", "fp2", F.col("rep").alias("doc_id")), ["doc_id", "fp1", "fp2"]).dropDuplicates(["doc_id", "fp1", "fp2"])
+    # of equal texts, only that of the smallest doc_id goes on; most texts are alone, so the others are what is joined
+    copies = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
+    again = full.join(copies, ["fp1", "fp2"]).filter("doc_id <> rep").select("doc_id", "fp1", "fp2").distinct()
+    heads = full.join(again, ["doc_id", "fp1", "fp2"], "left_anti")
+    if not full.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        heads = heads.dropDuplicates(["doc_id", "fp1", "fp2"])
     labels = heads.select("doc_id", "sig", "sketch").mapInArrow(_labels(trees, depth), "tree int, label binary, doc_id long, sketch binary")
     # at the least similarity, sketch bits agree with probability (1 + percent/100) / 2; five deviations below are let through
     p = (1 + percent / 100) / 2
@@ -208,28 +213,25 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 80, trees: int
         labels.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label", "doc_id").mapInArrow(_neighbours(min_depth, near, floor), "a long, b long, same int, dense boolean, tree int, head binary"),
         "met",
     )
-    pairs = kept(met.filter("NOT dense AND a < b").groupBy("a", "b").agg(F.max("same").alias("same")))
+    pairs = met.filter("NOT dense AND a < b").groupBy("a", "b").agg(F.max("same").alias("same"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        """Full sets of the class heads in ids."""
-        texts = slim.join(ids.distinct(), "doc_id")
-        found = texts.mapInArrow(_sets(width), "doc_id long, fp1 long, grams array<long>")
-        return kept(found.join(heads.select("doc_id", "fp1"), ["doc_id", "fp1"]).dropDuplicates(["doc_id"]).drop("fp1"))
+        """Full sets of the texts of ids."""
+        texts = slim.join(ids.distinct(), "doc_id").dropDuplicates(["doc_id", "text"])
+        return stash(texts.mapInArrow(_sets(width), "doc_id long, grams array<long>"), "sets")
 
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     # first each text with its likeliest smaller partner, then what is still apart
     likely = pairs.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a"))
-    links = kept(_confirmed(likely, sets, percent))
-    comps = components(links)
-    more = kept(_confirmed(_apart(pairs, comps), sets, percent))
+    comps = components(_confirmed(likely, sets, percent))
+    more = stash(_confirmed(_apart(pairs, comps), sets, percent).repartition(parts), "links")
     if not more.isEmpty():
         comps = components(_merged(comps, more))
     dense = met.filter("dense")
     if not dense.isEmpty():
-        more = kept(_rest(dense, labels, comps, sets_of, kept, percent, min_depth))
+        more = stash(_rest(dense, labels, comps, sets_of, percent, min_depth).repartition(parts), "links")
         if not more.isEmpty():
             comps = components(_merged(comps, more))
-    kept.drop()
     heads_of = classes.join(comps, classes["rep"] == comps["node"], "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("head"))
     out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(heads_of, ["fp1", "fp2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("head")).otherwise(F.col("doc_id"))
