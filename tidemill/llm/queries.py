@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import op1_minhash, op2_langid, op3_urls, op4_collide, op5_pack, op7_mix, op8_toxicity, op9_quality, op10_chat
+from tidemill.llm import op1_minhash, op2_langid, op3_urls, op4_collide, op5_pack, op6_search, op7_mix, op8_toxicity, op9_quality, op10_chat
 
 QUERIES = {
     "op1_minhash": op1_minhash.op1_minhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_urls": op3_urls.op3_urls,
     "op4_collide": op4_collide.op4_collide,
     "op5_pack": op5_pack.op5_pack,
+    "op6_search": op6_search.op6_search,
     "op7_mix": op7_mix.op7_mix,
     "op8_toxicity": op8_toxicity.op8_toxicity,
     "op9_quality": op9_quality.op9_quality,
