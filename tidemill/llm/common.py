@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python in batches of so many rows at most, unless the session asks for fewer: whole texts may be long, and both sides hold a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a folder of this machine only where that is unset, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)

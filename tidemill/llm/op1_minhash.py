@@ -13,15 +13,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import ROWS_A_FILE, components, stash, table
-from tidemill.llm.words import chunks, mix, words
+from tidemill.llm.common import ROWS_A_FILE, components, stash, table, text_batches
+from tidemill.llm.words import chunks, mix, tidy, words
 
 TREES, MIN_DEPTH, DEPTH, NEAR, SKETCH = 28, 6, 8, 6, 128
 SEED = 77
+#: Texts of a block in which dense regions are settled.
+BLOCK = 256
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,6 +53,7 @@ def _digest(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _signed(width: int, trees: int, depth: int, seed: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = trees * depth
         rng = np.random.default_rng(seed)
@@ -81,23 +85,26 @@ def _signed(width: int, trees: int, depth: int, seed: int):
 
 
 def _labels(trees: int, depth: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(part.num_rows, trees, 4 * depth)
+                bits = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.int64).reshape(-1, 2)
                 for t in range(trees):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(part.num_rows, t, np.int32)), pa.array([x.tobytes() for x in sig[:, t]], pa.binary()), part.column("doc_id"), part.column("sketch")],
-                        ["tree", "label", "doc_id", "sketch"],
+                        [pa.array(np.full(part.num_rows, t, np.int32)), pa.array([x.tobytes() for x in sig[:, t]], pa.binary()), part.column("doc_id"), part.column("n_shingles"), pa.array(bits[:, 0]), pa.array(bits[:, 1])],
+                        ["tree", "label", "doc_id", "n", "s1", "s2"],
                     )
 
     return run
 
 
-def _neighbours(min_depth: int, near: int, floor: int):
-    """Over labels in order: pairs of near neighbours that share min_depth values and whose sketches agree in floor bits; dense marks the pairs of a region that reaches beyond its texts' neighbours."""
+def _neighbours(min_depth: int, near: int, floor: int, percent: int):
+    """Over labels in order: pairs of near neighbours that share min_depth values, whose sizes allow percent, and whose sketches agree in floor bits; dense marks the pairs of a region that reaches beyond its texts' neighbours."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         for batch in batches:
@@ -106,7 +113,8 @@ def _neighbours(min_depth: int, near: int, floor: int):
             n = part.num_rows
             ids, tree = part.column("doc_id").to_numpy(), part.column("tree").to_numpy()
             label = np.frombuffer(b"".join(part.column("label").to_pylist()), np.uint8).reshape(n, -1)
-            sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint64).reshape(n, -1)
+            sketch = np.stack([part.column("s1").to_numpy(), part.column("s2").to_numpy()], 1).view(np.uint64)
+            size = part.column("n").to_numpy()
             head = np.ascontiguousarray(label[:, : 4 * min_depth])
             # in order, so texts share the least prefix exactly if no text between them begins another
             new = np.ones(n, bool)
@@ -120,7 +128,8 @@ def _neighbours(min_depth: int, near: int, floor: int):
                     out.append((x, x + step, np.zeros(len(x), np.int32), np.full(len(x), True)))
                     continue
                 same = np.bitwise_count(~(sketch[x] ^ sketch[x + step])).sum(1).astype(np.int32)
-                good = same >= floor
+                small, large = np.minimum(size[x], size[x + step]), np.maximum(size[x], size[x + step])
+                good = (same >= floor) & (100 * small >= percent * large)
                 out.append((x[good], x[good] + step, same[good], np.full(good.sum(), False)))
             x, y, same, dense = (np.concatenate(v) for v in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays(
@@ -133,6 +142,7 @@ def _neighbours(min_depth: int, near: int, floor: int):
 
 
 def _sets(width: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column("text")):
@@ -161,27 +171,65 @@ def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     return comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
 
 
+def _met(percent: int):
+    """Links between different components within a pair of blocks (rows: doc_id, c, side, grams): of a text and a component, one."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        if (part["side"] < 2).any():
+            left, right = part[part["side"] == 0], part[part["side"] == 1]
+        else:
+            left = right = part  # a block with itself
+        empty = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        if not len(left) or not len(right):
+            return empty
+        size = np.array([len(g) for g in right["grams"]])
+        grams = np.concatenate(right["grams"].to_list())
+        order = np.argsort(grams, kind="stable")
+        grams, owner = grams[order], np.repeat(np.arange(len(right)), size)[order]
+        ids, comp = right["doc_id"].to_numpy(), right["c"].to_numpy()
+        out = []
+        for doc, c, own in zip(left["doc_id"], left["c"], left["grams"], strict=True):
+            low, high = np.searchsorted(grams, own, "left"), np.searchsorted(grams, own, "right")
+            n = high - low
+            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(right))
+            hit = np.flatnonzero((100 * both >= percent * (len(own) + size - both)) & (comp != c))
+            out += [(doc, ids[hit[k]]) for k in np.unique(comp[hit], return_index=True)[1]]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64") if out else empty
+
+    return run
+
+
 def _rest(dense: DataFrame, labels: DataFrame, comps: DataFrame, sets_of, percent: int, min_depth: int) -> DataFrame:
-    """Exact links between different components of a region that is denser than its texts' neighbours reach.
+    """Exact links (a, b) between different components of regions that are denser than their texts' neighbours reach.
 
-    Texts of such regions, where they hold more than one component, are joined on prefixes: if two sets meet the
-    percentage, their rarest (1 - percent/100) * size + 1 shingles have one in common. Shingles go by their count here, then hash.
+    Regions that hold more than one component, and share texts, make a cluster. Its texts are dealt to blocks, large
+    components by themselves, and every two blocks are compared on full sets, but for two of one component: a group of
+    near copies that is linked already is met only by what stands apart from it. Only links leave a pair of blocks.
     """
     regions = dense.select("tree", "head").distinct()
-    inside = labels.withColumn("head", F.substring("label", 1, 4 * min_depth)).join(regions, ["tree", "head"]).select("tree", "head", "doc_id")
-    inside = stash(inside.join(comps, inside["doc_id"] == comps["node"], "left").select("tree", "head", "doc_id", F.coalesce("component", "doc_id").alias("c")), "dense")
-    mixed = inside.groupBy("tree", "head").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("tree", "head")
-    texts = inside.join(mixed, ["tree", "head"]).select("doc_id", "c").distinct()
-    sets = sets_of(texts.select("doc_id"))
-    grams = sets.select("doc_id", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-    often = grams.groupBy("g").agg(F.count("*").alias("often")).filter("often > 1")
-    ranked = grams.join(often, "g").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "g"))).alias("shared"))
-    # shingles found once come first in the order and link nothing
-    keep = F.expr(f"n - ceil({percent} * n / 100.0) + 1 - (n - size(shared))")
-    prefix = ranked.withColumn("keep", keep).filter("keep > 0").select("doc_id", "n", F.explode(F.slice("shared", F.lit(1), F.col("keep").cast("int"))).alias("s")).select("doc_id", "n", F.col("s.g").alias("g")).join(texts, "doc_id")
-    x, y = (prefix.select("g", *(F.col(k).alias(f"{k}{s}") for k in ("doc_id", "n", "c"))) for s in "xy")
-    met = x.join(y, "g").filter(f"doc_idx < doc_idy AND cx <> cy AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-    return _confirmed(met.select(F.col("doc_idx").alias("a"), F.col("doc_idy").alias("b")).distinct(), sets, percent)
+    inside = labels.select("tree", F.substring("label", 1, 4 * min_depth).alias("head"), "doc_id").join(regions, ["tree", "head"])
+    inside = stash(inside.join(comps, inside["doc_id"] == comps["node"], "left").withColumn("c", F.coalesce("component", "doc_id")).select("tree", "head", "doc_id", "c"), "dense")
+    mixed = inside.groupBy("tree", "head").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("doc_id").alias("first")).filter("x < y").select("tree", "head", "first")
+    texts = inside.join(mixed, ["tree", "head"])
+    clusters = components(texts.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+    texts = texts.select("doc_id", "c").distinct().join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
+    sizes = texts.groupBy("cluster", "c").agg(F.count("*").alias("n"))
+    # components of a block or more have blocks of their own, named by the component; the others share blocks
+    small = sizes.filter(f"n < {BLOCK}").groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).alias("shared"))
+    dealt = texts.join(sizes, ["cluster", "c"]).join(small, "cluster", "left")
+    own = F.when(F.col("n") >= BLOCK, F.col("c"))
+    number = F.when(own.isNotNull(), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / F.lit(BLOCK)))).otherwise(F.pmod(F.xxhash64("c"), F.col("shared")))
+    dealt = stash(dealt.select("doc_id", "c", "cluster", F.coalesce(own, F.lit(-1)).alias("own"), number.alias("number")), "dealt")
+    blocks = dealt.select("cluster", "own", "number").distinct()
+    x, y = (blocks.select("cluster", F.col("own").alias(f"own_{s}"), F.col("number").alias(f"number_{s}")) for s in "xy")
+    pairs = x.join(y, "cluster").filter("struct(own_x, number_x) <= struct(own_y, number_y) AND (own_x = -1 OR own_x <> own_y)")
+    side = lambda s, k: pairs.select("cluster", F.col(f"own_{s}").alias("own"), F.col(f"number_{s}").alias("number"), F.struct("own_x", "number_x", "own_y", "number_y").alias("pair"), k.alias("side"))
+    itself = (F.col("own_x") == F.col("own_y")) & (F.col("number_x") == F.col("number_y"))
+    sides = side("x", F.when(itself, 2).otherwise(0)).union(side("y", F.when(itself, 3).otherwise(1))).filter("side < 3")
+    sets = sets_of(dealt.select("doc_id"))
+    held = dealt.join(sides, ["cluster", "own", "number"]).join(sets, "doc_id").select("cluster", "pair.*", "doc_id", "c", "side", "grams")
+    return held.groupBy("cluster", "own_x", "number_x", "own_y", "number_y").applyInPandas(_met(percent), "a long, b long")
 
 
 def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = TREES, min_depth: int = MIN_DEPTH, depth: int = DEPTH, near: int = NEAR, seed: int = SEED) -> DataFrame:
@@ -194,6 +242,7 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 80, trees: int
     and link with nothing. Rows that repeat a doc_id are classed by their own texts, and each comes back. A row with null doc_id
     keeps a null component_id, links with nothing and is kept. An empty table gives an empty table.
     """
+    text_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stash(slim.mapInArrow(_signed(width, trees, depth, seed), "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary, sketch binary"), "signed")
     parts = 1 + signed.count() // ROWS_A_FILE
@@ -205,12 +254,12 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 80, trees: int
     heads = full.join(again, ["doc_id", "fp1", "fp2"], "left_anti")
     if not full.groupBy("doc_id").count().filter("count > 1").isEmpty():
         heads = heads.dropDuplicates(["doc_id", "fp1", "fp2"])
-    labels = heads.select("doc_id", "sig", "sketch").mapInArrow(_labels(trees, depth), "tree int, label binary, doc_id long, sketch binary")
+    labels = heads.select("doc_id", "n_shingles", "sig", "sketch").mapInArrow(_labels(trees, depth), "tree int, label binary, doc_id long, n long, s1 long, s2 long")
     # at the least similarity, sketch bits agree with probability (1 + percent/100) / 2; five deviations below are let through
     p = (1 + percent / 100) / 2
     floor = int(SKETCH * p - 5 * (SKETCH * p * (1 - p)) ** 0.5)
     met = stash(
-        labels.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label", "doc_id").mapInArrow(_neighbours(min_depth, near, floor), "a long, b long, same int, dense boolean, tree int, head binary"),
+        labels.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label", "doc_id").mapInArrow(_neighbours(min_depth, near, floor, percent), "a long, b long, same int, dense boolean, tree int, head binary"),
         "met",
     )
     pairs = met.filter("NOT dense AND a < b").groupBy("a", "b").agg(F.max("same").alias("same"))
@@ -223,7 +272,7 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 80, trees: int
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     # first each text with its likeliest smaller partner, then what is still apart
     likely = pairs.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a"))
-    comps = components(_confirmed(likely, sets, percent))
+    comps = components(stash(_confirmed(likely, sets, percent).repartition(parts), "links"))
     more = stash(_confirmed(_apart(pairs, comps), sets, percent).repartition(parts), "links")
     if not more.isEmpty():
         comps = components(_merged(comps, more))

@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import table
-from tidemill.llm.words import chunks
+from tidemill.llm.common import table, text_batches
+from tidemill.llm.words import chunks, tidy
 
 #: The models are fitted on at most this many labelled texts of a language, each of at most MAX_CHARS characters, of at most MAX_LANGS languages.
 SAMPLE, MAX_CHARS, MAX_LANGS, ORDER, ALPHABET = 500, 50_000, 64, 5, 250
@@ -239,15 +239,17 @@ def identify_languages(docs: DataFrame, models: LanguageModels) -> DataFrame:
     A text that is null, empty or without letters, or that no model accepts, is und with score 0. Only text is read;
     ties go to the first language by name; repeated rows and nulls elsewhere are carried along.
     """
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(models)
     docs = docs.drop("lang_pred", "score")
     names = docs.columns
     at = names.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(at)
-            for lo, hi, _, _ in chunks(text, 1_000_000):
+            for lo, hi, _, _ in chunks(text):
                 lang, score = shared.value.predict(text[lo:hi].cast(pa.large_string()).fill_null(""))
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns), pa.array(lang, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import Kept, components, stash, table
 from tidemill.llm.vectors import matrices, usable
+from tidemill.llm.words import tidy
 
 COSINE, MISS, EXPECTED, SEED = 0.9, 2e-4, 12.0, 23
 #: Vectors at an end of a list if directions were evenly met, and the bounds of where the ends begin, in deviations.
@@ -54,6 +55,7 @@ def plan(n: int, cosine: float = COSINE, miss: float = MISS) -> tuple[float, flo
 
 
 def _ends(tau: float, directions: int, seed: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("rep").to_numpy()

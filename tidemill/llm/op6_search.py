@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import stash, table
 from tidemill.llm.vectors import matrices, usable
+from tidemill.llm.words import tidy
 
 TABLES, HASHES, CELL, REACH, SEED = 2, 4, 1.0, 3, 31
 #: Sampled rows and queries for the fit, and the recall that it asks for on them.
@@ -111,6 +112,7 @@ class Hashing:
 def _placed(model: Hashing, probing: bool):
     """Rows (vec_id, vector) by the cells that they are in, or, probing, that they visit."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column("vector")
