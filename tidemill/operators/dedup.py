@@ -48,14 +48,13 @@ def keep_first(rows: DataFrame, key: list[str], order: list[str], last: bool = F
 
 
 def split_duplicates(rows: DataFrame, key: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """First rows of each key, and the others. A null key is a key."""
-    firsts = rows.groupBy(*key).agg(F.min(F.struct(*order)).alias("_first"))
-    same = None
-    for k in key:
-        c = rows[k].eqNullSafe(firsts[k])
-        same = c if same is None else same & c
-    marked = rows.join(firsts, same).select(*(rows[c] for c in rows.columns), (F.struct(*(rows[c] for c in order)) == F.col("_first")).alias("_is_first"))
-    return marked.filter("_is_first").drop("_is_first"), marked.filter(~F.coalesce("_is_first", F.lit(False))).drop("_is_first")
+    """First rows of each key by order, and the others. A null key is a key."""
+    firsts = rows.groupBy(*key).agg(F.min(F.struct(*order)).alias("_first")).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), "_first")
+    same = F.lit(True)
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    marked = rows.join(firsts, same).withColumn("_is_first", F.struct(*order).eqNullSafe(F.col("_first")))
+    return marked.filter("_is_first").select(*rows.columns), marked.filter("NOT _is_first").select(*rows.columns)
 
 
 def unseen(rows: DataFrame, seen: DataFrame, key: list[str]) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidemill.plans import events, records, text
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = text.QUERIES | records.QUERIES | events.QUERIES
+ORACLES = text.ORACLES | records.ORACLES | events.ORACLES
