@@ -137,7 +137,7 @@ def _curl(command: str) -> dict | None:
 
 @F.pandas_udf(T.StringType())
 def _curl_json(command: pd.Series) -> pd.Series:
-    return command.map(lambda c: None if c is None else json.dumps(_curl(c)))
+    return command.map(lambda c: None if c is None or (found := _curl(c)) is None else json.dumps(found))
 
 
 def parse_curl(command: Column) -> Column:
