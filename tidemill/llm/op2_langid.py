@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.llm.common import table, text_batches
-from tidemill.llm.words import chunks, tidy
+from tidemill.llm.words import chunks, release, tidy
 
 #: The models are fitted on at most this many labelled texts of a language, each of at most MAX_CHARS characters, of at most MAX_LANGS languages.
 SAMPLE, MAX_CHARS, MAX_LANGS, ORDER, ALPHABET = 500, 50_000, 64, 5, 250
@@ -102,7 +102,8 @@ class LanguageModels:
         """rows: (language, text). Every tenth text of a language calibrates instead of counting, where there are ten.
 
         Calibration: on those texts, the cross-entropy of the true language has a mean and a deviation that shrinks
-        with length; a text is rejected if it lies further above the mean than 1.5 times the furthest of them. The
+        with length; a text is rejected if it lies further above the mean than 1.5 times the furthest of them, and is also
+        nearer to what letters drawn at random would have. The
         scale that makes the winner's share of likelihood the best probability is chosen on them too.
         """
         langs = sorted({x for x, _ in rows})
@@ -115,8 +116,9 @@ class LanguageModels:
         seen = []
         for x in langs:
             t = [y for i, y in enumerate(texts[x]) if i % 10] if len(texts[x]) >= 10 else texts[x]
-            codes, _, _ = self.sequences(pa.array(t, pa.large_string()))
-            seen.append(np.unique(codes, return_counts=True))
+            parts = [np.unique(self.sequences(pa.array(t[i : i + 50], pa.large_string()))[0], return_counts=True) for i in range(0, len(t), 50)]
+            codes, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+            seen.append((codes, np.bincount(place, np.concatenate([n for _, n in parts])).astype(np.int64)))
         self._count(seen)
         self._calibrate(held)
         return self
@@ -184,7 +186,7 @@ class LanguageModels:
         self.mean, self.deviation, self.limit = (np.zeros(len(self.langs)) for _ in range(3))
         entropies, truth = [], []
         for k, x in enumerate(self.langs):
-            h, n, letters = self.cross_entropy(pa.array(held[x], pa.large_string()))
+            h, n, letters = (np.concatenate(v) for v in zip(*(self.cross_entropy(pa.array(held[x][i : i + 50], pa.large_string())) for i in range(0, len(held[x]), 50)), strict=True))
             h, n = h[letters > 0], n[letters > 0]
             entropies.append(h)
             truth.append(np.full(len(h), k))
@@ -209,7 +211,8 @@ class LanguageModels:
         h, n, letters = self.cross_entropy(texts)
         k = h.argmin(1)
         share = 1 / np.exp(-self.scale * (h - h.min(1, keepdims=True))).sum(1)
-        known = (letters > 0) & (self._above(h.min(1), n, k) <= self.limit[k])
+        halfway = (self.mean[k] + np.log(len(self.alphabet) + 2)) / 2
+        known = (letters > 0) & ((self._above(h.min(1), n, k) <= self.limit[k]) | (h.min(1) <= halfway))
         return [self.langs[x] if y else UNKNOWN for x, y in zip(k, known, strict=True)], np.where(known, share, 0.0)
 
 
@@ -230,7 +233,9 @@ def fit_languages(labelled: DataFrame, sample: int = SAMPLE, order: int = ORDER)
         picked = usable.filter(F.pmod(order_by, F.lit(1_000_000)) < F.try_element_at(share, F.col("lang")) * 1_000_000)
         found = picked.withColumn("h", order_by).toPandas().sort_values(["h", "text"])
         rows = [(x, t) for x, g in found.groupby("lang") for t in g["text"].head(sample)]
-    return LanguageModels.fit(rows, order) if rows else LanguageModels([], np.empty(0, np.uint32), order)
+    models = LanguageModels.fit(rows, order) if rows else LanguageModels([], np.empty(0, np.uint32), order)
+    release()
+    return models
 
 
 def identify_languages(docs: DataFrame, models: LanguageModels) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import table
 from tidemill.llm.op2_langid import remainder
 from tidemill.llm.op8_toxicity import sampled, score_texts
-from tidemill.llm.words import LOWER, Line
+from tidemill.llm.words import LOWER, Line, release
 
 BUCKETS, SHAPES, DIM, SPARSE, REACH, HIDDEN = 1 << 15, 256, 32, 6, 2, 32
 #: The classifier is fitted on at most this many labelled texts of a language and label, each of at most op8_toxicity.MAX_CHARS characters.
@@ -178,6 +178,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
         return float(np.log(((w * y).sum() + 0.5) / ((w * (1 - y)).sum() + 0.5)))
 
     model.calibrate(x[held], y[held], weight[held], odds(weight) - odds(np.ones(len(y))))
+    del made, rows
+    release()
     return model
 
 
