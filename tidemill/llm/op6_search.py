@@ -48,11 +48,11 @@ class Hashing:
     @staticmethod
     def code(cells: np.ndarray, t: int, size: int) -> np.ndarray:
         """One long for table, vector length and cells."""
-        h = np.full(cells.shape[:-1], t * 1_000_003 + size, np.int64)
+        h = np.full(cells.shape[:-1], t * 1_000_003 + size, np.uint64)
         for k in range(HASHES):
-            h = (h ^ cells[..., k]) * np.int64(-7046029254386353131)
-            h ^= h >> np.int64(29)
-        return h
+            h = (h ^ cells[..., k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return h.view(np.int64)
 
     def cells(self, x: np.ndarray, t: int) -> np.ndarray:
         a, b = self.lines(t, x.shape[1])
@@ -187,9 +187,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, recall: float = REC
     enough = met.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).filter(f"n >= {min(k, n - 1)}")
     short = queries.join(enough, queries["vec_id"] == enough["query_id"], "left_anti").select("vec_id", "vector")
     if n > 1 and not short.isEmpty():
-        one = F.lit(0).cast("long").alias("cell")
+        one = F.size("vector").cast("long").alias("cell")  # vectors of one length meet
         whole = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shares)).alias("share"), one, "vec_id", "vector")
-        every = short.select(F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).cast("long").alias("share"), one, "vec_id", "vector")
+        every = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"), one, "vec_id", "vector")
         met = met.union(whole.groupBy("share").cogroup(every.groupBy("share")).applyInPandas(_nearest(k), schema))
     best = met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")))

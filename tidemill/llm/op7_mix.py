@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import Kept, table
 
 BLOCK_TOKENS, BUCKET_ROWS, SEED = 1 << 20, 4_000, 17
+#: So many sources are broadcast, five numbers each; more are joined by a shuffle.
+FEW_SOURCES = 20_000
 
 
 def token_count() -> Column:
@@ -88,7 +90,8 @@ def mix_sources(
     totals = kept(sized.groupBy("source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("_rows")))
     exponent, room, total = temperature(totals, target_entropy, max_repeats, budget)
     raised = F.pow(F.col("tokens") / F.lit(total or 1.0), F.lit(exponent))
-    norm = totals.agg(F.sum(raised)).first()[0] or 1.0
+    found = totals.agg(F.sum(raised).alias("norm"), F.count("*").alias("n")).first()
+    norm, few = found["norm"] or 1.0, found["n"] <= FEW_SOURCES
     kept.drop()
     share = totals.withColumn("_weight", raised / F.lit(norm)).withColumn("_room", F.round(F.col("_weight") * F.lit(room)))
     plan = share.select(
@@ -96,7 +99,7 @@ def mix_sources(
         F.greatest(F.ceil(F.col("_room") / F.col("tokens")), F.lit(1)).cast("int").alias("_epochs"),
         F.ceil(F.col("_rows") / BUCKET_ROWS).cast("int").alias("_buckets"),
     )
-    drawn = sized.join(plan, F.col("source").eqNullSafe(F.col("_of"))).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_epochs") - 1)))
+    drawn = sized.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("_of"))).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_epochs") - 1)))
     drawn = drawn.withColumn("_h", F.md5(F.concat_ws("-", F.lit(seed), "epoch", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     drawn = drawn.withColumn("_bucket", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / 2**32 * F.col("_buckets")).cast("int"))
     # the place of a document in its source's stream: what the buckets before hold, and what comes before in its own

@@ -18,6 +18,8 @@ from tidemill.llm.op8_toxicity import sampled, score_texts
 from tidemill.llm.words import LOWER, Line, release
 
 BUCKETS, SHAPES, DIM, SPARSE, REACH, HIDDEN = 1 << 15, 256, 32, 6, 2, 32
+#: A word is said again if it is among so many tokens before.
+AGAIN = 4
 #: The classifier is fitted on at most this many labelled texts of a language and label, each of at most op8_toxicity.MAX_CHARS characters.
 SAMPLE, EPOCHS = 500, 60
 
@@ -51,8 +53,9 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     shape = np.where(k == 1, case * 5 + long, np.where(k == 2, 20, np.where(k == 3, 21, 22 + ((k - 64) * 3 + np.minimum(size, 3) - 1) % (SHAPES - 23))))
     at = np.searchsorted(starts, offsets)
     again = np.zeros(len(starts), bool)
-    again[1:] = (bucket[1:] == bucket[:-1]) & (k[1:] == 1)
-    again[at[at < len(starts)]] = False
+    text = np.searchsorted(at, np.arange(len(starts)), "right")
+    for back in range(1, AGAIN + 1):
+        again[back:] |= (bucket[back:] == bucket[:-back]) & (k[back:] == 1) & (text[back:] == text[:-back])
     shape[again] = SHAPES - 1
     return bucket, shape.astype(np.int32), at
 
