@@ -38,6 +38,12 @@ def composite_delay(*delays: Column) -> Column:
     return F.greatest(*delays) if len(delays) > 1 else delays[0]
 
 
+def adaptive_delay(base: Column, recorded: Column, order: WindowSpec, most: float = 5.0) -> Column:
+    """The delay asked for now, up to twice as long where the last ten recorded ones were longer on average. No delay stays none."""
+    recent = F.avg(recorded).over(order.rowsBetween(-10, -1))
+    return F.when((recent > base) & (base > 0), F.least(base * F.least(recent / base, F.lit(2.0)), F.lit(most))).otherwise(base)
+
+
 def adjustment(usage: Column, rate_difference: Column, timeout_rate: Column, success_rate: Column) -> Column:
     return (
         F.when(usage > 0.9, 1.5).when(usage > 0.8, 1.2).otherwise(1.0)
