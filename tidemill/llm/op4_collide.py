@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Kept, components, stash, table
+from tidemill.llm.common import ROWS_A_FILE, Kept, components, stash, table
 from tidemill.llm.vectors import matrices, usable
 from tidemill.llm.words import tidy
 
@@ -88,7 +88,8 @@ def dedup_vectors(rows: DataFrame, vector: str = "embedding", cosine: float = CO
     classes = slim.filter("ok").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"), F.first("vector").alias("vector"))
     kept = Kept()
     classes = kept(classes)
-    tau, window, directions, least = plan(max(2, classes.count()), cosine, miss)
+    n = classes.count()
+    tau, window, directions, least = plan(max(2, n), cosine, miss)
     ends = kept(classes.select("rep", "vector").mapInArrow(_ends(tau, directions, seed), "size int, list int, place float, rep long"))
     a, b = (ends.select("size", "list", F.col("place").alias(f"place_{s}"), F.col("rep").alias(s)) for s in "ab")
     met = a.join(b, ["size", "list"]).filter(f"a < b AND abs(place_a - place_b) <= {window}").groupBy("a", "b").agg(F.count("*").alias("met")).filter(f"met >= {least}")
@@ -102,7 +103,7 @@ def dedup_vectors(rows: DataFrame, vector: str = "embedding", cosine: float = CO
     # from the cached tables to one written one
     found = classes.select("k1", "k2", "rep", "copies").join(degree, F.col("rep") == F.col("node"), "left").drop("node").join(comps, F.col("rep") == F.col("node"), "left")
     found = stash(
-        found.select("k1", "k2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("head")).coalesce(1 + directions // 20_000), "vector-classes"
+        found.select("k1", "k2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("head")).coalesce(1 + n // ROWS_A_FILE), "vector-classes"
     )
     kept.drop()
     out = slim.select("vec_id", "ok", "k1", "k2").join(found, ["k1", "k2"], "left")

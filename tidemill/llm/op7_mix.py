@@ -100,16 +100,17 @@ def mix_sources(
         F.ceil(F.col("_rows") / BUCKET_ROWS).cast("int").alias("_buckets"),
     )
     drawn = sized.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("_of"))).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_epochs") - 1)))
+    # a key that is never null, so that the window's partitioning serves the join with what comes before as well
+    drawn = drawn.withColumn("_key", F.coalesce(F.concat(F.lit("of "), "_of"), F.lit("none"))).drop("_of")
     drawn = drawn.withColumn("_h", F.md5(F.concat_ws("-", F.lit(seed), "epoch", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     drawn = drawn.withColumn("_bucket", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / 2**32 * F.col("_buckets")).cast("int"))
     # the place of a document in its source's stream: what the buckets before hold, and what comes before in its own
-    heads = drawn.groupBy("_of", "epoch", "_bucket").agg(F.sum("_tokens").alias("_sum"))
-    before = heads.withColumn("_base", F.sum("_sum").over(W.partitionBy("_of").orderBy("epoch", "_bucket").rowsBetween(W.unboundedPreceding, -1)))
-    before = before.select(F.col("_of").alias("_o"), F.col("epoch").alias("_e"), F.col("_bucket").alias("_b"), F.coalesce("_base", F.lit(0)).alias("_base"))
-    inner = W.partitionBy("_of", "epoch", "_bucket").orderBy("_h", "doc_id", "_tokens").rowsBetween(W.unboundedPreceding, -1)
+    heads = drawn.groupBy("_key", "epoch", "_bucket").agg(F.sum("_tokens").alias("_sum"))
+    before = heads.withColumn("_base", F.sum("_sum").over(W.partitionBy("_key").orderBy("epoch", "_bucket").rowsBetween(W.unboundedPreceding, -1)))
+    inner = W.partitionBy("_key", "epoch", "_bucket").orderBy("_h", "doc_id", "_tokens").rowsBetween(W.unboundedPreceding, -1)
     placed = drawn.withColumn("_inner", F.coalesce(F.sum("_tokens").over(inner), F.lit(0)))
-    placed = placed.join(before, F.col("_of").eqNullSafe(F.col("_o")) & (F.col("epoch") == F.col("_e")) & (F.col("_bucket") == F.col("_b")))
-    placed = placed.withColumn("_at", F.col("_base") + F.col("_inner")).filter("_at < _room")
+    placed = placed.join(before.select("_key", "epoch", "_bucket", "_base"), ["_key", "epoch", "_bucket"])
+    placed = placed.withColumn("_at", F.coalesce("_base", F.lit(0)) + F.col("_inner")).filter("_at < _room")
     blocks = placed.withColumn("block", F.floor(F.col("_at") / (F.col("_weight") * block_tokens)).cast("long"))
     slot = F.md5(F.concat_ws("-", F.lit(seed + 1), "epoch", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     order = W.partitionBy("block").orderBy("_slot", "doc_id", "epoch", "_tokens")
