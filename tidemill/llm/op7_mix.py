@@ -80,12 +80,12 @@ def mix_sources(
     """docs (doc_id, text, source, ...), each row as often as its source's weight asks, with epoch, block and position appended (columns of these names are replaced).
 
     Give target_entropy or max_repeats (see temperature). A null source is a source of its own, a null or empty text
-    counts one token; rows that repeat are documents of their own; ties in the hash order go by doc_id, then tokens. An
+    counts one token; rows that repeat are documents of their own; ties in the hash order go by doc_id, tokens, then a hash of the text. An
     empty table gives an empty table.
     """
     docs = docs.drop("epoch", "block", "position")
     names = docs.columns
-    sized = docs.withColumn("_tokens", token_count() if tokens is None else tokens)
+    sized = docs.withColumn("_tokens", token_count() if tokens is None else tokens).withColumn("_tie", F.xxhash64("text"))
     kept = Kept()
     totals = kept(sized.groupBy("source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("_rows")))
     exponent, room, total = temperature(totals, target_entropy, max_repeats, budget)
@@ -107,13 +107,13 @@ def mix_sources(
     # the place of a document in its source's stream: what the buckets before hold, and what comes before in its own
     heads = drawn.groupBy("_key", "epoch", "_bucket").agg(F.sum("_tokens").alias("_sum"))
     before = heads.withColumn("_base", F.sum("_sum").over(W.partitionBy("_key").orderBy("epoch", "_bucket").rowsBetween(W.unboundedPreceding, -1)))
-    inner = W.partitionBy("_key", "epoch", "_bucket").orderBy("_h", "doc_id", "_tokens").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("_key", "epoch", "_bucket").orderBy("_h", "doc_id", "_tokens", "_tie").rowsBetween(W.unboundedPreceding, -1)
     placed = drawn.withColumn("_inner", F.coalesce(F.sum("_tokens").over(inner), F.lit(0)))
     placed = placed.join(before.select("_key", "epoch", "_bucket", "_base"), ["_key", "epoch", "_bucket"])
     placed = placed.withColumn("_at", F.coalesce("_base", F.lit(0)) + F.col("_inner")).filter("_at < _room")
     blocks = placed.withColumn("block", F.floor(F.col("_at") / (F.col("_weight") * block_tokens)).cast("long"))
     slot = F.md5(F.concat_ws("-", F.lit(seed + 1), "epoch", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    order = W.partitionBy("block").orderBy("_slot", "doc_id", "epoch", "_tokens")
+    order = W.partitionBy("block").orderBy("_slot", "doc_id", "epoch", "_tokens", "_tie")
     return blocks.withColumn("_slot", slot).withColumn("position", F.row_number().over(order).cast("long")).select(*names, "epoch", "block", "position")
 
 
