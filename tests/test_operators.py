@@ -180,3 +180,24 @@ def test_streams(spark, tmp_path):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def _stateful(spark, tmp_path, data, processor, schema, name, mode, time_mode):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        events = _stream(spark, tmp_path, data).withWatermark("ts", "0 seconds")
+        _run(events.groupBy("user_id").transformWithStateInPandas(processor, schema, mode, time_mode), name, mode)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_first_sighting_stream(spark, tmp_path):
+    data = spark.createDataFrame([(i, T0 + timedelta(seconds=s), 1) for i, s in enumerate((0, 200, 299, 301, 700))], "event_id long, ts timestamp_ntz, user_id long").coalesce(1)
+    _stateful(spark, tmp_path, data, streaming.FirstSighting(300), "event_id long, ts timestamp, user_id long", "sightings", "Append", "ProcessingTime")
+    assert rows(spark.table("sightings").select("event_id")) == [(0,), (3,), (4,)]
+
+
+def test_failover_stream(spark, tmp_path):
+    data = spark.createDataFrame([(0, T0, 1), (1, T0 + timedelta(seconds=10), 2), (2, T0 + timedelta(seconds=500), 2)], "event_id long, ts timestamp_ntz, user_id long").coalesce(1)
+    _stateful(spark, tmp_path, data, streaming.Failover(90, 60), "worker long, state string, at_ms long", "failover", "Update", "EventTime")
+    assert {("alive", 1), ("alive", 2)} <= {(r["state"], r["worker"]) for r in spark.table("failover").collect()}
