@@ -159,7 +159,7 @@ def _stream(spark, tmp_path, data):
 
 def _run(stream, name, mode="append"):
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     return q
 
 
@@ -193,7 +193,7 @@ def _stateful(spark, tmp_path, data, processor, schema, name, mode, time_mode):
 
 def test_first_sighting_stream(spark, tmp_path):
     data = spark.createDataFrame([(i, T0 + timedelta(seconds=s), 1) for i, s in enumerate((0, 200, 299, 301, 700))], "event_id long, ts timestamp_ntz, user_id long").coalesce(1)
-    _stateful(spark, tmp_path, data, streaming.FirstSighting(300), "event_id long, ts timestamp, user_id long", "sightings", "Append", "ProcessingTime")
+    _stateful(spark, tmp_path, data, streaming.FirstSighting(300), "event_id long, ts timestamp, user_id long", "sightings", "Append", "EventTime")
     assert rows(spark.table("sightings").select("event_id")) == [(0,), (3,), (4,)]
 
 

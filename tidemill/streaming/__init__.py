@@ -47,15 +47,16 @@ def dedup(events: DataFrame, key: list[str], ttl: str, time: str = "ts") -> Data
 
 
 class FirstSighting(StatefulProcessor):
-    """Passes an event unless its key was passed within seconds before; repeats do not extend that time."""
+    """Passes an event unless its key was passed within seconds before; repeats do not extend that time. Wants event time: once the watermark is past that time, the key's state goes."""
 
     def __init__(self, seconds: float, time: str = "ts") -> None:
         self.seconds, self.time = seconds, time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.passed = handle.getValueState("passed", "at timestamp", int(self.seconds * 1000))
+        self.handle = handle
+        self.passed = handle.getValueState("passed", "at timestamp")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         found = pd.concat(list(rows)).sort_values(self.time)
         last = self.passed.get()[0] if self.passed.exists() else None
         keep = []
@@ -64,10 +65,17 @@ class FirstSighting(StatefulProcessor):
             if new:
                 last = t
             keep.append(new)
-        if last is not None:
+        if any(keep):
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(int((pd.Timestamp(last).timestamp() + self.seconds) * 1000))
             self.passed.update((pd.Timestamp(last).to_pydatetime(),))
         yield found[keep]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.passed.clear()
+        yield pd.DataFrame()
+
     def close(self) -> None:
         pass
 
@@ -133,7 +141,7 @@ class Failover(StatefulProcessor):
         self.handle = handle
         self.seen = handle.getValueState("seen", "state string, last long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = int(max(part[self.time].max().timestamp() for part in rows) * 1000)
         state, before = self.seen.get() if self.seen.exists() else (None, 0)
         for t in list(self.handle.listTimers()):
@@ -144,13 +152,13 @@ class Failover(StatefulProcessor):
         if state != "alive":
             yield pd.DataFrame({"worker": [key[0]], "state": ["alive"], "at_ms": [last]})
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state, last = self.seen.get()
         new = "suspect" if state == "alive" else "dead"
         if new == "suspect":
             self.handle.registerTimer(last + int((self.timeout + self.grace) * 1000))
         self.seen.update((new, last))
-        yield pd.DataFrame({"worker": [key[0]], "state": [new], "at_ms": [expired.getExpiryTimeInMs()]})
+        yield pd.DataFrame({"worker": [key[0]], "state": [new], "at_ms": [expiredTimerInfo.getExpiryTimeInMs()]})
 
     def close(self) -> None:
         pass
