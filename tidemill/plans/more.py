@@ -164,4 +164,30 @@ def sql_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
 book.on("part", "map_likeness", lambda t: t.select("p_partkey", F.round(records.map_similarity(F.create_map(F.lit("brand"), "p_brand", F.lit("type"), "p_type"), F.create_map(F.lit("brand"), F.lit("Brand#11"), F.lit("name"), "p_name")), 6).alias("score")))
 book.on("pages", "curl_commands", lambda t: t.select("page_id", sources.parse_curl(F.concat(F.lit("curl -H 'A: b' -d 'k=v' '"), "url", F.lit("'"))).alias("c")).select("page_id", "c.method", "c.url", "c.body"), "SELECT page_id, 'POST' AS method, url, 'k=v' AS body FROM pages")
 
+book.on(
+    "orders", "rendered_texts",
+    lambda t: t.select("o_orderkey", text.render("order {id} of {{customer}}: {status} {other}", {"id": F.col("o_orderkey"), "customer": F.col("o_custkey"), "status": F.col("o_orderstatus")}).alias("text")),
+    "SELECT o_orderkey, 'order ' || o_orderkey || ' of ' || coalesce(o_custkey::VARCHAR, 'None') || ': ' || coalesce(o_orderstatus, 'None') || ' {other}' AS text FROM orders",
+)
+book.on(
+    "events", "header_values",
+    lambda t: t.select("event_id", text.header_value(F.create_map(F.element_at(F.array(*map(F.lit, ["x-type", "X-Type", "X-TYPE", "y"])), (F.col("event_id") % 4 + 1).cast("int")), F.col("event_type")), "X-type", "none").alias("value")),
+    "SELECT event_id, CASE WHEN event_id % 4 < 2 THEN event_type ELSE 'none' END AS value FROM events",
+)
+book.on(
+    "events", "cookie_values",
+    lambda t: t.select("event_id", text.parse_cookies(F.concat(F.lit("id="), "event_id", F.lit("; Secure; type="), "event_type", F.lit("; id = "), "user_id")).alias("m")).select("event_id", F.col("m")["id"].alias("id"), F.col("m")["type"].alias("kind"), F.size("m").alias("n")),
+    "SELECT event_id, user_id::VARCHAR AS id, event_type AS kind, 2 AS n FROM events",
+)
+book.on(
+    "part", "table_names",
+    lambda t: t.select("p_partkey", text.table_name("p_name").alias("by_name"), text.table_name(F.concat("p_type", F.lit("-"), "p_brand")).alias("by_type")),
+    """SELECT p_partkey, CASE WHEN regexp_full_match(translate(trim(p_name), ' -', '__'), '[a-zA-Z0-9_]+') THEN translate(trim(p_name), ' -', '__') END AS by_name,
+      CASE WHEN regexp_full_match(translate(trim(p_type || '-' || p_brand), ' -', '__'), '[a-zA-Z0-9_]+') THEN translate(trim(p_type || '-' || p_brand), ' -', '__') END AS by_type FROM part""",
+)
+book.on(
+    "events", "zoned_times",
+    lambda t: t.select("event_id", dates.to_local(F.col("ts")).alias("local"), dates.to_utc(dates.to_local(F.col("ts")), dates.LOCAL_ZONE).alias("utc"), dates.to_timezone(F.col("ts"), "Asia/Kolkata").alias("kolkata")),
+    "SELECT event_id, ts + INTERVAL 8 HOUR AS local, ts AS utc, ts + INTERVAL 330 MINUTE AS kolkata FROM events",
+)
 QUERIES, ORACLES = book.queries, book.oracles
