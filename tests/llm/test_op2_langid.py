@@ -57,3 +57,32 @@ def test_query_accuracy(spark, sf_dir):
     assert len(found) == len(truth) and len(held) > 20
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) >= 0.97 * len(held)
     assert isinstance(fit_languages(spark.read.parquet(f"{sf_dir}/documents.parquet")), LanguageModels)
+
+
+def test_every_language(spark, docs):
+    """More languages than one table has: the rarest is fitted too, with texts that are all long, and tables by groups say what one table says."""
+    rng = random.Random(2)
+    words = {f"x{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for k in range(70)}
+    line = lambda x, n: " ".join(rng.choice(words[x]) for _ in range(n))
+    rows = [(x, line(x, 30)) for x in words for _ in range(6)] + [("rare", "zyx wvu tsr " * 5_000)]
+    m = fit_languages(docs(*((i, t, x, "s") for i, (x, t) in enumerate(rows))))
+    assert m.langs == ["rare", *sorted(words)]
+    texts = pa.array(["wvu zyx tsr zyx wvu tsr " * 3, *(line(x, 30) for x in words)], pa.large_string())
+    assert m.predict(texts)[0] == ["rare", *words]
+    many = LanguageModels.fit(rows[:204])
+    assert not LanguageModels.fit(rows[:66]).parts and [len(p.langs) for p in many.parts] == [16, 16, 2]
+    whole = LanguageModels(many.langs, many.alphabet, many.order)
+    seen = [np.unique(many.sequences(pa.array([t for y, t in rows[:204] if y == x], pa.large_string()))[0], return_counts=True) for x in many.langs]
+    whole._count(seen)
+    assert np.allclose(whole.cross_entropy(texts)[0], many.cross_entropy(texts)[0], atol=1e-4)
+
+
+def test_scripts_stay_apart():
+    """Letters of rare scripts are not run together by a language that has many letters."""
+    rng = random.Random(3)
+    han, ka, hy = ([chr(a + k) for k in range(n)] for a, n in ((0x4E00, 600), (0x10D0, 33), (0x561, 38)))
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(40))
+    m = LanguageModels.fit([("zh", text(han)) for _ in range(100)] + [(x, text(letters)) for x, letters in (("ka", ka), ("hy", hy)) for _ in range(10)])
+    assert m.predict(pa.array([text(x) for x in (ka, hy, ka, hy, han, han)], pa.large_string()))[0] == ["ka", "hy", "ka", "hy", "zh", "zh"]
+    assert len({int(m.symbols(np.array([ord(x)]))[0]) for x in ka + hy}) == len(ka + hy) and m.scripts == ["CJK"]
+    assert m.symbols(np.array([0x9FA0, 0x430])).tolist() == [m.size - 1, 1]

@@ -2,12 +2,15 @@
 
 Texts become letters (lower case) with one mark for everything between words. All models share one table for each
 order: the n-grams seen in any language as sorted 64-bit hashes, and beside them the interpolated log probability in every
-language, so a character costs one search, and only n-grams that no language has seen back off. The language with
+language, so a character costs one search, and only n-grams that no language has seen back off. More than GROUP
+languages have a table for each GROUP of them, so that tables grow with the languages and not with their square. The language with
 the lowest cross-entropy per character wins, unless that is above what its own texts reach (see LanguageModels.fit).
 """
 
 from __future__ import annotations
 
+import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +23,10 @@ from pyspark.sql import types as T
 from tidemill.llm.common import table, text_batches
 from tidemill.llm.words import chunks, release, tidy
 
-#: The models are fitted on at most this many labelled texts of a language, each of at most MAX_CHARS characters, of at most MAX_LANGS languages.
-SAMPLE, MAX_CHARS, MAX_LANGS, ORDER, ALPHABET = 500, 50_000, 64, 5, 250
+#: Every language is fitted, on at most SAMPLE labelled texts, of which the first MAX_CHARS characters are read; more than MANY languages share MANY * SAMPLE texts evenly.
+SAMPLE, MAX_CHARS, MANY, GROUP, ORDER = 500, 50_000, 64, 16, 5
+#: Letters of a language that are symbols of their own; the others are one symbol for each script. A symbol has BITS bits, and SCRIPTS symbols are left to scripts.
+ALPHABET, BITS, SCRIPTS = 250, 12, 256
 UNKNOWN = "und"
 
 _LETTER: list[np.ndarray] = []
@@ -33,6 +38,21 @@ def _letters() -> np.ndarray:
     return _LETTER[0]
 
 
+def script(point: int) -> str:
+    """First word of the letter's Unicode name, which names its script."""
+    return unicodedata.name(chr(point), "").split(" ")[0]
+
+
+def alphabets(counts: list[tuple[np.ndarray, np.ndarray]], most: int) -> np.ndarray:
+    """Letters that are symbols: of each language (letters, counts) the commonest, at most most, or as many of each as all symbols allow."""
+    ranked = [p[np.argsort(-n, kind="stable")] for p, n in counts]
+    for bound in range(most, -1, -1):
+        top = np.unique(np.concatenate([r[:bound] for r in ranked]))
+        if len(top) <= (1 << BITS) - 2 - SCRIPTS:
+            break
+    return top
+
+
 class HashTable:
     """Sorted hashes of n-gram codes, found through an index of their leading bits."""
 
@@ -61,8 +81,9 @@ class HashTable:
 class LanguageModels:
     """Character models of several languages, fitted on labelled texts."""
 
-    def __init__(self, langs: list[str], alphabet: np.ndarray, order: int) -> None:
-        self.langs, self.alphabet, self.order = langs, alphabet, order
+    def __init__(self, langs: list[str], alphabet: np.ndarray, order: int, scripts: list[str] | None = None) -> None:
+        self.langs, self.alphabet, self.order, self.scripts = langs, alphabet, order, scripts or []
+        self.parts: list[LanguageModels] = []  # the tables of more than GROUP languages
         self.grams: list[tuple[HashTable, np.ndarray]] = []  # by order from 1: log probability [n-gram, language]
         self.contexts: list[tuple[HashTable, np.ndarray]] = []  # log weight of the next lower order [context, language]
 
@@ -70,12 +91,20 @@ class LanguageModels:
         return {k: v for k, v in self.__dict__.items() if k != "symbol"}
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
-        """0 for what is no letter, 1 for letters outside the alphabet."""
+        """0 for what is no letter, 1 for letters outside the alphabet and of no known script; letters, then scripts, have the others."""
         if "symbol" not in self.__dict__:
-            self.symbol = _letters().astype(np.uint8)
+            self.symbol = _letters().astype(np.uint16)
+            if self.scripts:
+                of = {x: k for k, x in enumerate(self.scripts, len(self.alphabet) + 2)}
+                for c in np.flatnonzero(_letters()).tolist():
+                    self.symbol[c] = of.get(script(c), 1)
             self.symbol[self.alphabet] = np.arange(2, len(self.alphabet) + 2)
         return self.symbol[points]
 
+    @property
+    def size(self) -> int:
+        return len(self.alphabet) + len(self.scripts) + 2
+
     def sequences(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """n-gram codes of the highest order at each scored character, where each text's begin, and its letters."""
         low = pc.utf8_lower(texts)
@@ -90,11 +119,11 @@ class LanguageModels:
         before = np.concatenate([[0], np.cumsum(keep)])[at]
         n, pad = np.diff(before), self.order - 1
         place = np.arange(before[-1]) + np.repeat(np.arange(1, len(n) + 1) * pad, n)
-        line = np.zeros(before[-1] + pad * len(n), np.uint8)
+        line = np.zeros(before[-1] + pad * len(n), np.uint16)
         line[place] = sym[keep]
         codes = np.zeros(len(place), np.uint64)
         for k in range(self.order):
-            codes |= line[place - k].astype(np.uint64) << np.uint64(8 * k)
+            codes |= line[place - k].astype(np.uint64) << np.uint64(BITS * k)
         return codes, before, letters
 
     @classmethod
@@ -106,20 +135,29 @@ class LanguageModels:
         nearer to what letters drawn at random would have. The
         scale that makes the winner's share of likelihood the best probability is chosen on them too.
         """
-        langs = sorted({x for x, _ in rows})
-        points, count = np.unique(np.frombuffer("".join(t.lower() for _, t in rows).encode("utf-32-le", "replace"), np.uint32), return_counts=True)
-        letter = _letters()[points]
-        top = points[letter][np.argsort(-count[letter], kind="stable")[:alphabet]]
-        self = cls(langs, np.sort(top), order)
-        texts = {x: [t for y, t in rows if y == x] for x in langs}
-        held = {x: t[::10] if len(t) >= 10 else t for x, t in texts.items()}
-        seen = []
+        texts: dict[str, list[str]] = defaultdict(list)
+        for x, t in rows:
+            texts[x].append(t)
+        langs = sorted(texts)
+        letters = []
         for x in langs:
-            t = [y for i, y in enumerate(texts[x]) if i % 10] if len(texts[x]) >= 10 else texts[x]
-            parts = [np.unique(self.sequences(pa.array(t[i : i + 50], pa.large_string()))[0], return_counts=True) for i in range(0, len(t), 50)]
-            codes, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-            seen.append((codes, np.bincount(place, np.concatenate([n for _, n in parts])).astype(np.int64)))
-        self._count(seen)
+            points, count = np.unique(np.frombuffer("".join(t.lower() for t in texts[x]).encode("utf-32-le", "replace"), np.uint32), return_counts=True)
+            letter = _letters()[points]
+            letters.append((points[letter], count[letter]))
+        top = alphabets(letters, alphabet)
+        rest = np.setdiff1d(np.concatenate([p for p, _ in letters]), top)
+        self = cls(langs, top, order, sorted({script(c) for c in rest.tolist()})[:SCRIPTS])
+        held = {x: t[::10] if len(t) >= 10 else t for x, t in texts.items()}
+        if len(langs) > GROUP:
+            self.parts = [cls(langs[i : i + GROUP], top, order, self.scripts) for i in range(0, len(langs), GROUP)]
+        for part in self.parts or [self]:
+            seen = []
+            for x in part.langs:
+                t = [y for i, y in enumerate(texts[x]) if i % 10] if len(texts[x]) >= 10 else texts[x]
+                parts = [np.unique(self.sequences(pa.array(t[i : i + 50], pa.large_string()))[0], return_counts=True) for i in range(0, len(t), 50)]
+                codes, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+                seen.append((codes, np.bincount(place, np.concatenate([n for _, n in parts])).astype(np.int64)))
+            part._count(seen)
         self._calibrate(held)
         return self
 
@@ -127,15 +165,15 @@ class LanguageModels:
         levels = [seen]
         for n in range(self.order - 1, 0, -1):
             # counts of a lower order: how many different characters come before
-            levels.append([np.unique(c & np.uint64((1 << 8 * n) - 1), return_counts=True) for c, _ in levels[-1]])
-        size = len(self.alphabet) + 2
+            levels.append([np.unique(c & np.uint64((1 << BITS * n) - 1), return_counts=True) for c, _ in levels[-1]])
+        size = self.size
         lower = lower_codes = None
         for n, level in enumerate(reversed(levels), 1):
             codes = np.unique(np.concatenate([c for c, _ in level] + ([np.arange(size, dtype=np.uint64)] if n == 1 else [])))
-            contexts, context_of = np.unique(codes >> np.uint64(8), return_inverse=True)
+            contexts, context_of = np.unique(codes >> np.uint64(BITS), return_inverse=True)
             p = np.empty((len(codes), len(level)))
             weight = np.ones((len(contexts), len(level)))
-            under = np.full((len(codes), len(level)), 1 / size) if n == 1 else lower[np.searchsorted(lower_codes, codes & np.uint64((1 << 8 * (n - 1)) - 1))]
+            under = np.full((len(codes), len(level)), 1 / size) if n == 1 else lower[np.searchsorted(lower_codes, codes & np.uint64((1 << BITS * (n - 1)) - 1))]
             for k, (own, count) in enumerate(level):
                 c = np.zeros(len(codes))
                 c[np.searchsorted(codes, own)] = count
@@ -153,15 +191,18 @@ class LanguageModels:
     def cross_entropy(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Nats per scored character [text, language], scored characters, letters."""
         codes, at, letters = self.sequences(texts)
+        return np.concatenate([p._entropies(codes, at) for p in self.parts or [self]], 1), np.diff(at), letters
+
+    def _entropies(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
         n = np.diff(at)
         out = np.zeros((len(n), len(self.langs)))
         if not len(codes):
-            return out, n, letters
+            return out
         score = np.empty((len(codes), len(self.langs)), np.float32)
         left, sofar = None, None
         for k in range(self.order, 0, -1):
             part = codes if left is None else codes[left]
-            here = part & np.uint64((1 << 8 * k) - 1)
+            here = part & np.uint64((1 << BITS * k) - 1)
             grams, logs = self.grams[k - 1]
             place, found = grams.find(here)
             if left is None and found.all():
@@ -174,13 +215,13 @@ class LanguageModels:
             if not len(miss):
                 break
             contexts, weights = self.contexts[k - 1]
-            place, found = contexts.find(here[miss] >> np.uint64(8))
+            place, found = contexts.find(here[miss] >> np.uint64(BITS))
             more = np.where(found[:, None], weights[np.minimum(place, len(weights) - 1)], np.float32(0))
             sofar = more if sofar is None else sofar[miss] + more
             left = miss if left is None else left[miss]
         full = np.flatnonzero(n)
         out[full] = -np.add.reduceat(score, at[:-1][full], axis=0, dtype=np.float64) / n[full, None]
-        return out, n, letters
+        return out
 
     def _calibrate(self, held: dict[str, list[str]]) -> None:
         self.mean, self.deviation, self.limit = (np.zeros(len(self.langs)) for _ in range(3))
@@ -211,7 +252,7 @@ class LanguageModels:
         h, n, letters = self.cross_entropy(texts)
         k = h.argmin(1)
         share = 1 / np.exp(-self.scale * (h - h.min(1, keepdims=True))).sum(1)
-        halfway = (self.mean[k] + np.log(len(self.alphabet) + 2)) / 2
+        halfway = (self.mean[k] + np.log(min(self.size, ALPHABET + 2))) / 2  # letters of one language, however many there are in all
         known = (letters > 0) & ((self._above(h.min(1), n, k) <= self.limit[k]) | (h.min(1) <= halfway))
         return [self.langs[x] if y else UNKNOWN for x, y in zip(k, known, strict=True)], np.where(known, share, 0.0)
 
@@ -222,9 +263,10 @@ def remainder(column: str, by: int) -> Column:
 
 
 def fit_languages(labelled: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> LanguageModels:
-    """Models from labelled (lang, text; other columns only break ties): at most sample texts of a language, chosen by a hash of the text; null langs and texts are left out."""
-    usable = labelled.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.length("text") <= MAX_CHARS)
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    """Models from labelled (lang, text; other columns only break ties): of every language at most sample texts (fewer beyond MANY languages), chosen by a hash of the text, each as far as MAX_CHARS; null langs and texts are left out."""
+    usable = labelled.select("lang", F.substring("text", 1, MAX_CHARS).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    counts = usable.groupBy("lang").count().collect()
+    sample = max(1, min(sample, MANY * sample // max(1, len(counts))))
     rows = []
     if counts:
         # so many by hash that sample texts are met; then the first by hash
