@@ -7,6 +7,7 @@ packed pieces. Between stages the rows are written as Parquet to the shared fold
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemill.llm import op1_minhash, op2_langid, op5_pack, op7_mix, op8_toxicity
 from tidemill.llm.common import stash, table
@@ -24,14 +25,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, 80 per cent), that of the smallest doc_id; of rows that repeat a doc_id, one."""
-    classes = stash(op1_minhash.minhash_dedup(docs), "classes")
-    gone = classes.filter("NOT kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = classes.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    if not again.isEmpty():
-        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.filter("doc_id IS NULL"))
-    return kept.select(*docs.columns)
+    """One document of each group of near-duplicates (five-word shingles, 80 per cent), that of the smallest doc_id.
+
+    Where rows repeat a doc_id, each text of it is a document of its own; of rows that repeat doc_id and text, one stays.
+    """
+    known = docs.filter("doc_id IS NOT NULL")
+    if known.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        classes = stash(op1_minhash.minhash_dedup(docs), "classes")
+        gone = classes.filter("NOT kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # every (doc_id, text) gets a number of its own, in the order of doc_id
+    marked = known.withColumn("_print", F.coalesce(F.sha2("text", 256), F.lit("")))
+    numbers = stash(marked.select("doc_id", "_print").distinct().repartitionByRange("doc_id", "_print").sortWithinPartitions("doc_id", "_print").withColumn("_number", F.monotonically_increasing_id()), "numbers")
+    apart = stash(marked.join(numbers, ["doc_id", "_print"]).dropDuplicates(["_number"]), "texts")
+    classes = stash(op1_minhash.minhash_dedup(apart.select(F.col("_number").alias("doc_id"), "text")), "classes")
+    kept = apart.join(classes.filter("kept").select(F.col("doc_id").alias("_number")), "_number")
+    return kept.select(*docs.columns).union(docs.filter("doc_id IS NULL"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

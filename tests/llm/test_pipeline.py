@@ -42,5 +42,17 @@ def test_columns_and_edges(spark, sf_dir, stage):
         assert out.filter("doc_id = 9000003").count() == 1 and out.filter("doc_id IS NULL").count() == 1
 
 
+def test_repeated_ids(spark, sf_dir):
+    """Texts that share a doc_id are documents by themselves: a copy among them takes none of the others along, and no group loses its last."""
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    long = {x: " ".join(f"{x}{i}" for i in range(60)) for x in "abcd"}
+    near = long["b"] + " end"
+    rows = [(3, long["a"]), (7, long["a"]), (7, long["b"]), (7, long["c"]), (7, long["c"]), (7, near), (5, long["d"]), (9, long["b"]), (8, None), (8, ""), (None, long["a"])]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], schema)
+    out = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()]
+    assert len(out) == len(set(out)) == 7 and {(3, long["a"]), (7, long["c"]), (5, long["d"]), (8, None), (8, ""), (None, long["a"])} < set(out)
+    assert sum(x in out for x in [(7, long["b"]), (7, near)]) == 1
+
+
 def test_stages():
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
