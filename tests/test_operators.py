@@ -99,6 +99,14 @@ def test_order(spark):
     assert rows(order.depths(links, spark.sql("SELECT 'a' AS url"))) == [("a", 0), ("b", 1), ("c", 1)]
 
 
+def test_depths_of_a_long_chain(spark):
+    """Pages further than 50 links away are found; a limit is only one that is asked for."""
+    links = spark.createDataFrame([(str(i), str(i + 1)) for i in range(53)] + [("53", "0")], "source string, target string").coalesce(1).cache()
+    start = spark.sql("SELECT '0' AS url")
+    assert rows(order.depths(links, start)) == sorted((str(i), i) for i in range(54))
+    assert order.depths(links, start, most=2).count() == 3
+
+
 def test_sources_and_sinks(spark, tmp_path):
     start = sources.start_requests(spark, ["http://a", "http://b"], 100)
     assert rows(start.select("seq", "priority")) == [(0, -100), (1, -100)]

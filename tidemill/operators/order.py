@@ -62,14 +62,20 @@ def learned_priority(requests: DataFrame, domains: DataFrame, urls: DataFrame, n
     return d.withColumn("final_priority", (F.col("priority") + score).cast("long")).select(*requests.columns, "final_priority")
 
 
-def depths(links: DataFrame, starts: DataFrame, most: int = 50) -> DataFrame:
-    """url and depth: the fewest links (source, target) from a start, which has depth 0. One round a level; a level's new pages only."""
+def depths(links: DataFrame, starts: DataFrame, most: int | None = None, fold: int = 25) -> DataFrame:
+    """url and depth: the fewest links (source, target) from a start, which has depth 0; all pages that are reached, or those within most links.
+
+    One round a level, until a level is empty; a level's new pages only. Each fold levels the pages found become one table, so that plans stay short.
+    """
     found = starts.select("url").distinct().withColumn("depth", F.lit(0))
-    edge = found
-    for level in range(1, most + 1):
+    edge, level = found, 0
+    while most is None or level < most:
+        level += 1
         new = edge.join(links, edge["url"] == links["source"]).select(F.col("target").alias("url")).distinct()
         edge = new.join(found.select("url"), "url", "left_anti").withColumn("depth", F.lit(level)).checkpoint()
         if edge.isEmpty():
             break
         found = found.union(edge)
+        if level % fold == 0:
+            found = found.checkpoint()
     return found
