@@ -64,6 +64,16 @@ def test_search_empties_bins():
     assert sorted(sorted(length[b].tolist()) for b in local_search(length, [[0, 1], [2, 3], [4]], 10)) == [[2, 3, 5], [4, 6]]
 
 
+def test_search_looks_at_all_items():
+    """The exchange that fits is of an item, or of two, that are not among the longest of their bin."""
+    for give, other in (([3] * 25 + [2] * 5, [1, 198]), ([30] * 25 + [2, 3], [4, 795])):
+        length = np.array(give + other, np.int64)
+        n, capacity = len(give), sum(other) + 1
+        found = local_search(length, [list(range(n)), [n, n + 1]], capacity)
+        assert sorted(i for b in found for i in b) == list(range(n + 2))
+        assert max(length[b].sum() for b in found) == capacity and all(length[b].sum() <= capacity for b in found)
+
+
 def test_query(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     out = op5_pack(spark, sf_dir).collect()

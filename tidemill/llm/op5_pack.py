@@ -185,19 +185,24 @@ def local_search(length: np.ndarray, bins: list[list[int]], capacity: int) -> li
                     best = (rise, ([own[int(np.flatnonzero(length[own] == size)[0])]], b, None))
         items = np.flatnonzero(room[of] > 0)
         there, space = length[items], room[of[items]]
-        few = own if len(own) <= 24 else sorted(own, key=lambda i: -length[i])[:24]
-        groups = {int(length[i]): [i] for i in few}
-        for j, x in enumerate(few):
-            for y in few[j + 1 :]:
-                groups.setdefault(int(length[x] + length[y]), [x, y])
-        for size, out in groups.items():
-            gain = size - there
-            ok = (gain > 0) & (gain <= space)
-            if ok.any():
-                rise = np.where(ok, 2 * gain * (fill[of[items]] - fill[giver]) + 2 * gain * gain, 0)
-                k = int(np.argmax(rise))
-                if rise[k] > best[0]:
-                    best = (int(rise[k]), (out, int(of[items[k]]), int(items[k])))
+        # all lengths and sums of two that the bin can give: their number is bounded by the capacity
+        held = np.array(own)
+        u, count = np.unique(length[held], return_counts=True)
+        x, y = np.triu_indices(len(u))
+        x, y = x[(x < y) | (count[x] > 1)], y[(x < y) | (count[x] > 1)]
+        sizes, pick = np.unique(np.concatenate([u, u[x] + u[y]]), return_index=True)
+        # for an item given back, the largest that fits rises most
+        k = np.searchsorted(sizes, there + space, "right") - 1
+        gain = sizes[np.maximum(k, 0)] - there
+        rise = np.where((k >= 0) & (gain > 0), 2 * gain * (fill[of[items]] - fill[giver]) + 2 * gain * gain, 0)
+        j = int(np.argmax(rise)) if len(items) else 0
+        if len(items) and rise[j] > best[0]:
+            g = int(pick[k[j]]) - len(u)
+            if g < 0:
+                out = [int(held[length[held] == u[g + len(u)]][0])]
+            else:
+                out = [int(held[length[held] == u[x[g]]][0]), int(held[length[held] == u[y[g]]][-1])]
+            best = (int(rise[j]), (out, int(of[items[j]]), int(items[j])))
         if best[1] is None:
             settled[giver] = True
             continue
