@@ -25,6 +25,9 @@ def test_temperature(spark):
     exponent, budget, _ = temperature(t, None, 2.0, budget=1110.0)
     assert budget == 1110.0 and 1110 / 1110 * 10 ** (exponent - 1) / sum((v / 1110) ** exponent for v in (1000, 100, 10)) * (1110 ** (1 - exponent)) <= 2.0001
     assert temperature(totals(spark, a=5), None, 2.0)[:2] == (1.0, 5.0) and temperature(t.limit(0), None, 2.0) == (1.0, 0.0, 0.0)
+    with pytest.raises(ValueError, match="over max_repeats"):
+        temperature(t, None, 2.0, budget=11_100.0)
+    assert temperature(t, None, 2.0, budget=2220.0)[0] == pytest.approx(1.0)
     with pytest.raises(ValueError, match="target_entropy or max_repeats"):
         temperature(t, None, None)
 

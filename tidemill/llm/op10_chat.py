@@ -1,10 +1,10 @@
 r"""Chat formatting by a grammar round trip, with DataFrame functions only.
 
-A turn is rendered as ``### Role: text</turn>`` and a line end. The parser is deterministic: it cuts at
-``</turn>\n``, reads the header, and takes ``\x`` in a role or text for the character x. A conversation is first
-rendered as it is, parsed again and compared with its turns; where a role or text does not come back (it
-holds a control string or a backslash) the whole conversation is rendered with escapes and compared again. Escaped
-text holds no ``###`` and no ``</turn>``, so the second rendering always comes back; anything else raises.
+A turn is rendered as ``### Role: text</turn>`` and a line end. The parser is deterministic: ``</turn>`` ends a turn wherever
+it stands, a turn begins with a header, and in a role or text ``\x`` is the character x, while ``###`` or a backslash without one
+is an error. Each turn is first rendered as it is, parsed and compared with its source; one that does not come back (it
+holds a control string or a backslash) is rendered with escapes. The whole conversation is then parsed and compared.
+Escaped text holds no ``###`` and no ``</turn>``, so it always comes back, and no text can forge a turn; anything else raises.
 """
 
 from __future__ import annotations
@@ -36,28 +36,44 @@ def _name(role: Column, escaped: bool) -> Column:
     return name
 
 
-def _render(turns: Column, escaped: bool) -> Column:
-    """Array of rendered turns."""
-    text = (lambda t: _escape(t)) if escaped else (lambda t: t)
-    return F.transform(turns, lambda t: F.concat(F.lit("### "), _name(t["role"], escaped), F.lit(": "), text(t["text"]), F.lit(END)))
+def _turn(t: Column, escaped: bool) -> Column:
+    """A rendered turn."""
+    return F.concat(F.lit("### "), _name(t["role"], escaped), F.lit(": "), _escape(t["text"]) if escaped else t["text"], F.lit(END))
 
 
-HEADER = r"(?s)^### (User|Assistant|System|Tool|=(?:[^\\:]|\\.)*): (.*)$"
+#: The possessive group is matched in a loop: a role may be long.
+HEADER = r"(?s)^### (User|Assistant|System|Tool|=(?:[^\\:]|\\.)*+): "
 
 
 def _parse(rendered: Column) -> Column:
-    """Turns that the grammar reads from a rendered conversation, with the place of each text."""
-    pieces = F.slice(F.split(rendered, END), F.lit(1), F.greatest(F.size(F.split(rendered, END)) - 1, F.lit(0)))
-
-    def turn(piece: Column) -> Column:
-        head = F.regexp_extract(piece, HEADER, 1)
-        role = _unescape(F.substring(head, 2, 1 << 30))
+    """Turns that the grammar reads from a rendered conversation, with the place of each text; ok is false where it does not hold."""
+    cut = F.split(rendered, "</turn>")
+
+    def legal(raw: Column) -> Column:
+        left = F.regexp_replace(raw, r"(?s)\\.", " ")
+        return ~F.contains(left, F.lit("\\")) & ~F.contains(left, F.lit("###"))
+
+    def turn(piece: Column, i: Column) -> Column:
+        # after the first, a piece begins with the line end of the turn before
+        lead = F.when(i == 0, 0).otherwise(1)
+        body = F.substr(piece, lead + 1)
+        head = F.regexp_extract(body, HEADER, 0)
+        name = F.regexp_extract(body, HEADER, 1)
+        raw = F.substr(body, F.length(head) + 1)
+        role = _unescape(F.substr(name, F.lit(2)))
         for known, shown in NAMES.items():
-            role = F.when(head == shown, F.lit(known)).otherwise(role)
-        raw = F.regexp_extract(piece, HEADER, 2)
-        return F.struct(role.alias("role"), _unescape(raw).alias("text"), F.rlike(piece, F.lit(HEADER)).alias("ok"), F.length(piece).alias("length"), F.length(raw).alias("raw"))
+            role = F.when(name == shown, F.lit(known)).otherwise(role)
+        ok = (head != "") & ((i == 0) | F.startswith(piece, F.lit("\n"))) & legal(name) & legal(raw)
+        return F.struct(role.alias("role"), _unescape(raw).alias("text"), ok.alias("ok"), (F.length(piece) - lead).alias("length"), F.length(raw).alias("raw"))
+
+    # what follows the last end mark is a line end
+    return F.transform(F.slice(cut, F.lit(1), F.greatest(F.size(cut) - 1, F.lit(0))), turn)
+
 
-    return F.transform(pieces, turn)
+def _same(parsed: Column, source: Column) -> Column:
+    """Whether parsed turns are those of source."""
+    bare = lambda turns: F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    return F.forall(parsed, lambda t: t["ok"]) & (bare(parsed) == bare(source))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
@@ -67,21 +83,15 @@ def format_chats(turns: DataFrame) -> DataFrame:
     role and text, so that ties and repeated rows have one defined order; every row is a turn. A null role or text
     counts as empty. Rows whose conv_id is null are one conversation. An empty table gives an empty table.
 
-    Returns conv_id, formatted (the rendered text), escaped (boolean), turns (array of role, text, start, end and
-    loss, as parsed from formatted; start and end are the place of the text in it, loss marks assistant texts).
+    Returns conv_id, formatted (the rendered text), escaped (boolean: any turn is), turns (array of role, text, start, end
+    and loss, as parsed from formatted; start and end are the place of the text in it, loss marks assistant texts).
     """
     filled = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = filled.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("source"))
-    wanted = F.transform("source", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-
-    def comes_back(parsed: Column) -> Column:
-        return F.forall(parsed, lambda t: t["ok"]) & (F.transform(parsed, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))) == wanted)
-
-    plain = grouped.withColumn("formatted", F.array_join(_render(F.col("source"), False), "")).withColumn("parsed", _parse(F.col("formatted")))
-    plain = plain.withColumn("escaped", ~comes_back(F.col("parsed")))
-    again = plain.withColumn("formatted", F.when(F.col("escaped"), F.array_join(_render(F.col("source"), True), "")).otherwise(F.col("formatted")))
-    again = again.withColumn("parsed", F.when(F.col("escaped"), _parse(F.col("formatted"))).otherwise(F.col("parsed")))
-    sure = F.when(~F.col("escaped") | comes_back(F.col("parsed")), F.col("parsed")).otherwise(F.raise_error(F.lit("a rendered conversation does not come back")))
+    tried = grouped.withColumn("plain", F.transform("source", lambda t: _same(_parse(_turn(t, False)), F.array(t))))
+    shown = F.zip_with("source", "plain", lambda t, plain: F.when(plain, _turn(t, False)).otherwise(_turn(t, True)))
+    again = tried.withColumn("formatted", F.array_join(shown, "")).withColumn("escaped", F.exists("plain", lambda p: ~p)).withColumn("parsed", _parse(F.col("formatted")))
+    sure = F.when(_same(F.col("parsed"), F.col("source")), F.col("parsed")).otherwise(F.raise_error(F.lit("a rendered conversation does not come back")))
     spans = F.aggregate(
         F.col("parsed"),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<role:string,text:string,start:int,end:int,loss:boolean>>").alias("turns")),
@@ -115,8 +125,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ESC = r"replace(replace(replace({0}, '\', '\\'), '#', '\#'), '</', '<\/')"
-_UNESC = r"regexp_replace({0}, '\\(.)', '\1', 'gs')"
-_SAFE = r"(strpos({0}, '</turn>' || chr(10)) = 0 AND regexp_replace({0}, '\\(.)', '', 'gs') = {0})"
+_HARD = r"(strpos({0}, '\') > 0 OR strpos({0}, '###') > 0 OR strpos({0}, '</turn>') > 0)"
 
 ORACLE_SQL = rf"""
 WITH t AS (
@@ -125,16 +134,13 @@ WITH t AS (
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), s AS (
   SELECT *, role IN ('user', 'assistant', 'system', 'tool') AS known,
-    {_SAFE.format("text")} AND (role IN ('user', 'assistant', 'system', 'tool')
-      OR ({_SAFE.format("role")} AND strpos(role, ':') = 0)) AS safe
+    {_HARD.format("text")} OR (role NOT IN ('user', 'assistant', 'system', 'tool') AND ({_HARD.format("role")} OR strpos(role, ':') > 0)) AS hard
   FROM t
-), c AS (
-  SELECT conv_id, bool_and(safe) AS plain FROM s GROUP BY conv_id
 ), f AS (
-  SELECT s.conv_id, s.turn, s.role, s.text,
-    length(CASE WHEN known THEN role WHEN plain THEN '=' || role ELSE '=' || replace({_ESC.format("role")}, ':', '\:') END)
-    + length(CASE WHEN plain THEN text ELSE {_ESC.format("text")} END) + 14 AS chars
-  FROM s JOIN c ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+  SELECT conv_id, turn, role, text,
+    length(CASE WHEN known THEN role WHEN NOT hard THEN '=' || role ELSE '=' || replace({_ESC.format("role")}, ':', '\:') END)
+    + length(CASE WHEN hard THEN {_ESC.format("text")} ELSE text END) + 14 AS chars
+  FROM s
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,

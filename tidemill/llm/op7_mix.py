@@ -48,7 +48,8 @@ def temperature(totals: DataFrame, target_entropy: float | None, max_repeats: fl
 
     target_entropy (0 to 1, of the logarithm of the number of sources): the largest exponent that reaches it.
     max_repeats: the smallest exponent at which no document comes more often than that. Without a budget, the budget is
-    the least one at which every document comes at least once.
+    the least one at which every document comes at least once. A budget that no exponent meets with max_repeats raises
+    ValueError.
     """
     if (target_entropy is None) == (max_repeats is None):
         raise ValueError("give target_entropy or max_repeats")
@@ -62,6 +63,8 @@ def temperature(totals: DataFrame, target_entropy: float | None, max_repeats: fl
         """The budget at which the source that is repeated least comes once."""
         return total * z * max(low ** (1 - a), high ** (1 - a))
 
+    if max_repeats is not None and budget is not None and budget > max_repeats * total * (1 + 1e-9):
+        raise ValueError(f"a budget of {budget} tokens takes {budget / total:.3g} epochs of all sources, over max_repeats={max_repeats}")
     if s["n"] == 1:
         exponent = 1.0
     elif target_entropy is not None:
@@ -75,17 +78,19 @@ def temperature(totals: DataFrame, target_entropy: float | None, max_repeats: fl
 
 
 def mix_sources(
-    docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None, tokens: Column | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED
+    docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None, tokens: Column | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED,
+    text_hash: Column | None = None,
 ) -> DataFrame:
     """docs (doc_id, text, source, ...), each row as often as its source's weight asks, with epoch, block and position appended (columns of these names are replaced).
 
-    Give target_entropy or max_repeats (see temperature). A null source is a source of its own, a null or empty text
-    counts one token; rows that repeat are documents of their own; ties in the hash order go by doc_id, tokens, then a hash of the text. An
-    empty table gives an empty table.
+    Give target_entropy or max_repeats (see temperature), and, where docs has no text, tokens and text_hash. A null source is a source of its own, a null or empty text
+    counts one token; rows that repeat are documents of their own. The order is by a hash of doc_id and text, so that rows
+    without a doc_id, or with one doc_id, are spread as well; ties go by doc_id, then tokens. An empty table gives an empty table.
     """
     docs = docs.drop("epoch", "block", "position")
     names = docs.columns
-    sized = docs.withColumn("_tokens", token_count() if tokens is None else tokens).withColumn("_tie", F.xxhash64("text"))
+    own = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text") if text_hash is None else text_hash)
+    sized = docs.withColumn("_tokens", token_count() if tokens is None else tokens).withColumn("_own", own)
     kept = Kept()
     totals = kept(sized.groupBy("source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("_rows")))
     exponent, room, total = temperature(totals, target_entropy, max_repeats, budget)
@@ -102,18 +107,18 @@ def mix_sources(
     drawn = sized.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("_of"))).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_epochs") - 1)))
     # a key that is never null, so that the window's partitioning serves the join with what comes before as well
     drawn = drawn.withColumn("_key", F.coalesce(F.concat(F.lit("of "), "_of"), F.lit("none"))).drop("_of")
-    drawn = drawn.withColumn("_h", F.md5(F.concat_ws("-", F.lit(seed), "epoch", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    drawn = drawn.withColumn("_h", F.md5(F.concat_ws("-", F.lit(seed), "epoch", "_own")))
     drawn = drawn.withColumn("_bucket", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / 2**32 * F.col("_buckets")).cast("int"))
     # the place of a document in its source's stream: what the buckets before hold, and what comes before in its own
     heads = drawn.groupBy("_key", "epoch", "_bucket").agg(F.sum("_tokens").alias("_sum"))
     before = heads.withColumn("_base", F.sum("_sum").over(W.partitionBy("_key").orderBy("epoch", "_bucket").rowsBetween(W.unboundedPreceding, -1)))
-    inner = W.partitionBy("_key", "epoch", "_bucket").orderBy("_h", "doc_id", "_tokens", "_tie").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("_key", "epoch", "_bucket").orderBy("_h", "doc_id", "_tokens").rowsBetween(W.unboundedPreceding, -1)
     placed = drawn.withColumn("_inner", F.coalesce(F.sum("_tokens").over(inner), F.lit(0)))
     placed = placed.join(before.select("_key", "epoch", "_bucket", "_base"), ["_key", "epoch", "_bucket"])
     placed = placed.withColumn("_at", F.coalesce("_base", F.lit(0)) + F.col("_inner")).filter("_at < _room")
     blocks = placed.withColumn("block", F.floor(F.col("_at") / (F.col("_weight") * block_tokens)).cast("long"))
-    slot = F.md5(F.concat_ws("-", F.lit(seed + 1), "epoch", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    order = W.partitionBy("block").orderBy("_slot", "doc_id", "epoch", "_tokens", "_tie")
+    slot = F.md5(F.concat_ws("-", F.lit(seed + 1), "epoch", "_own"))
+    order = W.partitionBy("block").orderBy("_slot", "doc_id", "epoch", "_tokens")
     return blocks.withColumn("_slot", slot).withColumn("position", F.row_number().over(order).cast("long")).select(*names, "epoch", "block", "position")
 
 
@@ -127,7 +132,8 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = f"""
 WITH d AS (
-  SELECT doc_id, source, greatest(1, ceil(coalesce(strlen(text), 0) / 4.0))::BIGINT AS tokens FROM documents
+  SELECT doc_id, source, greatest(1, ceil(coalesce(strlen(text), 0) / 4.0))::BIGINT AS tokens,
+    concat_ws('-', coalesce(doc_id::VARCHAR, ''), md5(text)) AS own FROM documents
 ), t AS (
   SELECT source, sum(tokens)::DOUBLE AS st FROM d GROUP BY source
 ), m AS (
@@ -140,12 +146,12 @@ WITH d AS (
 ), e AS (
   SELECT d.*, w, room, unnest(range(0, greatest(1, ceil(room / st))::INT)) AS epoch FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 ), s AS (
-  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY epoch, md5('{SEED}-' || epoch || '-' || coalesce(doc_id::VARCHAR, '')), doc_id, tokens
+  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY epoch, md5('{SEED}-' || epoch || '-' || own), doc_id, tokens
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM e
 ), b AS (
   SELECT *, floor(pos / (w * {BLOCK_TOKENS}))::BIGINT AS block FROM s WHERE pos < room
 )
 SELECT doc_id, source, tokens, epoch::INT AS epoch, block,
-  row_number() OVER (PARTITION BY block ORDER BY md5('{SEED + 1}-' || epoch || '-' || coalesce(doc_id::VARCHAR, '')), doc_id, epoch, tokens) AS position
+  row_number() OVER (PARTITION BY block ORDER BY md5('{SEED + 1}-' || epoch || '-' || own), doc_id, epoch, tokens) AS position
 FROM b
 """
