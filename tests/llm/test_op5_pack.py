@@ -3,9 +3,10 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemill.llm.op5_pack import WordTokens, best_fit, default_tokenizer, local_search, op5_pack, pack_documents
+from tidemill.llm.op5_pack import WordTokens, best_fit, default_tokenizer, local_search, op5_pack, pack, pack_documents
 
 import pyarrow as pa  # isort: skip
 
@@ -74,6 +75,26 @@ def test_search_looks_at_all_items():
         assert max(length[b].sum() for b in found) == capacity and all(length[b].sum() <= capacity for b in found)
 
 
+def test_sequences_keep_to_the_order(spark):
+    """The pieces of a sequence come from one group of consecutive rows, but for what the second round joins."""
+    n, group = 5_000, 500
+    pieces = spark.range(0, n, 1, 7).select(F.monotonically_increasing_id().alias("key"), F.col("id").alias("row"), (F.col("id") * 37 % 97 + 1).alias("length"))
+    out = pack(pieces.select("key", "length"), 128, group).join(pieces, "key").collect()
+    by = {}
+    for r in out:
+        by.setdefault(r["sequence_id"], []).append(r["row"] // group)
+    assert len(out) == n and sum(len(set(v)) == 1 for v in by.values()) > 0.9 * len(by)
+
+
+def test_other_tokenizers(spark, docs):
+    """A tokenizer that is not known to work word by word is given whole texts."""
+    path = default_tokenizer().replace("word_bpe_49k", "byte_bpe_50k")
+    text = "Hello  World, it's  Ünï 5 o'clock...\n\nx"
+    out = pack_documents(docs((1, text, None, None), (2, None, None, None)), path, with_ids=True).collect()
+    ids = {r["doc_id"]: r["ids"] for r in out}
+    assert ids == {1: [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1], 2: [1]}
+
+
 def test_query(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     out = op5_pack(spark, sf_dir).collect()

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tidemill.llm import op8_toxicity, op9_quality
-from tidemill.llm.op8_toxicity import divide, features, fit_toxicity, score_texts
+from tidemill.llm.op8_toxicity import divide, features, fit_toxicity, sampled, score_texts
 from tidemill.llm.op9_quality import fit_quality, tokens
 
 
@@ -81,6 +81,21 @@ def test_chunks_change_nothing(labelled):
     assert np.allclose(together, alone, atol=1e-5)
 
 
+def test_every_language_and_label_is_sampled(spark):
+    """Many languages, few positives of each: every one is in the sample, which stays within its bounds."""
+    rows = [(i, f"word{i % 7} of l{i % 80}" * 3, f"l{i % 80}") for i in range(4_000)]
+    docs = spark.createDataFrame([*rows, (5000, None, "l0"), (5001, "long " * 50_000, "l1")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i // 80 % 10 == 0)) for i, _, _ in rows] + [(5000, 1), (5001, 1)], "doc_id long, toxic int")
+    cells = {}
+    for text, y, lang, weight in sampled(docs, labels, "toxic"):
+        cells.setdefault((lang, y), []).append((text, weight))
+    assert len(cells) == 160 and {k: sum(w for _, w in v) for k, v in cells.items()} == pytest.approx({(f"l{x}", y): 5.0 if y else 45.0 for x in range(80) for y in (0, 1)})
+    few = sampled(docs, labels, "toxic", most=320, chars=10**9)
+    assert len({(lang, y) for _, y, lang, _ in few}) == 160 and len(few) <= 640
+    model = fit_toxicity(docs, labels, epochs=1)
+    assert model.lang_logs.shape[1] == len(model.langs) == 1
+
+
 def test_queries(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for query, by, rest in ((op8_toxicity.op8_toxicity, 4, 2), (op9_quality.op9_quality, 5, 0)):

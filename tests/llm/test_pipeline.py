@@ -1,10 +1,11 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_op1_minhash import brute
 from tests.llm.test_op5_pack import check
-from tidemill.llm import op2_langid, op8_toxicity
+from tidemill.llm import op2_langid, op7_mix, op8_toxicity
 
 
 def test_run_against_brute_force(spark, sf_dir):
@@ -31,6 +32,31 @@ def test_run_against_brute_force(spark, sf_dir):
     assert check([(i or None, t) for i, t in copies], out) <= -(-sum(r["length"] for r in out) // 4096) + 1
 
 
+def test_mixture_lies_in_blocks(spark, sf_dir, tmp_path):
+    """Each file that mixing writes holds whole blocks, in the order of their places."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    corpus_pipeline.mix(spark, docs, sf_dir).withColumn("_row", F.monotonically_increasing_id()).write.parquet(str(tmp_path / "mixed"))
+    rows = spark.read.parquet(str(tmp_path / "mixed")).select("doc_id", F.shiftright("_row", 33).alias("part"), "_row").orderBy("_row").collect()
+    want = op7_mix.mix_sources(docs, max_repeats=2.0, text_hash=F.sha2("text", 256)).select("doc_id", "block", "position").orderBy("block", "position").collect()
+    blocks = {}
+    for r in want:
+        blocks.setdefault(r["block"], []).append(r["doc_id"])
+    parts = {}
+    for r in rows:
+        parts.setdefault(r["part"], []).append(r["doc_id"])
+    ids = [i for p in parts.values() for i in p]
+    assert len(ids) == len(want)
+    assert all(any(p[k : k + len(b)] == b for p in parts.values() for k in range(len(p) - len(b) + 1)) for b in blocks.values())
+
+
+def test_packing_edges(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    odd = spark.createDataFrame([(1, None, None, None, None), (2, "", None, None, 0), (None, "a b c", "en", "s", 5), (3, "x", "en", "s", 1), (3, "x", "en", "s", 1)], schema)
+    out = corpus_pipeline.packing(spark, odd, sf_dir).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == ["1", "2", "3", "3", "None"] and len({r["sequence_id"] for r in out}) == 1
+    assert corpus_pipeline.packing(spark, odd.limit(0), sf_dir).count() == 0
+
+
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:-1]])
 def test_columns_and_edges(spark, sf_dir, stage):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -25,6 +25,16 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def even_share(cells: list[tuple[int, float]], sample: int, most: int, chars: float) -> int:
+    """How many rows of each cell (rows, characters a row) may go into a sample: the most, up to sample, that keep to most rows and chars characters in all; one at least."""
+    low, high = 1, max(1, sample)
+    while low < high:
+        middle = (low + high + 1) // 2
+        fits = sum(min(n, middle) for n, _ in cells) <= most and sum(min(n, middle) * c for n, c in cells) <= chars
+        low, high = (middle, high) if fits else (low, middle - 1)
+    return low
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a folder of this machine only where that is unset, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -20,11 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import table, text_batches
+from tidemill.llm.common import even_share, table, text_batches
 from tidemill.llm.words import chunks, release, tidy
 
-#: Every language is fitted, on at most SAMPLE labelled texts, of which the first MAX_CHARS characters are read; more than MANY languages share MANY * SAMPLE texts evenly.
-SAMPLE, MAX_CHARS, MANY, GROUP, ORDER = 500, 50_000, 64, 16, 5
+#: Every language is fitted, on at most SAMPLE labelled texts, of which the first MAX_CHARS characters are read; fewer of each where they would pass MANY * SAMPLE texts or CHARS characters in all.
+SAMPLE, MAX_CHARS, MANY, CHARS, GROUP, ORDER = 500, 50_000, 64, 24_000_000, 16, 5
 #: Letters of a language that are symbols of their own; the others are one symbol for each script. A symbol has BITS bits, and SCRIPTS symbols are left to scripts.
 ALPHABET, BITS, SCRIPTS = 250, 12, 256
 UNKNOWN = "und"
@@ -263,17 +263,17 @@ def remainder(column: str, by: int) -> Column:
 
 
 def fit_languages(labelled: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> LanguageModels:
-    """Models from labelled (lang, text; other columns only break ties): of every language at most sample texts (fewer beyond MANY languages), chosen by a hash of the text, each as far as MAX_CHARS; null langs and texts are left out."""
+    """Models from labelled (lang, text; other columns only break ties): of every language at most sample texts (fewer beyond MANY languages or CHARS characters), chosen by a hash of the text, each as far as MAX_CHARS; null langs and texts are left out."""
     usable = labelled.select("lang", F.substring("text", 1, MAX_CHARS).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = usable.groupBy("lang").count().collect()
-    sample = max(1, min(sample, MANY * sample // max(1, len(counts))))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("chars")).collect()
+    sample = even_share([(r["n"], r["chars"]) for r in counts], sample, MANY * sample, CHARS)
     rows = []
     if counts:
         # so many by hash that sample texts are met; then the first by hash
-        share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.3 * sample / r["count"] + 30 / r["count"]))))
+        share = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.3 * sample / r["n"] + 30 / r["n"])) for r in counts], "lang string, share double")
         order_by = F.xxhash64("text")
-        picked = usable.filter(F.pmod(order_by, F.lit(1_000_000)) < F.try_element_at(share, F.col("lang")) * 1_000_000)
-        found = picked.withColumn("h", order_by).toPandas().sort_values(["h", "text"])
+        picked = usable.join(share, "lang").filter(F.pmod(order_by, F.lit(1_000_000)) < F.col("share") * 1_000_000)
+        found = picked.select("lang", "text", order_by.alias("h")).toPandas().sort_values(["h", "text"])
         rows = [(x, t) for x, g in found.groupby("lang") for t in g["text"].head(sample)]
     models = LanguageModels.fit(rows, order) if rows else LanguageModels([], np.empty(0, np.uint32), order)
     release()

@@ -1,9 +1,9 @@
 """Best-fit packing of tokenised documents into sequences, improved by a swap-based local search.
 
-Tokens are made word by word: the tokenizer drops white space and no token or normalisation crosses it, so each task
-tokenises every distinct word once. Only longer documents are cut. Pieces of a full sequence stay alone; the others
-are dealt by hash into groups of about GROUP pieces (whatever their source), each group is packed best fit decreasing
-and then improved; the bins that are still open meet bins of other groups in a second round.
+Tokens are made word by word: the default tokenizer drops white space and no token or normalisation crosses it, so each
+task tokenises every distinct word once; any other is given whole texts. Only longer documents are cut. Pieces of a full sequence stay alone; the others
+make groups of GROUP pieces as they come (whatever their source), so that sequences keep to the order of a mixture; each
+group is packed best fit decreasing and then improved; all bins that are still open meet those of other groups in a second round.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import stash, table, text_batches
@@ -29,35 +30,52 @@ CAPACITY, GROUP, END_ID = 4096, 4096, 1
 MEMORY = 500_000
 
 
+#: The default tokenizer, which is known to drop white space and to cut where WordTokens.distinct does.
+BY_WORD = "word_bpe_49k.json"
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(BY_WORD)
 
 
 #: ASCII marks that are tokens apart from a letter or digit before them (an apostrophe may join what follows).
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-class WordTokens:
-    """Token ids of texts as little-endian bytes, each distinct word tokenised once."""
+class TextTokens:
+    """Token ids of whole texts as little-endian bytes, by any tokenizer."""
 
-    made: dict[str, WordTokens] = {}
+    made: dict[str, TextTokens] = {}
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memory: dict[str, bytes] = {}
 
     @classmethod
-    def of(cls, path: str) -> WordTokens:
-        """One for each Python worker, so that tasks share what they know."""
+    def of(cls, path: str) -> TextTokens:
+        """One for each Python worker, so that tasks share what they know. Only the default tokenizer is known to work word by word."""
         if path not in cls.made:
-            cls.made[path] = cls(path)
+            cls.made[path] = WordTokens(path) if os.path.basename(path) == BY_WORD else TextTokens(path)
         return cls.made[path]
 
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text, four bytes an id; null counts as empty."""
+        for text in texts:
+            ids = self.tokenizer.encode(text.as_py() or "", add_special_tokens=False).ids
+            yield pack_ids(len(ids), ids)
+
+
+class WordTokens(TextTokens):
+    """Token ids of texts as little-endian bytes, each distinct word tokenised once."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        self.memory: dict[str, bytes] = {}
+
     def _learn(self, words: list[str]) -> None:
         words = list(dict.fromkeys(w for w in words if w not in self.memory))
         for a in range(0, len(words), 5000):
@@ -99,7 +117,7 @@ def pack_ids(n: int, ids: list[int]) -> bytes:
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens.of(path)
+        tokens = TextTokens.of(path)
         end, width = pack_ids(1, [end_id]), 4 * capacity
         for batch in batches:
             text = batch.column("text")
@@ -248,12 +266,20 @@ def _packed(capacity: int, round_: int):
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """Bins for pieces (key long, unique; length long, 1 to capacity): key, sequence_id, offset."""
+    """Bins for pieces (key long, unique; length long, 1 to capacity): key, sequence_id, offset.
+
+    Pieces are grouped in the order of their keys, which are of monotonically_increasing_id: a task's number, then the
+    row's in it.
+    """
     full = pieces.filter(F.col("length") >= capacity).select("key", (-1 - F.col("key")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     small = pieces.filter(F.col("length") < capacity).select("key", "length")
-    groups = max(1, -(-small.count() // group))
-    first = stash(small.withColumn("grp", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("grp").applyInPandas(_packed(capacity, 0), PACKED), "packed")
-    is_open = F.col("fill") < capacity - capacity // 128
+    task, row = F.shiftright("key", 33), F.col("key").bitwiseAND((1 << 33) - 1)
+    # what the tasks before have; one row for each task, so that it can be broadcast
+    before = pieces.groupBy(task.alias("task")).agg((F.max(row) + 1).alias("n"))
+    before = before.select("task", F.coalesce(F.sum("n").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    placed = small.withColumn("task", task).join(F.broadcast(before), "task").select("key", "length", F.floor((F.col("before") + row) / group).cast("long").alias("grp"))
+    first = stash(placed.groupBy("grp").applyInPandas(_packed(capacity, 0), PACKED), "packed")
+    is_open = F.col("fill") < capacity
     left = first.filter(is_open)
     regroups = max(1, -(-left.count() // group))
     second = left.select("key", "length", "bin", F.pmod(F.xxhash64("bin"), F.lit(regroups)).alias("grp")).groupBy("grp").applyInPandas(_packed(capacity, 1), PACKED)

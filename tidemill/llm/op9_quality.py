@@ -20,7 +20,7 @@ from tidemill.llm.words import LOWER, Line, release
 BUCKETS, SHAPES, DIM, SPARSE, REACH, HIDDEN = 1 << 15, 256, 32, 6, 2, 32
 #: A word is said again if it is among so many tokens before.
 AGAIN = 4
-#: The classifier is fitted on at most this many labelled texts of a language and label, each of at most op8_toxicity.MAX_CHARS characters.
+#: The classifier is fitted on at most this many labelled texts of a language and label, and within the bounds of op8_toxicity.sampled.
 SAMPLE, EPOCHS = 500, 60
 
 _KIND = np.full(256, 1, np.int16)  # letters, and bytes of other scripts
