@@ -1,5 +1,6 @@
 import numpy as np
 
+from tidemill.llm import op6_search as op6
 from tidemill.llm.op6_search import Hashing, op6_search, search
 
 
@@ -43,6 +44,25 @@ def test_edges(spark):
     assert search(df.limit(0), df).count() == 0 and search(df, df.limit(0)).count() == 0
 
 
+def test_hot_cells_and_repeats(spark, monkeypatch):
+    """Cells beyond a share are cut on both sides; repeated rows, ids with several vectors and many equal vectors leave the nearest whole."""
+    monkeypatch.setattr(op6, "SHARE", 50)
+    monkeypatch.setattr(op6, "VISITS", 20)
+    monkeypatch.setattr(op6, "AT_ONCE", 300)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=8)
+    near = [[float(x) for x in base + 0.01 * rng.normal(size=8)] for _ in range(300)]
+    rows = list(enumerate(near)) + [(1000 + i, [float(x) for x in base]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>").repartition(5)
+    asked = df.filter("vec_id % 3 = 0")
+    want, found = brute(rows, [i for i, _ in rows if i % 3 == 0]), got(search(df, asked))
+    hits = sum(len({i for _, i in want[q]} & {i for _, i in found[q]}) for q in want)
+    assert set(found) == set(want) and hits >= 0.9 * 10 * len(want)
+    repeated = [(1, [1.0, 0.0])] * 50 + [(2, [1.0, 0.1 * i]) for i in range(50)] + [(10 + i, [3.0, float(i)]) for i in range(12)]
+    few = got(search(spark.createDataFrame(repeated, "vec_id long, vector array<double>"), spark.createDataFrame([(99, [1.0, 0.0])], "vec_id long, vector array<double>")))
+    assert [i for _, i in few[99]] == [1, 2, *range(10, 18)]
+
+
 def test_probes_begin_at_home():
     """The query's own cells come first, and all cells' masses add up to what the steps cover."""
     q = np.random.default_rng(0).normal(size=(5, 8))

@@ -3,8 +3,9 @@
 Each table hashes a vector by HASHES random lines cut into cells. A query visits cells in the order of the estimated probability
 that a near neighbour lies there, given its own place in its cell, until the probabilities add up to a mass; that
 mass is fitted so that a bounded sample of the rows is found with enough recall. What the tables' cells hold is ranked by
-its exact distance. Every row is indexed. Cells are dealt to tasks by hash, and a cell of many rows is split over several, so that
-a hot one loads no task; queries that find too few rows are compared with all.
+its exact distance. Every row is indexed, but of equal vectors only those whose ids can be among the nearest. Cells are dealt
+to tasks by hash; a cell of many rows is cut into parts and its visits into blocks, so that a hot one loads no task; queries that
+find too few rows are compared with all.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from tidemill.llm.words import tidy
 TABLES, HASHES, CELL, REACH, SEED = 2, 4, 1.0, 3, 31
 #: Sampled rows and queries for the fit, and the recall that it asks for on them.
 SAMPLE, SAMPLE_QUERIES, RECALL = 5_000, 200, 0.97
-#: Rows of a task's share of the index.
-SHARE = 8_000
+#: Rows of a part of a cell, visits of a block of a cell, and distances that are in memory at once.
+SHARE, VISITS, AT_ONCE = 8_000, 4_000, 2_000_000
+#: So many split cells are broadcast, three numbers each; more are joined by a shuffle.
+FEW_CELLS = 50_000
 
 _erf = np.frompyfunc(math.erf, 1, 1)
 _STEPS = np.array(list(itertools.product(range(-REACH, REACH + 1), repeat=HASHES)), np.int64)
@@ -138,19 +141,27 @@ def _nearest(k: int):
                 if cell not in rows:
                     continue
                 x = np.array(index["vector"].iloc[rows[cell]].tolist(), np.float64)
-                y = np.array(queries["vector"].iloc[q].tolist(), np.float64)
-                ids, own = index["vec_id"].to_numpy()[rows[cell]], queries["vec_id"].to_numpy()[q]
-                rough = (y**2).sum(1)[:, None] + (x**2).sum(1) - 2 * y @ x.T
-                rough[own[:, None] == ids] = np.inf
-                if len(ids) > k:
-                    # rounding may misplace what lies closely together
-                    limit = np.partition(rough, k - 1, axis=1)[:, k - 1 : k]
-                    i, j = np.nonzero(rough <= limit + 1e-9 * (1 + np.abs(limit)))
-                else:
-                    i, j = np.nonzero(np.isfinite(rough))
-                keep = np.isfinite(rough[i, j])
-                i, j = i[keep], j[keep]
-                found.append((own[i], ids[j], np.sqrt(((x[j] - y[i]) ** 2).sum(1))))
+                ids, squares = index["vec_id"].to_numpy()[rows[cell]], (x**2).sum(1)
+                step = max(1, AT_ONCE // len(ids))
+                enough = k + len(ids) - len(np.unique(ids))  # rows that hold k ids at least
+                for some in (q[a : a + step] for a in range(0, len(q), step)):
+                    y, own = np.array(queries["vector"].iloc[some].tolist(), np.float64), queries["vec_id"].to_numpy()[some]
+                    rough = (y**2).sum(1)[:, None] + squares - 2 * y @ x.T
+                    rough[own[:, None] == ids] = np.inf
+                    if len(ids) > enough:
+                        # rounding may misplace what lies closely together
+                        limit = np.partition(rough, enough - 1, axis=1)[:, enough - 1 : enough]
+                        i, j = np.nonzero(rough <= limit + 1e-9 * (1 + np.abs(limit)))
+                    else:
+                        i, j = np.nonzero(np.isfinite(rough))
+                    keep = np.isfinite(rough[i, j])
+                    i, j = i[keep], j[keep]
+                    score = np.sqrt(((x[j] - y[i]) ** 2).sum(1))
+                    # of any number of ties the first by id
+                    order = np.lexsort((ids[j], score, i))
+                    i, j, score = i[order], j[order], score[order]
+                    first = np.arange(len(i)) - np.searchsorted(i, i) < enough
+                    found.append((own[i[first]], ids[j[first]], score[first]))
         if not found:
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         out = pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(v) for v in zip(*found, strict=True)), strict=True)))
@@ -168,21 +179,30 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, recall: float = REC
     """
     rows, queries = (x.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector")).filter("vec_id IS NOT NULL").filter(usable("vector")) for x in (rows, queries))
     n = rows.count()
-    picked = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < 1_000_000 * min(1.0, 1.2 * SAMPLE / max(n, 1))).limit(SAMPLE).toPandas()
+    h = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000))
+    picked = rows.filter(h < 1_000_000 * min(1.0, 1.2 * SAMPLE / max(n, 1))).orderBy(h, "vec_id").limit(SAMPLE).toPandas()
     size = picked["vector"].map(len).mode() if len(picked) else []
     sample = np.array([v for v in picked.sort_values("vec_id")["vector"] if len(v) == size[0]], np.float64) if len(picked) else np.empty((0, 1))
     model = Hashing.fit(np.random.default_rng(1).permutation(sample), k, recall)
     model.tables = tables
-    index = rows.mapInArrow(_placed(model, False), "cell long, vec_id long, vector array<double>")
+    # ties go to the smaller ids, so of equal vectors no more than k others and the query's own can be found
+    equal = W.partitionBy(F.xxhash64("vector"), F.xxhash64(F.lit(SEED), "vector")).orderBy("vec_id")
+    index = rows.withColumn("_nth", F.dense_rank().over(equal)).filter(F.col("_nth") <= k + 1).drop("_nth").mapInArrow(_placed(model, False), "cell long, vec_id long, vector array<double>")
     visits = queries.mapInArrow(_placed(model, True), "cell long, vec_id long, vector array<double>")
-    shares = max(1, -(-n * tables // SHARE))
-    # a cell of more rows than a share is split; its visitors go to every part
+    # a cell of more rows than a share is cut into parts, one of more visits than a block into blocks, and each part meets each block
+    called = stash(visits.groupBy("cell").agg(F.count("*").alias("n")), "visits")
+    shares = max(1, -(-n * tables // SHARE) + (called.agg(F.sum("n")).first()[0] or 0) // (2 * VISITS))
     parts = index.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(SHARE)).cast("int").alias("parts")).filter("parts > 1")
-    index = index.join(parts, "cell", "left").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1)))).drop("parts")
-    visits = visits.join(parts, "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    share = F.pmod(F.xxhash64("cell", F.col("part").cast("long")), F.lit(shares)).alias("share")
+    blocks = called.select("cell", F.ceil(F.col("n") / F.lit(VISITS)).cast("int").alias("blocks")).filter("blocks > 1")
+    cut = stash(parts.join(blocks, "cell", "full_outer").select("cell", F.coalesce("parts", F.lit(1)).alias("parts"), F.coalesce("blocks", F.lit(1)).alias("blocks")), "cut-cells")
+    cut = F.broadcast(cut) if cut.count() <= FEW_CELLS else cut
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        found = df.join(cut, "cell", "left").withColumn(own, F.pmod(F.xxhash64("vec_id"), F.coalesce(own, F.lit(1))).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
+        return found.select(F.pmod(F.xxhash64("cell", "parts", "blocks"), F.lit(shares)).alias("share"), F.xxhash64("cell", "parts", "blocks").alias("cell"), "vec_id", "vector")
+
     schema = "query_id long, vec_id long, score double"
-    met = stash(index.select(share, "cell", "vec_id", "vector").groupBy("share").cogroup(visits.select(share, "cell", "vec_id", "vector").groupBy("share")).applyInPandas(_nearest(k), schema), "met")
+    met = stash(dealt(index, "parts", "blocks").groupBy("share").cogroup(dealt(visits, "blocks", "parts").groupBy("share")).applyInPandas(_nearest(k), schema), "met")
     # queries that found too few are compared with every row, share by share
     enough = met.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).filter(f"n >= {min(k, n - 1)}")
     short = queries.join(enough, queries["vec_id"] == enough["query_id"], "left_anti").select("vec_id", "vector")
