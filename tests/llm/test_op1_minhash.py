@@ -60,6 +60,29 @@ def test_brute_force(spark, docs, width):
     assert got(minhash_dedup(df, width=width)) == brute(rows, width)
 
 
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_ranges_change_nothing(spark, docs, parts):
+    """Regions of near copies and of boilerplate that share most of their words: wherever the ranges are cut, links are those of all pairs."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(400)]
+    frame = [rng.choice(vocabulary) for _ in range(100)]
+    rows = []
+    for g in range(60):
+        own = frame[:90] + [f"g{g}x{i}" for i in range(rng.randint(8, 25))]
+        for _ in range(rng.choice([1, 1, 2, 6])):
+            text = list(own)
+            text[rng.randrange(len(text))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(text)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert got(minhash_dedup(docs(*((i, t, "en", "s") for i, t in rows)), width=2)) == brute(rows, 2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_edges(spark, docs):
     long = " ".join(f"word{i}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One"), (5, "one"), (6, "one two"), (7, long), (8, long + " end"), (9, "é É"), (10, "É É")]

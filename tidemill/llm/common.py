@@ -75,13 +75,14 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al., 2014), each a grouped minimum and a join, until
     every edge joins a node to the minimum of its component. A path of d links takes about log(d) rounds, each of
-    which is written to the shared folder, as the plan would otherwise grow from round to round.
+    which is written to the shared folder, as the plan would otherwise grow from round to round. Joins are by sorting: the
+    nodes grow with the links.
     """
-    kept = Kept()
-    first = kept(
+    first = stash(
         links.filter("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
+        .distinct(),
+        "edges",
     )
     # rounds are written in as few files as their rows need
     parts = 1 + first.count() // ROWS_A_FILE
@@ -90,11 +91,11 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: each larger neighbour of u, and no other, moves to u's minimum
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: the smaller neighbours of u, and u, move to u's minimum
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(low, "u")
+            large.join(low.hint("merge"), "u")
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .filter("u <> v")
@@ -105,7 +106,6 @@ def components(links: DataFrame) -> DataFrame:
         marks = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("root")).union(edges.select("v", F.lit(0), F.lit(1)))
         if marks.groupBy("x").agg(F.sum("out").alias("out"), F.max("root").alias("root")).filter("out > 1 OR (out > 0 AND root > 0)").isEmpty():
             break
-    kept.drop()
     done = edges
     roots = done.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return done.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

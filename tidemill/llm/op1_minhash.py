@@ -3,9 +3,10 @@
 Every distinct text gets TREES labels of DEPTH minhash values. Each tree sorts the texts by label; candidates of a text
 are its neighbours in that order with the longest common prefixes. Where few texts share the least prefix of
 MIN_DEPTH values, all of them are neighbours; in a dense region a text's NEAR neighbours share longer prefixes, so
-the depth adapts by region. What a dense region leaves out is settled exactly (see _rest). Candidates are confirmed
-on full shingle sets. Work on copies is saved before and after: texts with equal sets are one node of the graph, and
-pairs inside a component that is already connected need no confirmation.
+the depth adapts by region. What a dense region leaves out is settled exactly (see _rest). The order is cut into ranges
+of even size wherever they fall; what lies at their borders meets in a second, small pass. Candidates are confirmed
+on full shingle sets. Work on copies is saved before and after: texts whose sets have one 128-bit digest are taken for
+equal and are one node of the graph, and pairs inside a component that is already connected need no confirmation.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def _signed(width: int, trees: int, depth: int, seed: int):
                 values, at = shingles(data, offsets, width)
                 size = np.diff(at)
                 full = np.flatnonzero(size)
-                sig = np.zeros((hi - lo, k), ">u4")
+                sig = np.zeros((hi - lo, k), ">u4")  # labels take the lower halves: the upper ones of minima are mostly 0
                 for i in range(k) if len(full) else ():
                     sig[full, i] = np.minimum.reduceat(((values ^ b[i]) * a[i]) >> np.uint64(32), at[:-1][full])
                 bits = (sig[:, np.linspace(0, k - 1, SKETCH).astype(int)] & 1).astype(np.uint8)  # the low bits of values spread over all trees
@@ -75,7 +76,7 @@ def _signed(width: int, trees: int, depth: int, seed: int):
                         pa.array(size.astype(np.int64)),
                         pa.array(fp[0]),
                         pa.array(fp[1]),
-                        pa.array([x.tobytes() for x in sig], pa.binary()),
+                        pa.array([x.tobytes() for x in (sig & 0xFFFF).astype(">u2")], pa.binary()),
                         pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary()),
                     ],
                     ["doc_id", "n_shingles", "fp1", "fp2", "sig", "sketch"],
@@ -90,7 +91,7 @@ def _labels(trees: int, depth: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(part.num_rows, trees, 4 * depth)
+                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(part.num_rows, trees, 2 * depth)
                 bits = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.int64).reshape(-1, 2)
                 for t in range(trees):
                     yield pa.RecordBatch.from_arrays(
@@ -101,13 +102,24 @@ def _labels(trees: int, depth: int):
     return run
 
 
+MET = ["a", "b", "same", "dense", "tree", "head", "label", "n", "s1", "s2"]
+
+
 def _neighbours(min_depth: int, near: int, floor: int, percent: int):
-    """Over labels in order: pairs of near neighbours that share min_depth values, whose sizes allow percent, and whose sketches agree in floor bits; dense marks the pairs of a region that reaches beyond its texts' neighbours."""
+    """Over labels in order: pairs of near neighbours that share min_depth values, whose sizes allow percent, and whose sketches agree in floor bits; dense marks the pairs of a region that reaches beyond its texts' neighbours. The first and last rows come as they are, with b null."""
+
+    def border(rows: pa.RecordBatch) -> pa.RecordBatch:
+        none = lambda kind: pa.nulls(rows.num_rows, kind)
+        cols = [rows.column("doc_id"), none(pa.int64()), none(pa.int32()), pa.array(np.full(rows.num_rows, False)), rows.column("tree"), none(pa.binary()), *(rows.column(c) for c in ("label", "n", "s1", "s2"))]
+        return pa.RecordBatch.from_arrays(cols, MET)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
+        kept, left = None, near + 1
         for batch in batches:
+            if left:
+                yield border(batch.slice(0, left))
+                left -= min(left, batch.num_rows)
             part = batch if kept is None else pa.concat_batches([kept, batch])
             old = 0 if kept is None else kept.num_rows
             n = part.num_rows
@@ -115,7 +127,7 @@ def _neighbours(min_depth: int, near: int, floor: int, percent: int):
             label = np.frombuffer(b"".join(part.column("label").to_pylist()), np.uint8).reshape(n, -1)
             sketch = np.stack([part.column("s1").to_numpy(), part.column("s2").to_numpy()], 1).view(np.uint64)
             size = part.column("n").to_numpy()
-            head = np.ascontiguousarray(label[:, : 4 * min_depth])
+            head = np.ascontiguousarray(label[:, : 2 * min_depth])
             # in order, so texts share the least prefix exactly if no text between them begins another
             new = np.ones(n, bool)
             new[1:] = (head[1:] != head[:-1]).any(1) | (tree[1:] != tree[:-1])
@@ -133,10 +145,20 @@ def _neighbours(min_depth: int, near: int, floor: int, percent: int):
                 out.append((x[good], x[good] + step, same[good], np.full(good.sum(), False)))
             x, y, same, dense = (np.concatenate(v) for v in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y])), pa.array(same), pa.array(dense), pa.array(np.where(dense, tree[x], -1)), pa.array([head[i].tobytes() if d else None for i, d in zip(x, dense, strict=True)], pa.binary())],
-                ["a", "b", "same", "dense", "tree", "head"],
+                [
+                    pa.array(np.minimum(ids[x], ids[y])),
+                    pa.array(np.maximum(ids[x], ids[y])),
+                    pa.array(same),
+                    pa.array(dense),
+                    pa.array(np.where(dense, tree[x], -1)),
+                    pa.array([head[i].tobytes() if d else None for i, d in zip(x, dense, strict=True)], pa.binary()),
+                    *(pa.nulls(len(x), kind) for kind in (pa.binary(), pa.int64(), pa.int64(), pa.int64())),
+                ],
+                MET,
             )
             kept = part.slice(max(0, n - near - 1))
+        if kept is not None:
+            yield border(kept)
 
     return run
 
@@ -203,33 +225,33 @@ def _met(percent: int):
 def _rest(dense: DataFrame, labels: DataFrame, comps: DataFrame, sets_of, percent: int, min_depth: int) -> DataFrame:
     """Exact links (a, b) between different components of regions that are denser than their texts' neighbours reach.
 
-    Regions that hold more than one component, and share texts, make a cluster. Its texts are dealt to blocks, large
-    components by themselves, and every two blocks are compared on full sets, but for two of one component: a group of
-    near copies that is linked already is met only by what stands apart from it. Only links leave a pair of blocks.
+    Only regions that hold more than one component matter. A text is at home in the largest of its regions; the texts
+    at home in one are dealt to blocks, large components by themselves, and every two blocks that a region has in common
+    are compared on full sets, but for two of one component: a group of near copies that is linked already is met only
+    by what stands apart from it. Only links leave a pair of blocks.
     """
     regions = dense.select("tree", "head").distinct()
-    inside = labels.select("tree", F.substring("label", 1, 4 * min_depth).alias("head"), "doc_id").join(regions, ["tree", "head"])
-    inside = stash(inside.join(comps, inside["doc_id"] == comps["node"], "left").withColumn("c", F.coalesce("component", "doc_id")).select("tree", "head", "doc_id", "c"), "dense")
-    mixed = inside.groupBy("tree", "head").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("doc_id").alias("first")).filter("x < y").select("tree", "head", "first")
-    texts = inside.join(mixed, ["tree", "head"])
-    clusters = components(texts.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
-    texts = texts.select("doc_id", "c").distinct().join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
-    sizes = texts.groupBy("cluster", "c").agg(F.count("*").alias("n"))
+    inside = labels.select("tree", F.substring("label", 1, 2 * min_depth).alias("head"), "doc_id").join(regions, ["tree", "head"])
+    inside = inside.join(comps, inside["doc_id"] == comps["node"], "left").select(F.xxhash64("tree", "head").alias("region"), "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    inside = stash(inside, "dense")
+    mixed = stash(inside.groupBy("region").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size")).filter("x < y").select("region", "size"), "mixed")
+    texts = inside.join(mixed, "region")
+    homes = texts.groupBy("doc_id", "c").agg(F.max(F.struct("size", "region"))["region"].alias("home"))
     # components of a block or more have blocks of their own, named by the component; the others share blocks
-    small = sizes.filter(f"n < {BLOCK}").groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).alias("shared"))
-    dealt = texts.join(sizes, ["cluster", "c"]).join(small, "cluster", "left")
+    sizes = homes.groupBy("home", "c").agg(F.count("*").alias("n"))
+    small = sizes.filter(f"n < {BLOCK}").groupBy("home").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).alias("shared"))
+    sizes = stash(sizes.join(small, "home", "left"), "sizes")
     own = F.when(F.col("n") >= BLOCK, F.col("c"))
     number = F.when(own.isNotNull(), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / F.lit(BLOCK)))).otherwise(F.pmod(F.xxhash64("c"), F.col("shared")))
-    dealt = stash(dealt.select("doc_id", "c", "cluster", F.coalesce(own, F.lit(-1)).alias("own"), number.alias("number")), "dealt")
-    blocks = dealt.select("cluster", "own", "number").distinct()
-    x, y = (blocks.select("cluster", F.col("own").alias(f"own_{s}"), F.col("number").alias(f"number_{s}")) for s in "xy")
-    pairs = x.join(y, "cluster").filter("struct(own_x, number_x) <= struct(own_y, number_y) AND (own_x = -1 OR own_x <> own_y)")
-    side = lambda s, k: pairs.select("cluster", F.col(f"own_{s}").alias("own"), F.col(f"number_{s}").alias("number"), F.struct("own_x", "number_x", "own_y", "number_y").alias("pair"), k.alias("side"))
-    itself = (F.col("own_x") == F.col("own_y")) & (F.col("number_x") == F.col("number_y"))
-    sides = side("x", F.when(itself, 2).otherwise(0)).union(side("y", F.when(itself, 3).otherwise(1))).filter("side < 3")
+    dealt = stash(homes.join(sizes, ["home", "c"]).select("doc_id", "c", F.xxhash64("home", F.coalesce(own, F.lit(-1)), number).alias("block"), F.coalesce(own, F.lit(-1)).alias("own")), "dealt")
+    blocks = stash(texts.select("region", "doc_id").join(dealt, "doc_id").select("region", "block", "own").distinct(), "blocks")
+    x, y = (blocks.select("region", F.col("block").alias(f"block_{s}"), F.col("own").alias(f"own_{s}")) for s in "xy")
+    pairs = x.join(y, "region").filter("block_x <= block_y AND (own_x = -1 OR own_x <> own_y)").select("block_x", "block_y").distinct()
+    sides = pairs.select("block_x", "block_y", F.explode(F.when(F.col("block_x") == F.col("block_y"), F.array(F.struct(F.col("block_x").alias("block"), F.lit(2).alias("side")))).otherwise(F.array(F.struct(F.col("block_x").alias("block"), F.lit(0).alias("side")), F.struct(F.col("block_y").alias("block"), F.lit(1).alias("side"))))).alias("e"))
+    sides = sides.select("block_x", "block_y", "e.block", "e.side")
     sets = sets_of(dealt.select("doc_id"))
-    held = dealt.join(sides, ["cluster", "own", "number"]).join(sets, "doc_id").select("cluster", "pair.*", "doc_id", "c", "side", "grams")
-    return held.groupBy("cluster", "own_x", "number_x", "own_y", "number_y").applyInPandas(_met(percent), "a long, b long")
+    held = dealt.select("doc_id", "c", "block").join(sides, "block").join(sets, "doc_id").select("block_x", "block_y", "doc_id", "c", "side", "grams")
+    return held.groupBy("block_x", "block_y").applyInPandas(_met(percent), "a long, b long")
 
 
 def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = TREES, min_depth: int = MIN_DEPTH, depth: int = DEPTH, near: int = NEAR, seed: int = SEED) -> DataFrame:
@@ -247,21 +269,22 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 80, trees: int
     signed = stash(slim.mapInArrow(_signed(width, trees, depth, seed), "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary, sketch binary"), "signed")
     parts = 1 + signed.count() // ROWS_A_FILE
     full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    # of equal texts, only that of the smallest doc_id goes on; most texts are alone, so the others are what is joined
-    copies = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
-    again = full.join(copies, ["fp1", "fp2"]).filter("doc_id <> rep").select("doc_id", "fp1", "fp2").distinct()
-    heads = full.join(again, ["doc_id", "fp1", "fp2"], "left_anti")
+    # of equal texts, only that of the smallest doc_id goes on
+    classes = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    copies = stash(classes.filter("n > 1").select("fp1", "fp2", "rep").coalesce(parts), "copies")
+    heads = full.join(copies, ["fp1", "fp2"], "left").filter("rep IS NULL OR doc_id = rep").drop("rep")
     if not full.groupBy("doc_id").count().filter("count > 1").isEmpty():
         heads = heads.dropDuplicates(["doc_id", "fp1", "fp2"])
     labels = heads.select("doc_id", "n_shingles", "sig", "sketch").mapInArrow(_labels(trees, depth), "tree int, label binary, doc_id long, n long, s1 long, s2 long")
     # at the least similarity, sketch bits agree with probability (1 + percent/100) / 2; five deviations below are let through
     p = (1 + percent / 100) / 2
     floor = int(SKETCH * p - 5 * (SKETCH * p * (1 - p)) ** 0.5)
-    met = stash(
-        labels.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label", "doc_id").mapInArrow(_neighbours(min_depth, near, floor, percent), "a long, b long, same int, dense boolean, tree int, head binary"),
-        "met",
-    )
+    schema = "a long, b long, same int, dense boolean, tree int, head binary, label binary, n long, s1 long, s2 long"
+    walk = _neighbours(min_depth, near, floor, percent)
+    met = stash(labels.repartitionByRange("tree", "label", "doc_id").sortWithinPartitions("tree", "label", "doc_id").mapInArrow(walk, schema), "met")
+    # a few rows of each range, in one order
+    borders = met.filter("b IS NULL").select("tree", "label", F.col("a").alias("doc_id"), "n", "s1", "s2").distinct()
+    met = met.filter("b IS NOT NULL").union(stash(borders.coalesce(1).sortWithinPartitions("tree", "label", "doc_id").mapInArrow(walk, schema).filter("b IS NOT NULL"), "borders"))
     pairs = met.filter("NOT dense AND a < b").groupBy("a", "b").agg(F.max("same").alias("same"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
