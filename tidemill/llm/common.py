@@ -109,3 +109,23 @@ def components(links: DataFrame) -> DataFrame:
     done = edges
     roots = done.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return done.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def roots(parents: DataFrame) -> DataFrame:
+    """Where each node's chain of parents ends: one row (node, component) per row of parents (node long, up long; up < node, one row per node).
+
+    Every round follows twice as many steps as the one before.
+    """
+    found = stash(parents.select("node", F.col("up").alias("component")), "roots")
+    while True:
+        up = found.select(F.col("node").alias("component"), F.col("component").alias("_up")).hint("merge")
+        found = stash(found.select("node", "component").join(up, "component", "left").select("node", F.coalesce("_up", "component").alias("component"), F.col("_up").isNotNull().alias("moved")), "roots")
+        if found.filter("moved").isEmpty():
+            return found.select("node", "component")
+
+
+def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps (node, component; roots have no row) after links (a, b) between components."""
+    over = components(links).filter("node <> component")
+    moved = comps.join(over.select(F.col("node").alias("component"), F.col("component").alias("_over")).hint("merge"), "component", "left")
+    return stash(moved.select("node", F.coalesce("_over", "component").alias("component")).union(over), "joined")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import ROWS_A_FILE, components, stash, table, text_batches
+from tidemill.llm.common import ROWS_A_FILE, joined, roots, stash, table, text_batches
 from tidemill.llm.words import chunks, mix, tidy, words
 
 TREES, MIN_DEPTH, DEPTH, NEAR, SKETCH = 28, 6, 8, 6, 128
@@ -176,25 +176,21 @@ def _sets(width: int):
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union; where a doc_id has several texts, those of any."""
+    """Pairs (a, b, ...) whose full sets have 100 * intersection >= percent * union; where a doc_id has several texts, those of any."""
     left, right = (sets.select(F.col("doc_id").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
     both = F.size(F.array_intersect("ga", "gb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("ga") + F.size("gb") - both)).select("a", "b").distinct()
+    return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("ga") + F.size("gb") - both)).select(*pairs.columns).distinct()
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components so far."""
-    left, right = (comps.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    return pairs.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
-
-
-def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """The stars of comps and new links, as links."""
-    return comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
+    """Pairs (a, b) whose ends are in different components so far, with these (ca, cb)."""
+    left, right = (comps.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")).hint("merge") for x in "ab")
+    placed = pairs.select("a", "b").join(left, "a", "left").join(right, "b", "left")
+    return placed.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).filter("ca <> cb")
 
 
 def _met(percent: int):
-    """Links between different components within a pair of blocks (rows: doc_id, c, side, grams): of a text and a component, one."""
+    """Components that link within a pair of blocks (rows: doc_id, c, side, grams)."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         if (part["side"] < 2).any():
@@ -208,22 +204,22 @@ def _met(percent: int):
         grams = np.concatenate(right["grams"].to_list())
         order = np.argsort(grams, kind="stable")
         grams, owner = grams[order], np.repeat(np.arange(len(right)), size)[order]
-        ids, comp = right["doc_id"].to_numpy(), right["c"].to_numpy()
-        out = []
-        for doc, c, own in zip(left["doc_id"], left["c"], left["grams"], strict=True):
+        comp = right["c"].to_numpy()
+        out = set()
+        for c, own in zip(left["c"], left["grams"], strict=True):
             low, high = np.searchsorted(grams, own, "left"), np.searchsorted(grams, own, "right")
             n = high - low
             at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
             both = np.bincount(owner[at], minlength=len(right))
             hit = np.flatnonzero((100 * both >= percent * (len(own) + size - both)) & (comp != c))
-            out += [(doc, ids[hit[k]]) for k in np.unique(comp[hit], return_index=True)[1]]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64") if out else empty
+            out |= {(c, x) for x in np.unique(comp[hit]).tolist()}
+        return pd.DataFrame(sorted(out), columns=["a", "b"]).astype("int64") if out else empty
 
     return run
 
 
 def _rest(dense: DataFrame, labels: DataFrame, comps: DataFrame, sets_of, percent: int, min_depth: int) -> DataFrame:
-    """Exact links (a, b) between different components of regions that are denser than their texts' neighbours reach.
+    """Exact links (a, b) between the components of regions that are denser than their texts' neighbours reach.
 
     Only regions that hold more than one component matter. A text is at home in the largest of its regions; the texts
     at home in one are dealt to blocks, large components by themselves, and every two blocks that a region has in common
@@ -293,18 +289,18 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 80, trees: int
         return stash(texts.mapInArrow(_sets(width), "doc_id long, grams array<long>"), "sets")
 
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
-    # first each text with its likeliest smaller partner, then what is still apart
+    # first each text with its likeliest smaller partner, which makes a forest, then what is still apart
     likely = pairs.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a"))
-    comps = components(stash(_confirmed(likely, sets, percent).repartition(parts), "links"))
-    more = stash(_confirmed(_apart(pairs, comps), sets, percent).repartition(parts), "links")
+    comps = roots(_confirmed(likely.select("a", "b"), sets, percent).select(F.col("b").alias("node"), F.col("a").alias("up")))
+    more = stash(_confirmed(_apart(pairs, comps), sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")).repartition(parts), "links")
     if not more.isEmpty():
-        comps = components(_merged(comps, more))
+        comps = joined(comps, more)
     dense = met.filter("dense")
     if not dense.isEmpty():
         more = stash(_rest(dense, labels, comps, sets_of, percent, min_depth).repartition(parts), "links")
         if not more.isEmpty():
-            comps = components(_merged(comps, more))
-    heads_of = classes.join(comps, classes["rep"] == comps["node"], "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("head"))
+            comps = joined(comps, more)
+    heads_of = classes.join(comps.hint("merge"), classes["rep"] == comps["node"], "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("head"))
     out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(heads_of, ["fp1", "fp2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("head")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
