@@ -309,3 +309,24 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 80, trees: int
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: 2-word shingles, 80 per cent."""
     return minhash_dedup(table(spark, sf_dir, "documents"), width=2)
+
+
+#: All pairs that share a shingle, for small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM w
+), u AS (
+  SELECT min(doc_id) AS rep, any_value(len(s)) AS n, s FROM s WHERE len(s) > 0 GROUP BY s
+), g AS (
+  SELECT rep, n, unnest(s) AS g FROM u
+), q AS (
+  SELECT a.rep AS a, b.rep AS b FROM g a JOIN g b ON a.g = b.g AND a.rep <> b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), r(node, seen) AS (
+  SELECT a, a FROM q UNION SELECT r.node, q.b FROM r JOIN q ON r.seen = q.a
+), c AS (SELECT node, min(seen) AS component FROM r GROUP BY node)
+SELECT doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(component, rep, doc_id) AS component_id, doc_id = coalesce(component, rep, doc_id) AS kept
+FROM s LEFT JOIN u ON s.s = u.s LEFT JOIN c ON rep = node
+"""

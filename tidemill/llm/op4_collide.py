@@ -299,3 +299,19 @@ def dedup_vectors(rows: DataFrame, vector: str = "embedding", cosine: float = CO
 
 def op4_collide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs, for small tables.
+ORACLE_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.9
+), r(node, seen) AS (
+  SELECT a, a FROM p UNION SELECT r.node, p.b FROM r JOIN p ON r.seen = p.a
+), c AS (SELECT node, min(seen) AS component FROM r GROUP BY node), n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON vec_id = a LEFT JOIN c ON vec_id = node
+"""

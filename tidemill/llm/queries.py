@@ -17,7 +17,9 @@ QUERIES = {
     "op10_chat": op10_chat.op10_chat,
 }
 ORACLES = {
+    "op1_minhash": op1_minhash.ORACLE_SQL,
     "op3_urls": op3_urls.ORACLE_SQL,
+    "op4_collide": op4_collide.ORACLE_SQL,
     "op7_mix": op7_mix.ORACLE_SQL,
     "op10_chat": op10_chat.ORACLE_SQL,
 }
