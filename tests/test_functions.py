@@ -112,3 +112,13 @@ def test_curl(spark):
     assert (got["method"], got["url"], got["headers"], got["cookies"], got["body"]) == ("POST", "http://h/x", {"A": "b"}, {"c": "1", "d": "2"}, "k=v")
     assert one(spark, parse_curl(F.lit("curl -G http://h -d a=1")))["url"] == "http://h?a=1"
     assert one(spark, parse_curl(F.lit("wget x"))) is None
+
+
+def test_more_ways_to_write_a_time(spark):
+    want = {
+        "2024-01-02T03:04:05Z": "2024-01-02 03:04:05", "2024-01-02T03:04:05+08:00": "2024-01-01 19:04:05", "2024-01-02T03:04:05.123-0530": "2024-01-02 08:34:05.123000", "2024-01-02 03:04": "2024-01-02 03:04:00",
+        "20240102": "2024-01-02 00:00:00", "20240102030405": "2024-01-02 03:04:05", "September 10, 2025 2:30 PM": "2025-09-10 14:30:00", "2 Jan 2024": "2024-01-02 00:00:00", "2.1.2024": "2024-01-02 00:00:00",
+        "99999999": "None", "2024-13-02T03:04:05Z": "None", "soon": "None",
+    }
+    found = spark.createDataFrame([(t,) for t in want], "t string").select("t", dates.parse_time(F.col("t")).alias("p")).collect()
+    assert {r["t"]: str(r["p"]) for r in found} == want

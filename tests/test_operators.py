@@ -2,10 +2,11 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__
 from tidemill import sources, streaming
-from tidemill.operators import chain, dedup, joins, order, validate, writes
+from tidemill.operators import chain, dedup, joins, order, stats, validate, writes
 from tidemill.sources import sinks
 
 T0 = datetime(2024, 1, 1)
@@ -141,9 +142,85 @@ def test_sql_sink(spark, tmp_path):
     with sqlite3.connect(path) as c:
         c.execute("CREATE TABLE t (i INTEGER PRIMARY KEY, v TEXT)")
     data = spark.createDataFrame([(i % 5, str(i)) for i in range(10)], "i int, v string").coalesce(1)
-    sinks.rows_to(data, lambda: sqlite3.connect(path), sinks.statement("sqlite", "t", ["i", "v"], mode="insert"), batch=4)
+    insert = sinks.statement("sqlite", "t", ["i", "v"], mode="insert")
+    seen = str(tmp_path / "seen")
+
+    def count(held):
+        with open(seen, "a") as f:
+            f.write("x" * len(held))
+
+    dead = sinks.rows_to(data, lambda: sqlite3.connect(path), insert, str(tmp_path / "dead"), batch=4, before=lambda held: [r | {"v": "v" + r["v"]} for r in held], after=count)
     with sqlite3.connect(path) as c:
-        assert c.execute("SELECT count(*), count(DISTINCT i) FROM t").fetchone() == (5, 5)
+        assert c.execute("SELECT count(*), count(DISTINCT i), min(v) FROM t").fetchone() == (5, 5, "v0")
+    assert sorted((r["i"], r["v"], r["_action"]) for r in dead.collect()) == [(i, f"v{i + 5}", "skip") for i in range(5)] and "UNIQUE" in dead.first()["_error"]
+    assert len(open(seen).read()) == 5
+    with pytest.raises(Exception, match="2 batches in a row"):
+        sinks.rows_to(data, lambda: sqlite3.connect(path), "INSERT INTO nothing VALUES (?, ?)", str(tmp_path / "dead2"), batch=2, give_up=2)
+
+
+class Flaky:
+    """A connection whose first writes fail with an error that passes, and which refuses a value for good."""
+
+    def __init__(self):
+        self.calls, self.kept = 0, []
+
+    def cursor(self):
+        return self
+
+    def executemany(self, sql, values):
+        self.calls += 1
+        if self.calls < 3:
+            raise OSError(2006, "gone away")
+        if any(v == ("bad",) for v in values):
+            raise OSError(1, "refused")
+        self.kept += values
+
+    def execute(self, sql, value):
+        if value == ("bad",):
+            raise OSError(1062, "twice")
+        self.kept.append(value)
+
+    def commit(self):
+        pass
+
+    rollback = close = commit
+
+
+def test_retries_of_a_sink():
+    c = Flaky()
+    assert sinks._send(c, "", ["v"], [{"v": "a"}, {"v": "b"}], 3, 0.0) == ([{"v": "a"}, {"v": "b"}], []) and c.calls == 3
+    sent, failed = sinks._send(c, "", ["v"], [{"v": "c"}, {"v": "bad"}], 3, 0.0)
+    assert sent == [{"v": "c"}] and failed[0]["_action"] == "skip" and c.calls == 4 and c.kept == [("a",), ("b",), ("c",)]
+
+
+def test_map_or_null(spark):
+    def call(held):
+        return [10 // r["i"] for r in held]
+
+    out = chain.map_or_null(spark.createDataFrame([(i,) for i in (1, 2, 0, 5)], "i int"), call, "x", T.LongType(), batch=2)
+    assert sorted((r["i"], r["x"]) for r in out.collect()) == [(0, None), (1, 10), (2, 5), (5, 2)]
+
+
+def test_once_in_null_keys_and_ties(spark):
+    data = [(None, T0, 1), (None, T0 + timedelta(seconds=1), 2), (1, T0, 4), (1, T0, 3), (1, T0 + timedelta(seconds=300), 5), (None, None, 6), (None, T0 + timedelta(seconds=301), 7)]
+    out = dedup.once_in(spark.createDataFrame(data, "k long, ts timestamp_ntz, i int"), ["k"], "ts", 300, ["i"])
+    assert sorted(r["i"] for r in out.collect()) == [1, 3, 5, 6, 7]
+    assert dedup.once_in(out.limit(0), ["k"], "ts", 300).count() == 0
+
+
+def test_exact_percentiles(spark):
+    import random
+
+    rng = random.Random(1)
+    data = [("big", float(rng.choice([1, 1, 1, rng.random() * 100]))) for _ in range(2000)] + [(None, 5.0), (None, 7.0), ("none", None), ("one", 3.0)]
+    df = spark.createDataFrame(data, "k string, v double")
+    shares = (0.0, 0.25, 0.5, 0.99, 1.0)
+    want = {r["k"]: r["p"] for r in df.groupBy("k").agg(stats.percentiles("v", *shares).alias("p")).collect()}
+    assert {r["k"]: pytest.approx(r["p"]) for r in stats.exact_percentiles(df, ["k"], "v", *shares).collect()} == want
+    assert want[None][2] == 6.0 and want["none"] == [0.0] * 5
+    assert stats.exact_percentiles(df.limit(0), ["k"], "v", 0.5).count() == 0
+    assert [r["v"] for r in stats.series(df.filter("k IS NULL"), "k", "v", ["v"]).collect()] == [5.0, 7.0]
+    assert stats.count_where(df, {"k": "one", "v": 3.0}).first()["count"] == 1
 
 
 def test_dead_letters(spark, tmp_path):

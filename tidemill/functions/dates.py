@@ -29,20 +29,49 @@ FORMATS = [
     (r"\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}", "y-M-d'T'H:m:s.[SSSSSS][SSSSS][SSSS][SSS][SS][S]"),
     (r"\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}", "y-M-d'T'H:m:s"),
 ]
+#: More ways to write a time: without seconds, on a twelve-hour clock, the day before the month's name, dots, or digits only.
+MORE_FORMATS = [
+    (r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}", "y-M-d H:m"),
+    (r"\d{4}-\d{1,2}-\d{1,2}[Tt]\d{1,2}:\d{1,2}", "y-M-d'T'H:m"),
+    (r"\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}", "y/M/d H:m"),
+    (r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}", "y-M-d H:m:s.[SSSSSS][SSSSS][SSSS][SSS][SS][S]"),
+    (r"\d{4}\.\d{1,2}\.\d{1,2}", "y.M.d"),
+    (r"\d{1,2}\.\d{1,2}\.\d{4}", "d.M.y"),
+    (r"\d{8}", "yyyyMMdd"),
+    (r"\d{14}", "yyyyMMddHHmmss"),
+    (r"\d{1,2} [A-Za-z]{3} \d{4}", "d MMM y"),
+    (r"\d{1,2} [A-Za-z]{4,9} \d{4}", "d MMMM y"),
+    (r"[A-Za-z]{3} \d{1,2}, \d{4} \d{1,2}:\d{1,2} [AaPp][Mm]", "MMM d, y h:m a"),
+    (r"[A-Za-z]{4,9} \d{1,2}, \d{4} \d{1,2}:\d{1,2} [AaPp][Mm]", "MMMM d, y h:m a"),
+]
+OFFSET = r"(\d{4}-\d{1,2}-\d{1,2}[Tt ]\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d{1,6})?)?) ?([Zz]|[+-]\d{2}:?\d{2})"
 SECONDS = {"seconds": 1, "minutes": 60, "hours": 3600, "days": 86400}
 LOCAL_ZONE = "Asia/Shanghai"
 
 
 def parse_time(text: Column) -> Column:
-    """The first of FORMATS that fits the stripped text, as timestamp_ntz; null if none does. Names of weekdays are not checked."""
-    plain = F.trim(F.regexp_replace(text, r"\s+", " "))
+    """The first of FORMATS, then of MORE_FORMATS, that fits the stripped text, as timestamp_ntz; null if none does.
+
+    Names of weekdays are not checked. Times with an offset or Z are turned into UTC.
+    """
+    # the stripped text is made once, as the element of an array, and each format reads that
+    return F.transform(F.array(F.trim(F.regexp_replace(text, r"\s+", " "))), _parsed)[0]
+
+
+def _parsed(plain: Column) -> Column:
     # patterns want names as they are written in full text, and no weekday
     body = F.regexp_replace(plain, r"^[A-Za-z]{3},? (?=[A-Za-z]{3} \d|\d)", "")
     tried = []
-    for like, pattern in FORMATS:
+    for like, pattern in FORMATS + MORE_FORMATS:
         source = body if like.startswith("[A-Za-z]{3} [A-Za-z]") or like.startswith("[A-Za-z]{3},") else plain
-        named = F.initcap(source) if "MMM" in pattern else source
+        named = F.initcap(source) if "MMM" in pattern else F.upper(source) if "a" in pattern else source
         tried.append(F.when(F.rlike(plain, F.lit(rf"\A{like}\z")), F.try_to_timestamp(named, F.lit(pattern)).cast("timestamp_ntz")))
+    # what has an offset: the time as it is written, less the offset
+    parts = F.regexp_extract(plain, OFFSET, 1), F.regexp_extract(plain, OFFSET, 2)
+    sign = F.when(F.startswith(parts[1], F.lit("-")), 1).otherwise(-1)
+    minutes = F.when(F.lower(parts[1]) == "z", 0).otherwise(sign * (F.substring(parts[1], 2, 2).cast("int") * 60 + F.right(parts[1], F.lit(2)).cast("int")))
+    written = F.try_to_timestamp(F.replace(F.upper(parts[0]), F.lit("T"), F.lit(" ")), F.lit("y-M-d H:m[:s][.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]")).cast("timestamp_ntz")
+    tried.append(F.when(F.rlike(plain, F.lit(rf"\A{OFFSET}\z")), F.timestamp_add("MINUTE", minutes, written)))
     return F.coalesce(*tried)
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 Transform = Callable[[DataFrame], DataFrame | tuple[DataFrame, DataFrame]]
 FIRST_OF_LIST = 500
@@ -62,3 +65,30 @@ class Registry:
 
     def names(self, kind: str) -> list[str]:
         return sorted(n for k, n in self._parts if k == kind)
+
+
+def map_or_null(rows: DataFrame, call: Callable[[list[dict]], list], name: str, kind: T.DataType, batch: int = 100) -> DataFrame:
+    """rows with name appended: what call makes of each batch of rows (as dicts), one value a row. If call fails for a batch it is called row by row, and a row that fails has null, but stays."""
+    schema = T.StructType([*rows.schema, T.StructField(name, kind)])
+    arrow = to_arrow_type(kind)
+
+    def one(row: dict) -> object:
+        try:
+            return call([row])[0]
+        except Exception:  # noqa: BLE001 - whatever a caller's function raises
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for at in range(0, part.num_rows, batch):
+                piece = part.slice(at, batch)
+                held = piece.to_pylist()
+                try:
+                    made = call(held)
+                    if len(made) != len(held):
+                        raise ValueError("one value a row")
+                except Exception:  # noqa: BLE001
+                    made = [one(row) for row in held]
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(made, arrow)], [*part.schema.names, name])
+
+    return rows.mapInArrow(run, schema)

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemill.functions.web import canonical_url
 
@@ -67,26 +66,31 @@ def remember(seen: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return seen.select(*key).union(new.select(*key)).distinct()
 
 
-def once_in(rows: DataFrame, key: list[str], time: str, seconds: float) -> DataFrame:
+def once_in(rows: DataFrame, key: list[str], time: str, seconds: float, ties: list[str] = ()) -> DataFrame:
     """Rows that are the first of their key for so long: later ones within seconds of an accepted row go, without extending its time.
 
-    Rows are hashed by key and sorted; a task goes through them once and remembers one time, so a key of any size takes
-    no memory.
+    Null is a key like others. Of equal times the first by ties stays (without them, any). A row without time can't be
+    placed and stays. Rows are hashed by key and sorted; a task goes through them once and remembers one time, so a key
+    of any size takes no memory.
     """
-    schema = rows.schema
+    names = rows.columns
+    keyed = rows.withColumn("_key", F.to_json(F.struct(*key), {"ignoreNullFields": "false"}))
+    timed = keyed.filter(F.col(time).isNotNull()).withColumn("_at", F.unix_micros(F.col(time).cast("timestamp")))
+    window = round(seconds * 1e6)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, accepted = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, accepted = None, 0
         for part in batches:
             keep = []
-            for k, t in zip(zip(*(part[c] for c in key), strict=True), part[time], strict=True):
-                new = k != last_key or (t - accepted).total_seconds() >= seconds
+            for k, t in zip(part.column("_key").to_pylist(), part.column("_at").to_pylist(), strict=True):
+                new = k != last or t - accepted >= window
                 if new:
-                    last_key, accepted = k, t
+                    last, accepted = k, t
                 keep.append(new)
-            yield part[keep]
+            yield part.filter(pa.array(keep, pa.bool_()))
 
-    return rows.filter(F.col(time).isNotNull()).repartition(*key).sortWithinPartitions(*key, time).mapInPandas(run, T.StructType(schema.fields))
+    kept = timed.repartition("_key").sortWithinPartitions("_key", "_at", *ties).mapInArrow(run, timed.schema)
+    return kept.select(*names).union(rows.filter(F.col(time).isNull()))
 
 
 def filter_stats(rows: DataFrame, key: Column) -> DataFrame:

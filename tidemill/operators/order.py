@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions.web import domain
+from tidemill.operators.stats import at_ranks
 
 
 def next_requests(frontier: DataFrame, n: int, priority: str = "priority", seq: str = "seq") -> DataFrame:
@@ -30,13 +31,14 @@ def best_matches(scored: DataFrame, group: list[str], score: str, least: float =
 
 
 def evict_oldest(rows: DataFrame, time: str, capacity: int, share: float = 0.2) -> DataFrame:
-    """rows without their oldest share if there are capacity or more. The border is one row that tasks find by a partial sort."""
+    """rows without their oldest share if there are capacity or more; what is as old as the youngest of these goes as well."""
     n = rows.count()
     gone = int(n * share)
     if n < capacity or not gone:
         return rows
-    border = rows.orderBy(time).limit(gone).agg(F.max(time)).first()[0]
-    return rows.filter(F.col(time) > F.lit(border))
+    wanted = rows.sparkSession.sql(f"SELECT 0 AS k, 'border' AS name, {gone - 1}L AS rank")
+    border = at_ranks(rows.select(F.lit(0).alias("k"), F.col(time).alias("v")), wanted).select(F.col("v").alias("_border"))
+    return rows.join(F.broadcast(border), F.col(time) > F.col("_border")).drop("_border")  # one row
 
 
 def learned_priority(requests: DataFrame, domains: DataFrame, urls: DataFrame, now: Column) -> DataFrame:
@@ -48,6 +50,7 @@ def learned_priority(requests: DataFrame, domains: DataFrame, urls: DataFrame, n
     """
     d = requests.withColumn("domain", domain(F.col("url"), "unknown")).join(domains.withColumnRenamed("count", "d_count"), "domain", "left").join(urls.withColumnRenamed("count", "u_count"), "url", "left")
     since = F.unix_micros(now.cast("timestamp")) / 1e6 - F.unix_micros(F.col("last_time").cast("timestamp")) / 1e6
+    # fixed values: the thresholds and steps
     score = (
         F.col("priority")
         - F.when(since < 5, 2).when(since < 30, 1).otherwise(0)

@@ -16,8 +16,13 @@ def counters(events: DataFrame, key: Column, amount: Column | None = None) -> Da
 
 
 def gauges(events: DataFrame, key: str, value: str, time: str) -> DataFrame:
-    """Last, largest and smallest value of each key, and all of them in order of time."""
-    return events.groupBy(key).agg(F.max_by(value, time).alias("last"), F.max(value).alias("max"), F.min(value).alias("min"), F.transform(F.sort_array(F.collect_list(F.struct(time, value))), lambda x: x[value]).alias("all"))
+    """Last, largest and smallest value of each key, and how many there are. The values themselves stay rows: see series."""
+    return events.groupBy(key).agg(F.max_by(value, time).alias("last"), F.max(value).alias("max"), F.min(value).alias("min"), F.count(value).alias("n"))
+
+
+def series(events: DataFrame, key: str, value: str, time: list[str]) -> DataFrame:
+    """What was appended to each key, in order: key, time and value, sorted by ranges, so that a key of many values is spread."""
+    return events.select(key, *time, value).orderBy(key, *time)
 
 
 def count_where(rows: DataFrame, conditions: dict[str, object]) -> DataFrame:
@@ -33,6 +38,7 @@ def per_minute(count: Column, seconds: Column) -> Column:
 
 def rolled_key(key: Column) -> Column:
     """Counter names by class: status codes by hundreds, reasons of ignored requests by the code that they hold."""
+    # fixed values: the names of the counters and the words before a code
     reason = F.regexp_extract(key, r"^request_ignore_count/reason/(.*)$", 1)
     in_text = F.regexp_extract(reason, r"状态码\s+(\d+)", 1)
     code = F.when(in_text != "", in_text).when(F.rlike(reason, F.lit(r"^\d+$")), reason)
@@ -64,11 +70,41 @@ def run_summary(requests: DataFrame, by: str = "spider", top: int = 5) -> DataFr
 
 
 def percentiles(value: str, *shares: float) -> Column:
-    """Exact, by linear interpolation; 0.0 for none."""
+    """Exact, by linear interpolation; 0.0 for none. For groups whose distinct values fit in a task; exact_percentiles is for any."""
     found = F.percentile(value, F.array(*(F.lit(s) for s in shares)))
     return F.coalesce(found, F.array(*(F.lit(0.0) for _ in shares)))
 
 
+def at_ranks(values: DataFrame, wanted: DataFrame, buckets: int = 200) -> DataFrame:
+    """Of values (k, v) those at wanted (k, name, rank from 0) in each k's order: k, name, v. Null values are left out.
+
+    Equal values are counted first. Approximate cuts divide a group into buckets; the counts of these tell which of them hold
+    the ranks, and only they are ordered.
+    """
+    known = values.filter("v IS NOT NULL")
+    cuts = known.groupBy("k").agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("cuts"))
+    counted = known.groupBy("k", "v").agg(F.count("*").alias("n")).join(cuts, "k").select("k", "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("bucket"))
+    sizes = counted.groupBy("k", "bucket").agg(F.sum("n").alias("n"))
+    before = sizes.select("k", "bucket", "n", F.coalesce(F.sum("n").over(W.partitionBy("k").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    asked = wanted.join(before, "k").filter("rank >= before AND rank < before + n").select("k", "bucket", "name", (F.col("rank") - F.col("before")).alias("rank"))
+    held = counted.join(asked.select("k", "bucket").distinct(), ["k", "bucket"])
+    upto = held.withColumn("upto", F.sum("n").over(W.partitionBy("k", "bucket").orderBy("v")))
+    return upto.join(asked, ["k", "bucket"]).filter("rank < upto AND rank >= upto - n").select("k", "name", "v")
+
+
+def exact_percentiles(rows: DataFrame, by: list[str], value: str, *shares: float) -> DataFrame:
+    """by and p, an array of exact percentiles by linear interpolation (0.0 for none), for groups of any size."""
+    # a struct is equal to another with the same nulls
+    values = rows.select(F.struct(*by).alias("k"), F.col(value).cast("double").alias("v"))
+    sizes = values.groupBy("k").agg(F.count("v").alias("n"))
+    places = sizes.select("k", "n", F.posexplode(F.array(*(F.lit(float(s)) for s in shares))).alias("i", "share")).withColumn("at", F.col("share") * F.greatest(F.col("n") - 1, F.lit(0)))
+    ends = F.array(F.struct(F.lit("low").alias("end"), F.floor("at").alias("rank")), F.struct(F.lit("high").alias("end"), F.ceil("at").alias("rank")))
+    wanted = places.select("k", F.explode(F.transform(ends, lambda e: F.struct(F.struct("i", e["end"].alias("end")).alias("name"), e["rank"].alias("rank")))).alias("e")).select("k", "e.*")
+    found = at_ranks(values, wanted).groupBy("k", F.col("name.i").alias("i")).agg(F.max(F.when(F.col("name.end") == "low", F.col("v"))).alias("low"), F.max(F.when(F.col("name.end") == "high", F.col("v"))).alias("high"))
+    mixed = places.join(found, ["k", "i"], "left").withColumn("v", F.coalesce(F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at")), F.lit(0.0)))
+    return mixed.groupBy("k").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("p")).select("k.*", "p")
+
+
 def latest(rows: DataFrame, time: list[str], n: int = 1000) -> DataFrame:
     """The last n samples; each task keeps n."""
     return rows.orderBy(*(F.desc(t) for t in time)).limit(n)
@@ -97,8 +133,13 @@ def status_bytes(responses: DataFrame) -> DataFrame:
     return responses.agg(F.count_if(F.col("status").between(200, 299)).alias("success_count"), F.count_if(F.col("status") >= 400).alias("error_count"), F.coalesce(F.sum("content_length"), F.lit(0)).alias("bytes"))
 
 
+def fetch_counts() -> list[Column]:
+    """Aggregates over ok and bytes."""
+    return [F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.coalesce(F.sum(F.when(F.col("ok"), F.col("bytes"))), F.lit(0)).alias("total_bytes")]
+
+
 def fetch_summary(results: DataFrame) -> DataFrame:
-    return results.agg(F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.coalesce(F.sum(F.when(F.col("ok"), F.col("bytes"))), F.lit(0)).alias("total_bytes"))
+    return results.agg(*fetch_counts())
 
 
 def success_rate(done: Column, failed: Column) -> Column:
@@ -106,11 +147,14 @@ def success_rate(done: Column, failed: Column) -> Column:
     return F.coalesce(F.try_divide(done * 100.0, done + failed), F.lit(100.0))
 
 
-def task_stats(tasks: DataFrame) -> DataFrame:
-    """Counts of outcomes; success is what is left."""
+def outcome_counts() -> list[Column]:
+    """Aggregates over outcome; success is what is left."""
     kinds = ("exception", "cancelled", "timeout")
-    counted = tasks.agg(F.count("*").alias("total"), *(F.count_if(F.col("outcome") == k).alias(k) for k in kinds))
-    return counted.withColumn("success", F.col("total") - F.col("exception") - F.col("cancelled") - F.col("timeout"))
+    return [F.count("*").alias("total"), *(F.count_if(F.col("outcome") == k).alias(k) for k in kinds), F.count_if(~F.coalesce(F.col("outcome").isin(*kinds), F.lit(False))).alias("success")]
+
+
+def task_stats(tasks: DataFrame) -> DataFrame:
+    return tasks.agg(*outcome_counts())
 
 
 def cluster_progress(workers: DataFrame) -> DataFrame:

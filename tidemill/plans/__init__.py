@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.plans import events, more, records, text
+from tidemill.plans import events, flows, more, records, text
 
-QUERIES = text.QUERIES | records.QUERIES | events.QUERIES | more.QUERIES
-ORACLES = text.ORACLES | records.ORACLES | events.ORACLES | more.ORACLES
+QUERIES = text.QUERIES | records.QUERIES | events.QUERIES | more.QUERIES | flows.QUERIES
+ORACLES = text.ORACLES | records.ORACLES | events.ORACLES | more.ORACLES | flows.ORACLES

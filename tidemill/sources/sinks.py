@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemill.functions.records import document_id, sink_value
 from tidemill.functions.text import metric_name, safe_filename
 from tidemill.operators.dedup import keep_first
+from tidemill.operators.writes import error_action
 
 
 def for_sql(rows: DataFrame) -> DataFrame:
@@ -32,9 +36,9 @@ def json_lines(rows: DataFrame, path: str, crawl_time: str | None = None, spider
     (rows.withColumns(extra) if extra else rows).write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def json_array(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One JSON array in each file: the records of a partition between brackets, joined as the task writes them, none held together."""
-    text = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+def json_array(rows: DataFrame, path: str, mode: str = "overwrite", single: bool = False) -> None:
+    """One JSON array in each file: the records of a partition between brackets, joined as the task writes them, none held together. single: one file, which one task writes."""
+    text = (rows.coalesce(1) if single else rows).select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before = "["
@@ -80,41 +84,77 @@ def statement(dialect: str, table: str, columns: list[str], key: list[str] = (),
     return f"INSERT OR {'REPLACE' if mode == 'replace' else 'IGNORE'} {body}"
 
 
-def rows_to(rows: DataFrame, connect: Callable[[], object], sql: str, batch: int = 100, tries: int = 3) -> None:
-    """Writes rows by a DB-API statement from the tasks: batches are tried again, then go row by row, and a row that fails is left out. connect opens a connection in the task."""
-    columns = rows.columns
+Rows = list[dict[str, object]]
 
-    def run(part) -> None:
-        connection = connect()
+
+def rows_to(
+    rows: DataFrame, connect: Callable[[], object], sql: str, dead_letters: str, batch: int = 100, tries: int = 3, wait: float = 1.0, give_up: int = 10, before: Callable[[Rows], Rows] | None = None,
+    after: Callable[[Rows], None] | None = None,
+) -> DataFrame:
+    """Writes rows by a DB-API statement from the tasks; connect opens a connection in the task.
+
+    A batch whose error may pass (error_action) is tried again, after wait seconds more each time; one that fails goes row
+    by row. Rows that fail are not lost: they are added to the table at dead_letters with _action (skip, retry or fatal) and
+    _error, and come back as a DataFrame. After give_up batches in a row of which no row went in, the task fails. before gets
+    each batch as dicts and returns what is to be written, after gets what was written. A task that Spark repeats writes
+    its rows again, as with any sink of this kind.
+    """
+    flat = for_sql(rows)
+    columns = flat.columns
+    schema = T.StructType([*flat.schema, T.StructField("_action", T.StringType()), T.StructField("_error", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        connection, empty = None, 0
         try:
-            held: list[tuple] = []
-            for row in part:
-                held.append(tuple(row[c] for c in columns))
-                if len(held) == batch:
-                    _send(connection, sql, held, tries)
-                    held = []
-            if held:
-                _send(connection, sql, held, tries)
+            for part in batches:
+                for at in range(0, part.num_rows, batch):
+                    held = part.slice(at, batch).to_pylist()
+                    held = before(held) if before else held
+                    connection = connection or connect()
+                    sent, failed = _send(connection, sql, columns, held, tries, wait)
+                    if after and sent:
+                        after(sent)
+                    empty = 0 if sent or not held else empty + 1
+                    if empty >= give_up:
+                        raise RuntimeError(f"{give_up} batches in a row failed: {failed[-1]['_error']}")
+                    if failed:
+                        yield pa.RecordBatch.from_pylist(failed, to_arrow_schema(schema))
         finally:
-            connection.close()
+            if connection:
+                connection.close()
+
+    flat.mapInArrow(run, schema).write.mode("append").parquet(dead_letters)
+    return rows.sparkSession.read.schema(schema).parquet(dead_letters)
+
 
-    for_sql(rows).foreachPartition(run)
+def _action(error: Exception) -> str:
+    code = error.args[0] if error.args and isinstance(error.args[0], int) else None
+    return error_action(code) if code is not None else "skip"
 
 
-def _send(connection, sql: str, held: list[tuple], tries: int) -> None:
-    for _ in range(tries):
+def _send(connection, sql: str, columns: list[str], held: Rows, tries: int, wait: float) -> tuple[Rows, Rows]:
+    """What was written, and what was not with _action and _error."""
+    values = [tuple(r[c] for c in columns) for r in held]
+    for n in range(tries):
         try:
-            connection.cursor().executemany(sql, held)
+            connection.cursor().executemany(sql, values)
             connection.commit()
-            return
-        except Exception:  # noqa: BLE001 - drivers have their own classes
+            return held, []
+        except Exception as error:  # noqa: BLE001 - drivers have their own classes
             connection.rollback()
-    for row in held:
+            if _action(error) != "retry":
+                break
+            time.sleep(wait * (n + 1))
+    sent, failed = [], []
+    for row, value in zip(held, values, strict=True):
         try:
-            connection.cursor().execute(sql, row)
+            connection.cursor().execute(sql, value)
             connection.commit()
-        except Exception:  # noqa: BLE001
+            sent.append(row)
+        except Exception as error:  # noqa: BLE001
             connection.rollback()
+            failed.append({c: row[c] for c in columns} | {"_action": _action(error), "_error": str(error)})
+    return sent, failed
 
 
 def documents(rows: DataFrame, order: list[str] = (), given_id: str | None = None) -> DataFrame:
