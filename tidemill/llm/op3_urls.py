@@ -34,14 +34,21 @@ def intervals(entries: DataFrame) -> DataFrame:
     return dated.select("pattern", F.col("dated").alias("since"), F.lead("dated").over(ordered).alias("until"), "listed").filter("listed").drop("listed")
 
 
-def _keys(host: Column, url: Column) -> Column:
-    """What a capture may be listed by: its host, the domains above it, and its host with each of its directories."""
-    labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.split(F.regexp_extract(url, PATH, 1), "/")
+def _shapes(patterns: DataFrame) -> tuple[list[int], list[int]]:
+    """Which numbers of labels listed domains have, and which numbers of directories listed hosts with a directory have."""
+    slashes, dots = (F.length("pattern") - F.length(F.replace("pattern", F.lit(mark))) for mark in "/.")
+    found = patterns.select(F.when(slashes == 0, dots + 1).alias("labels"), F.when(slashes > 0, slashes).alias("depth")).distinct().collect()
+    return [sorted({r[k] for r in found if r[k] is not None}) for k in ("labels", "depth")]
+
+
+def _keys(host: Column, url: Column, labels: list[int], depths: list[int]) -> Column:
+    """What a capture may be listed by, of the shapes that are listed: its host and the domains above it, and its host with its directories."""
+    path = F.regexp_extract(url, PATH, 1)
+    dots, slashes = (F.length(c) - F.length(F.replace(c, F.lit(mark))) for c, mark in ((host, "."), (path, "/")))
+    found = [F.when(dots + 1 >= n, F.substring_index(host, ".", -n)) for n in labels]
     # the last part is a file
-    dirs = F.when(F.size(parts) >= 2, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(host, F.lower(F.array_join(F.slice(parts, 1, i), "/")), F.lit("/"))))
-    return F.concat(domains, F.coalesce(dirs, F.array().cast("array<string>")))
+    found += [F.when(slashes >= n, F.concat(host, F.lower(F.substring_index(path, "/", n)), F.lit("/"))) for n in depths]
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -54,8 +61,9 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     hosted = captures.withColumn("host", host_of(F.col("url")))
     # each fetch of a URL is looked up once, however many rows hold it
     asked = hosted.filter("host IS NOT NULL AND fetched_at IS NOT NULL").select("url", "fetched_at", "host").distinct()
-    keyed = asked.select("url", "fetched_at", F.explode(F.array_distinct(_keys(F.col("host"), F.col("url")))).alias("pattern"))
-    met = keyed.join(intervals(entries), "pattern").filter("since <= fetched_at AND (until IS NULL OR fetched_at < until)")
+    listed = intervals(entries)
+    keyed = asked.select("url", "fetched_at", F.explode(_keys(F.col("host"), F.col("url"), *_shapes(listed))).alias("pattern"))
+    met = keyed.join(listed, "pattern").filter("since <= fetched_at AND (until IS NULL OR fetched_at < until)")
     best = met.groupBy("url", "fetched_at").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "since")).alias("best"))
     best = best.select("url", "fetched_at", F.lit(True).alias("listed"), "best.pattern", "best.since")
     return hosted.join(best, ["url", "fetched_at"], "left").withColumn("listed", F.coalesce("listed", F.lit(False))).select(*captures.columns, "host", "listed", "pattern", "since")
