@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from tidemill.llm.op2_langid import HashTable, LanguageModels, fit_languages, identify_languages, op2_langid
+from tidemill.llm.op2_langid import BITS, HashTable, LanguageModels, fit_languages, identify_languages, op2_langid
 
 EN, DE = "the quick brown fox jumps over the lazy dog and runs", "der schnelle braune fuchs springt über den faulen hund und rennt"
 
@@ -14,16 +14,85 @@ def models(spark, docs):
     return fit_languages(docs(*rows))
 
 
-def test_probabilities_sum_to_one(spark, docs):
+class Slow:
+    """Interpolated Kneser-Ney of one language, by dictionaries."""
+
+    def __init__(self, sequences, order, size):
+        self.order, self.size, self.levels = order, size, {}
+        counts = {}
+        for s in sequences:
+            for i in range(order - 1, len(s)):
+                gram = tuple(s[i - order + 1 : i + 1])
+                counts[gram] = counts.get(gram, 0) + 1
+        for n in range(order, 0, -1):
+            once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+            self.levels[n] = counts, min(0.95, max(0.1, once / max(once + 2 * twice, 1)))
+            lower = {}
+            for gram in counts:  # by how many different symbols a shorter one is preceded
+                lower[gram[1:]] = lower.get(gram[1:], 0) + 1
+            counts = lower
+
+    def p(self, gram):
+        if not gram:
+            return 1 / self.size
+        counts, discount = self.levels[len(gram)]
+        after = [c for g, c in counts.items() if g[:-1] == gram[:-1]]
+        if not after:
+            return self.p(gram[1:])
+        return max(counts.get(gram, 0) - discount, 0) / sum(after) + discount * len(after) / sum(after) * self.p(gram[1:])
+
+
+def symbols_of(m, text):
+    """Padding, then letters as symbols, and one 0 after each run of letters that something follows."""
+    out = [0] * (m.order - 1)
+    for k, c in enumerate(text.lower()):
+        if c.isalpha():
+            out.append(int(m.symbols(np.array([ord(c)]))[0]))
+        elif k and text[k - 1].isalpha():
+            out.append(0)
+    return out
+
+
+def test_against_dictionaries():
+    """Cross-entropies and single probabilities are those of a plain implementation, in every language and order."""
+    rows = [("en", t) for t in ("The dog, and a fox", "a fox ran", " the foxes")] + [("de", t) for t in ("der Hund und der Fuchs!", "ein Fuchs rannte", "über")]
+    m = LanguageModels.fit(rows, order=4)
+    slow = {x: Slow([symbols_of(m, t) for y, t in rows if y == x], 4, m.size) for x in m.langs}
+    texts = ["the fox and the hound", "der fuchs", "  übermut zzz", "x", "dog  dog"]
+    h, n, _ = m.cross_entropy(pa.array(texts, pa.large_string()))
+    for i, t in enumerate(texts):
+        s = symbols_of(m, t)
+        grams = [tuple(s[k - 3 : k + 1]) for k in range(3, len(s))]
+        assert n[i] == len(grams)
+        assert np.allclose(h[i], [-np.mean([np.log(slow[x].p(g)) for g in grams]) for x in m.langs], atol=1e-4)
+    for order in range(1, 5):
+        table, logs = m.grams[order - 1]
+        for x, name in enumerate(m.langs):
+            for gram in list(slow[name].levels[order][0])[:40]:
+                code = sum(int(c) << (BITS * k) for k, c in enumerate(reversed(gram)))
+                place, found = table.find(np.array([code], np.uint64))
+                assert found[0] and abs(np.exp(logs[place[0], x]) - slow[name].p(gram)) < 1e-5
+
+
+def test_probabilities_sum_to_one():
     """Interpolated probabilities of all symbols after a context add up to one, in each language and order."""
-    m = models(spark, docs)
-    size = len(m.alphabet) + 2
-    for n in range(1, m.order + 1):
-        grams, logs = m.grams[n - 1]
-        codes = np.arange(size, dtype=np.uint64)
-        if n == 1:
-            place, found = grams.find(codes)
-            assert found.all() and np.allclose(np.exp(logs[place]).sum(0), 1, atol=1e-4)
+    m = LanguageModels.fit([("en", EN), ("en", "a fox"), ("de", DE)], order=4)
+    slow = {x: Slow([symbols_of(m, t) for y, t in (("en", EN), ("en", "a fox"), ("de", DE)) if y == x], 4, m.size) for x in m.langs}
+    for x in m.langs:
+        for order in range(1, 5):
+            for context in list({g[:-1] for g in slow[x].levels[order][0]})[:10]:
+                assert abs(sum(slow[x].p((*context, c)) for c in range(m.size)) - 1) < 1e-9
+    grams, logs = m.grams[0]
+    place, found = grams.find(np.arange(m.size, dtype=np.uint64))
+    assert found.all() and np.allclose(np.exp(logs[place]).sum(0), 1, atol=1e-4)
+
+
+def test_neighbours_change_nothing():
+    """A text's entropy does not depend on the texts before it."""
+    m = LanguageModels.fit([("en", EN), ("de", DE)])
+    together = m.cross_entropy(pa.array(["a fox", " the dog", "", "!x"], pa.large_string()))
+    alone = [m.cross_entropy(pa.array([t], pa.large_string())) for t in ("a fox", " the dog", "", "!x")]
+    assert np.allclose(together[0], np.concatenate([a[0] for a in alone]), atol=1e-6) and together[1].tolist() == [int(a[1][0]) for a in alone]
 
 
 def test_hash_table():

@@ -81,6 +81,42 @@ def test_chunks_change_nothing(labelled):
     assert np.allclose(together, alone, atol=1e-5)
 
 
+def test_convolution_by_loops(labelled):
+    """Logits are those of a convolution written out: every filter at every place, zeros past the end, the strongest answer kept."""
+    model = fit_toxicity(*labelled, epochs=1)
+    texts = ["one", "en1 scummax two three", "", "a b c d e f g h"]
+    f, at = features(*bytes_of(*texts))
+    got = model.logits(f, at)
+    per = op8_toxicity.FILTERS
+    for t in range(len(texts)):
+        words = [model.embed[x].sum(0) for x in f[at[t] : at[t + 1]]]
+        pooled = []
+        for c in range(per * len(op8_toxicity.WIDTHS)):
+            width, best = op8_toxicity.WIDTHS[c // per], -np.inf
+            for i in range(len(words)):
+                total = 0.0
+                for k in range(width):
+                    column = c - (len(model.bias) - model.conv[k].shape[1])
+                    if i + k < len(words):
+                        total += float(words[i + k] @ model.conv[k][:, column])
+                best = max(best, total)
+            pooled.append(max(best + model.bias[c], 0.0))
+        assert abs(float(np.dot(pooled, model.out) + model.base) - got[t]) < 1e-3
+
+
+def test_pooling_by_loops(labelled):
+    model = fit_quality(*labelled)
+    texts = ["One ONE one!! 12\n", "", "en1 en2 en1"]
+    bucket, shape, at = tokens(*bytes_of(*texts))
+    got = model.pooled(bucket, shape, at)
+    for t in range(len(texts)):
+        own = range(at[t], at[t + 1])
+        n = len(own)
+        mean = lambda table, key: sum((table[key[i]] for i in own), np.zeros(op9_quality.DIM)) / max(n, 1)
+        want = [*mean(model.words, bucket), *mean(model.shapes, shape), np.log1p(n), len({int(shape[i]) for i in own}) / np.sqrt(max(n, 1))]
+        assert np.allclose(got[t], want, atol=1e-5)
+
+
 def test_every_language_and_label_is_sampled(spark):
     """Many languages, few positives of each: every one is in the sample, which stays within its bounds."""
     rows = [(i, f"word{i % 7} of l{i % 80}" * 3, f"l{i % 80}") for i in range(4_000)]

@@ -116,6 +116,8 @@ class LanguageModels:
         letters = np.concatenate([[0], np.cumsum(keep)])
         letters = letters[at[1:]] - letters[at[:-1]]
         keep[1:] |= sym[:-1] != 0
+        first = at[:-1][size > 0]
+        keep[first] = sym[first] != 0  # whatever text came before
         before = np.concatenate([[0], np.cumsum(keep)])[at]
         n, pad = np.diff(before), self.order - 1
         place = np.arange(before[-1]) + np.repeat(np.arange(1, len(n) + 1) * pad, n)
