@@ -36,6 +36,11 @@ def even_share(cells: list[tuple[int, float]], sample: int, most: int, chars: fl
     return low
 
 
+def small(df: DataFrame, rows: int, most: int = 50_000) -> DataFrame:
+    """df, of which rows are known, to be broadcast if it is small; else Spark decides."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset, a folder of this machine, if all of Spark runs on it, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -24,8 +24,8 @@ from tidemill.llm.words import chunks, mix, tidy, words
 
 TREES, MIN_DEPTH, DEPTH, NEAR, SKETCH = 28, 6, 8, 6, 128
 SEED = 77
-#: Texts of a block in which dense regions are settled.
-BLOCK = 256
+#: Texts of a block in which dense regions are settled, and how far texts of small regions move to larger ones to share blocks.
+BLOCK, HOPS = 256, 2
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,8 +221,8 @@ def _met(percent: int):
 def _rest(dense: DataFrame, labels: DataFrame, comps: DataFrame, sets_of, percent: int, min_depth: int) -> DataFrame:
     """Exact links (a, b) between the components of regions that are denser than their texts' neighbours reach.
 
-    Only regions that hold more than one component matter. A text is at home in the largest of its regions; the texts
-    at home in one are dealt to blocks, large components by themselves, and every two blocks that a region has in common
+    Only regions that hold more than one component matter. A text is at home in the largest of its regions, or the largest
+    that is HOPS regions from there; the texts at home in one are dealt to blocks, large components by themselves, and every two blocks that a region has in common
     are compared on full sets, but for two of one component: a group of near copies that is linked already is met only
     by what stands apart from it. Only links leave a pair of blocks.
     """
@@ -232,7 +232,12 @@ def _rest(dense: DataFrame, labels: DataFrame, comps: DataFrame, sets_of, percen
     inside = stash(inside, "dense")
     mixed = stash(inside.groupBy("region").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size")).filter("x < y").select("region", "size"), "mixed")
     texts = inside.join(mixed, "region")
-    homes = texts.groupBy("doc_id", "c").agg(F.max(F.struct("size", "region"))["region"].alias("home"))
+    homes = stash(texts.groupBy("doc_id", "c").agg(F.max(F.struct("size", "region")).alias("home")), "homes")
+    for _ in range(HOPS):
+        # a small region's texts move to the largest home that its texts have, so that blocks are filled
+        up = texts.select("region", "doc_id").join(homes, "doc_id").groupBy(F.col("region").alias("from")).agg(F.max("home").alias("up"))
+        homes = stash(homes.join(up, F.col("home.region") == F.col("from")).select("doc_id", "c", F.col("up").alias("home")), "homes")
+    homes = homes.select("doc_id", "c", F.col("home.region").alias("home"))
     # components of a block or more have blocks of their own, named by the component; the others share blocks
     sizes = homes.groupBy("home", "c").agg(F.count("*").alias("n"))
     small = sizes.filter(f"n < {BLOCK}").groupBy("home").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).alias("shared"))

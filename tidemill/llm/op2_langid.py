@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import even_share, table, text_batches
+from tidemill.llm.common import even_share, small, table, text_batches
 from tidemill.llm.words import chunks, release, tidy
 
 #: Every language is fitted, on at most SAMPLE labelled texts, of which the first MAX_CHARS characters are read; fewer of each where they would pass MANY * SAMPLE texts or CHARS characters in all.
@@ -274,7 +274,7 @@ def fit_languages(labelled: DataFrame, sample: int = SAMPLE, order: int = ORDER)
         # so many by hash that sample texts are met; then the first by hash
         share = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.3 * sample / r["n"] + 30 / r["n"])) for r in counts], "lang string, share double")
         order_by = F.xxhash64("text")
-        picked = usable.join(share, "lang").filter(F.pmod(order_by, F.lit(1_000_000)) < F.col("share") * 1_000_000)
+        picked = usable.join(small(share, len(counts)), "lang").filter(F.pmod(order_by, F.lit(1_000_000)) < F.col("share") * 1_000_000)
         found = picked.select("lang", "text", order_by.alias("h")).toPandas().sort_values(["h", "text"])
         rows = [(x, t) for x, g in found.groupby("lang") for t in g["text"].head(sample)]
     models = LanguageModels.fit(rows, order) if rows else LanguageModels([], np.empty(0, np.uint32), order)
