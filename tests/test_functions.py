@@ -93,10 +93,24 @@ def test_pressure(spark):
 
 def test_html(spark):
     page = '<div class="content"><h1>Hi <b>you</b></h1><ul class=list><li>a<li>b<li>c</ul><a class=link href=/x?a=1&amp;b=2>L</a><img class=image src=i.png alt=A></div>'
-    found = one(spark, html.extract(F.lit(page), {"h": ".content h1", "li": ".list > li", "href": "a.link::attr(href)", "src": "//img/@src", "second": "//ul[@class='list']/li[2]/text()", "none": "table"}))
-    assert found == {"h": ["Hi you"], "li": ["a", "b", "c"], "href": ["/x?a=1&b=2"], "src": ["i.png"], "second": ["b"], "none": []}
+    wanted = {"h": ".content h1", "li": ".list > li", "href": "a.link::attr(href)", "src": "//img/@src", "second": "//ul[@class='list']/li[2]/text()", "both": "h1 b, a[href^='/x']", "none": "table"}
+    pages = spark.createDataFrame([(1, page), (2, None), (3, "plain"), (4, "<p>" * 3000 + "deep"), (5, "</div><b>x</b>")], "id long, html string")
+    found = {r["id"]: r["found"] for r in html.extract(pages, ["id"], "html", wanted).collect()}
+    assert found.pop(1) == {"h": ["Hi you"], "li": ["a", "b", "c"], "href": ["/x?a=1&b=2"], "src": ["i.png"], "second": ["b"], "both": ["you", "L"]}
+    assert found == {2: None, 3: None, 4: None, 5: None}
+    rows = html.nodes(pages, ["id"], "html")
+    assert html.values(rows, ["id"], "p").filter("id = 4").first()["value"] == "deep" and html.values(rows, ["id"], "b").filter("id = 5").count() == 1
+    assert html.extract(pages.limit(0), ["id"], "html", wanted).count() == 0
     rows = html.elements(spark.createDataFrame([(1, page)], "id long, html string"), ["id"], "html", "li").orderBy("place").collect()
     assert [r["text"] for r in rows] == ["a", "b", "c"] and rows[0]["path"] == ["div", "ul", "li"] and rows[0]["siblings"] == ["li", "li"]
+    every = {(r["tag"], r["place"]): r for r in html.elements(pages.filter("id = 1"), ["id"], "html").collect()}
+    assert len(every) == 9 and every["div", 1]["children"] == ["h1", "ul", "a", "img"] and every["div", 1]["parent_name"] is None and every["h1", 2]["text"] == "Hi"
+    fp = F.struct("tag", "text", "attributes", "path", "parent_name", "parent_attributes", "parent_text", "siblings", "children").alias("fp")
+    candidates = html.elements(pages.filter("id = 1"), ["id"], "html").select(F.col("id").alias("page"), "place", fp)
+    second = candidates.filter("fp.text = 'b'")
+    assert [70 < r["score"] < 80 for r in html.find_similar(second, candidates, 50.0).collect()] == [True, True]
+    saved = spark.createDataFrame([("d", "x", 1)], "domain string, identifier string, v int")
+    assert html.save_first(saved, spark.createDataFrame([("d", "x", 2), ("d", "y", 3)], "domain string, identifier string, v int")).count() == 2
     a = {"tag": "li", "text": "abc", "attributes": {"class": "x"}, "path": ["ul", "li"], "parent_name": "ul", "parent_attributes": {}, "parent_text": None, "siblings": ["li"], "children": []}
     assert html.alike(a, a) == 100.0 and html.alike(a, a | {"text": "xyz"}) < 80
 

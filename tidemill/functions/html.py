@@ -1,12 +1,15 @@
-"""Selection from HTML: all selectors of a page in one trip to Python, which parses it once."""
+"""HTML as rows: a page is parsed once into a row for each element and text, and selectors are filters and joins over these rows.
+
+Places number the elements and texts of a page in document order; last is the largest place below an element, so that
+what is below an element lies between its place and last.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from difflib import SequenceMatcher
-from html import escape
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -18,79 +21,74 @@ from pyspark.sql import types as T
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 CLOSES = {"li": {"li"}, "p": {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "section", "article"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
+NODE = "place int, last int, parent int, tag string, attrs map<string,string>, nth int, text string"
+
+
+class _Rows(HTMLParser):
+    """Rows of one page; place 0 is the page itself."""
 
-@dataclass
-class Node:
-    tag: str
-    attrs: dict[str, str] = field(default_factory=dict)
-    parent: Node | None = None
-    children: list[Node | str] = field(default_factory=list)
-
-    def walk(self) -> Iterator[Node]:
-        stack = [self]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
-
-    def texts(self) -> Iterator[str]:
-        stack: list[Node | str] = [self]
-        while stack:
-            node = stack.pop()
-            if isinstance(node, str):
-                yield node
-            else:
-                stack += reversed(node.children)
-
-    def text(self) -> str:
-        """Text nodes below, stripped and joined by a space, blank ones left out."""
-        return " ".join(t for t in (x.strip() for x in self.texts()) if t)
-
-    def outer(self) -> str:
-        attrs = "".join(f' {k}="{escape(v)}"' for k, v in self.attrs.items())
-        inner = "".join(c.outer() if isinstance(c, Node) else escape(c, quote=False) for c in self.children)
-        return f"<{self.tag}{attrs}>" + ("" if self.tag in VOID else f"{inner}</{self.tag}>")
-
-    def path(self) -> list[str]:
-        node, out = self, []
-        while node and node.parent:
-            out.append(node.tag)
-            node = node.parent
-        return out[::-1]
-
-
-class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("")
+        self.rows: list[list] = [[0, 0, None, "", {}, 1, None]]
+        self.open, self.seen = [0], [{}]
+
+    def _add(self, tag: str | None, attrs: dict[str, str] | None, text: str | None) -> int:
+        at, nth = len(self.rows), None
+        if tag:
+            nth = self.seen[-1][tag] = self.seen[-1].get(tag, 0) + 1
+        self.rows.append([at, at, self.open[-1], tag, attrs, nth, text])
+        return at
+
+    def _close(self) -> None:
+        self.rows[self.open.pop()][1] = len(self.rows) - 1
+        self.seen.pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in CLOSES.get(self.at.tag, ()):
-            self.at = self.at.parent
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
+        if tag in CLOSES.get(self.rows[self.open[-1]][3], ()):
+            self._close()
+        at = self._add(tag, {k: v or "" for k, v in attrs}, None)
         if tag not in VOID:
-            self.at = node
+            self.open.append(at)
+            self.seen.append({})
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
+        self._add(tag, {k: v or "" for k, v in attrs}, None)
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node and node.tag != tag:
-            node = node.parent
-        if node and node.parent:
-            self.at = node.parent
+        if any(self.rows[x][3] == tag for x in self.open[1:]):
+            while self.rows[self.open[-1]][3] != tag:
+                self._close()
+            self._close()
 
     def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
+        if data.strip():
+            self._add(None, None, data.strip())
 
+    @classmethod
+    def of(cls, page: str) -> list[list]:
+        made = cls()
+        made.feed(page)
+        made.close()
+        while made.open:
+            made._close()
+        return made.rows
 
-def parse(html: str) -> Node:
-    builder = _Builder()
-    builder.feed(html)
-    builder.close()
-    return builder.root
+
+def nodes(pages: DataFrame, key: list[str], html: str) -> DataFrame:
+    """Rows of pages: key, place, last, parent, tag, attrs, nth (place among siblings of its tag), text (stripped, of texts; blank ones are left out). Null HTML has none."""
+    kinds = dict(pages.dtypes)
+    names = [x.split()[0] for x in NODE.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for r in part.to_dict("records"):
+                if r[html] is not None:
+                    made = pd.DataFrame(_Rows.of(r[html]), columns=names)
+                    for k in key:
+                        made[k] = r[k]
+                    yield made[[*key, *names]]
+
+    return pages.select(*key, html).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + f", {NODE}")
 
 
 _STEP = re.compile(r"\s*([>\s])?\s*([a-zA-Z][\w-]*|\*)?((?:[#.][\w-]+|\[[^\]]*\]|:nth-of-type\(\d+\))*)")
@@ -111,97 +109,92 @@ def to_css(selector: str) -> str:
     return css.replace("//", " ").replace("/", " > ").strip().removeprefix("> ")
 
 
-def _fits(node: Node, tag: str | None, conditions: str) -> bool:
-    if tag and tag != "*" and node.tag != tag.lower():
-        return False
+def _fits(tag: str | None, conditions: str) -> Column:
+    """Whether a node has a tag and meets conditions: #id, .class, [attribute], [attribute op value], :nth-of-type(n)."""
+    tests = [F.col("tag") != "", F.col("tag") == tag.lower() if tag and tag != "*" else F.col("tag").isNotNull()]
     for mark, name, attr, op, value, place in _CONDITION.findall(conditions):
-        if mark:
-            have = node.attrs.get("id") == name if mark == "#" else name in node.attrs.get("class", "").split()
+        own = F.try_element_at("attrs", F.lit("id" if mark == "#" else "class" if mark else attr))
+        words = F.split(own, r"\s+")
+        if mark == "#":
+            tests.append(own == name)
+        elif mark:
+            tests.append(F.array_contains(words, name))
         elif place:
-            same = [c for c in node.parent.children if isinstance(c, Node) and c.tag == node.tag]
-            have = len(same) >= int(place) and same[int(place) - 1] is node
+            tests.append(F.col("nth") == int(place))
         else:
-            own = node.attrs.get(attr)
-            tests = {"": lambda: True, "=": lambda: own == value, "^=": lambda: own.startswith(value), "$=": lambda: own.endswith(value), "*=": lambda: value in own, "~=": lambda: value in own.split(), "|=": lambda: own == value or own.startswith(value + "-")}
-            have = own is not None and tests[op]()
-        if not have:
-            return False
-    return True
+            how = {"": own.isNotNull(), "=": own == value, "^=": F.startswith(own, F.lit(value)), "$=": F.endswith(own, F.lit(value)), "*=": F.contains(own, F.lit(value)), "~=": F.array_contains(words, value), "|=": (own == value) | F.startswith(own, F.lit(value + "-"))}
+            tests.append(how[op])
+    return reduce(lambda a, b: a & F.coalesce(b, F.lit(False)), tests)
 
 
-def select(root: Node, css: str) -> list[Node]:
-    """Elements in document order that a selector list names: tags, #id, .class, attributes, descendants and children."""
-    hits: dict[int, Node] = {}
+def select(found: DataFrame, key: list[str], css: str) -> DataFrame:
+    """The elements of found (nodes) that a selector list names: tags, #id, .class, attributes, places, descendants and children. Each step is a filter and a semi-join with the step before."""
+    hits = None
     for one in css.split(","):
-        found = [root]
+        at = None
         for m in _STEP.finditer(one.strip()):
             if not (m[2] or m[3]):
                 continue
-            below = (n for f in found for n in ((c for c in f.children if isinstance(c, Node)) if m[1] == ">" else (x for x in f.walk() if x is not f)))
-            found = list({id(n): n for n in below if _fits(n, m[2], m[3])}.values())
-        hits |= {id(n): n for n in found}
-    return [n for n in root.walk() if id(n) in hits]
-
-
-def get_all(root: Node, selector: str, outer: bool = False) -> list[str]:
-    """What a CSS or XPath selector gives: texts (blank ones left out), attributes for ::attr(name) or /@name, or outer HTML."""
+            fit = found.filter(_fits(m[2], m[3]))
+            if at is not None:
+                above = at.select(*(F.col(k).alias(f"_{k}") for k in key), F.col("place").alias("_place"), F.col("last").alias("_last"))
+                below = F.col("parent") == F.col("_place") if m[1] == ">" else (F.col("place") > F.col("_place")) & (F.col("place") <= F.col("_last"))
+                fit = fit.join(above, reduce(lambda a, b: a & b, (F.col(k) == F.col(f"_{k}") for k in key)) & below, "left_semi")
+            at = fit
+        hits = at if hits is None else hits.union(at).dropDuplicates([*key, "place"])
+    return hits
+
+
+def texts(found: DataFrame, hits: DataFrame, key: list[str], direct: bool = False) -> DataFrame:
+    """key, place and value of elements hits: the texts below (or, direct, right below: a row each), joined by a space; elements without text are left out."""
+    below = found.filter("text IS NOT NULL").select(*(F.col(k).alias(f"_{k}") for k in key), F.col("place").alias("_place"), F.col("parent").alias("_parent"), F.col("text").alias("_text"))
+    same = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"_{k}") for k in key))
+    if direct:
+        return hits.join(below, same & (F.col("_parent") == F.col("place"))).select(*key, F.col("_place").alias("place"), F.col("_text").alias("value"))
+    held = hits.select(*key, "place", "last").join(below, same & (F.col("_place") > F.col("place")) & (F.col("_place") <= F.col("last")))
+    return held.groupBy(*key, "place").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_place", "_text"))), lambda x: x["_text"]), " ").alias("value"))
+
+
+def values(found: DataFrame, key: list[str], selector: str) -> DataFrame:
+    """key, place and value of what a CSS or XPath selector gives: texts, or attributes for ::attr(name) or /@name, or single texts for ::text or /text()."""
     css, _, pseudo = to_css(selector).partition("::")
-    nodes = select(root, css)
+    hits = select(found, key, css)
     if pseudo.startswith("attr("):
-        return [n.attrs[pseudo[5:-1]] for n in nodes if pseudo[5:-1] in n.attrs]
-    if pseudo == "text":
-        return [t for n in nodes for t in (c.strip() for c in n.children if isinstance(c, str)) if t]
-    return [n.outer() for n in nodes] if outer else [t for t in (n.text() for n in nodes) if t]
+        return hits.select(*key, "place", F.try_element_at("attrs", F.lit(pseudo[5:-1])).alias("value")).filter("value IS NOT NULL")
+    return texts(found, hits, key, pseudo == "text")
 
 
-def extract(html: Column, selectors: dict[str, str], outer: bool = False) -> Column:
-    """map of names to arrays of what their selectors give; null HTML gives null."""
-
-    @F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.StringType())))
-    def run(pages: pd.Series) -> pd.Series:
-        def one(page: str | None) -> dict[str, list[str]] | None:
-            if page is None:
-                return None
-            root = parse(page)
-            return {name: get_all(root, s, outer) for name, s in selectors.items()}
-
-        return pages.map(one)
-
-    return run(html)
+def extract(pages: DataFrame, key: list[str], html: str, selectors: dict[str, str]) -> DataFrame:
+    """pages with found, a map of names to arrays of what their selectors give in document order (null for pages where none gives anything). key names a page."""
+    rows = nodes(pages, key, html)
+    each = [values(rows, key, s).withColumn("name", F.lit(n)) for n, s in selectors.items()]
+    named = reduce(lambda a, b: a.union(b), each).groupBy(*key, "name").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("values"))
+    return pages.join(named.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("name", "values"))).alias("found")), key, "left")
 
 
 def first(extracted: Column, name: str, default: str | None = None) -> Column:
     return F.coalesce(F.get(F.try_element_at(extracted, F.lit(name)), F.lit(0)), F.lit(default))
 
 
-FINGERPRINT = "tag string, text string, attributes map<string,string>, path array<string>, parent_name string, parent_attributes map<string,string>, parent_text string, siblings array<string>, children array<string>"
-
-
-def _fingerprint(node: Node) -> dict:
-    parent = node.parent if node.parent and node.parent.parent else None
-    beside = [c.tag for c in node.parent.children if isinstance(c, Node) and c is not node] if node.parent else []
-    own = " ".join(t.strip() for t in node.children if isinstance(t, str) and t.strip())
-    return {
-        "tag": node.tag, "text": own, "attributes": node.attrs, "path": node.path(), "parent_name": parent.tag if parent else None, "parent_attributes": parent.attrs if parent else {},
-        "parent_text": " ".join(t.strip() for t in parent.children if isinstance(t, str) and t.strip()) if parent else None,
-        "siblings": beside, "children": [c.tag for c in node.children if isinstance(c, Node)],
-    }
-
-
 def elements(pages: DataFrame, key: list[str], html: str, css: str = "*") -> DataFrame:
-    """One row for each element that css names: key, place, and its fingerprint."""
-    kinds = dict(pages.dtypes)
-    names = [x.split()[0] for x in re.split(r", (?=\w+ )", FINGERPRINT)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            rows = []
-            for r in part.to_dict("records"):
-                if r[html] is not None:
-                    rows += [{k: r[k] for k in key} | {"place": i} | _fingerprint(n) for i, n in enumerate(select(parse(r[html]), css))]
-            yield pd.DataFrame(rows, columns=[*key, "place", *names])
-
-    return pages.select(*key, html).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + f", place int, {FINGERPRINT}")
+    """One row for each element that css names: key, place, and its fingerprint: tag, text of its own, attributes, path of tags, its parent's name, attributes and text, tags of siblings and children."""
+    rows = nodes(pages, key, html)
+    tagged = rows.filter("tag <> ''")
+    own = rows.filter("text IS NOT NULL").groupBy(*key, F.col("parent").alias("place")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), " ").alias("text"))
+    children = tagged.groupBy(*key, F.col("parent").alias("place")).agg(F.sort_array(F.collect_list(F.struct("place", "tag"))).alias("below"))
+    hits = select(rows, key, css).select(*key, "place", "last", "parent", "tag", F.col("attrs").alias("attributes"))
+    up = tagged.select(*(F.col(k).alias(f"_{k}") for k in key), F.col("place").alias("_place"), F.col("last").alias("_last"), F.col("tag").alias("_tag"))
+    same = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"_{k}") for k in key))
+    path = hits.select(*key, "place").join(up, same & (F.col("_place") <= F.col("place")) & (F.col("place") <= F.col("_last"))).groupBy(*key, "place").agg(F.transform(F.sort_array(F.collect_list(F.struct("_place", "_tag"))), lambda x: x["_tag"]).alias("path"))
+    above = tagged.drop("text").join(own, [*key, "place"], "left").select(*key, F.col("place").alias("parent"), F.col("tag").alias("parent_name"), F.col("attrs").alias("parent_attributes"), F.col("text").alias("parent_text"))
+    beside = children.select(*key, F.col("place").alias("parent"), F.col("below").alias("beside"))
+    none = F.array().cast("array<struct<place:int,tag:string>>")
+    tags = lambda c: F.transform(c, lambda x: x["tag"])
+    whole = hits.join(own, [*key, "place"], "left").join(path, [*key, "place"], "left").join(children, [*key, "place"], "left").join(above, [*key, "parent"], "left").join(beside, [*key, "parent"], "left")
+    return whole.select(
+        *key, "place", "tag", F.coalesce("text", F.lit("")).alias("text"), "attributes", "path", "parent_name", F.coalesce("parent_attributes", F.create_map().cast("map<string,string>")).alias("parent_attributes"),
+        F.when(F.col("parent_name").isNotNull(), F.coalesce("parent_text", F.lit(""))).alias("parent_text"), tags(F.filter(F.coalesce("beside", none), lambda x: x["place"] != F.col("place"))).alias("siblings"), tags(F.coalesce("below", none)).alias("children"),
+    )
 
 
 # Weights of what an element is compared by.

@@ -164,12 +164,18 @@ book.on(
 book.on("pages", "clean_text", lambda t: t.select("page_id", text.clean_text(F.col("html")).alias("text")))
 
 
-@book.add()
+_BODY = r"""regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', '', 'gis'), '<style[^>]*>.*?</style>', '', 'gis'), '<!--.*?-->', '', 'gs')"""
+
+
+@book.add(
+    rf"""WITH b AS (SELECT page_id, html, {_BODY} AS body FROM pages)
+    SELECT page_id, replace(nullif(trim(regexp_extract(html, '<title>(.*?)</title>', 1, 's')), ''), '&amp;', '&') AS title, nullif(len(regexp_extract_all(body, '(?i)<a\s[^>]*href=')), 0)::INT AS links,
+      nullif(len(regexp_extract_all(body, '(?i)<li[^>]*>\s*<a[\s>]')), 0)::INT AS items FROM b"""
+)
 def html_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title, headings, links and list items of pages, by one parse of each."""
-    found = html.extract(F.col("html"), {"title": "title", "links": "a::attr(href)", "items": "//li/a", "paragraphs": "body p"})
-    pages = table(spark, sf_dir, "pages").select("page_id", found.alias("f"))
-    return pages.select("page_id", html.first(F.col("f"), "title").alias("title"), *(F.size(F.col("f")[k]).alias(k) for k in ("links", "items", "paragraphs")))
+    """Title, links and list items of pages, by one parse of each and joins of their elements; null for none."""
+    pages = html.extract(table(spark, sf_dir, "pages").select("page_id", "html"), ["page_id"], "html", {"title": "title", "links": "a::attr(href)", "items": "//li/a"})
+    return pages.select("page_id", html.first(F.col("found"), "title").alias("title"), *(F.size(F.try_element_at("found", F.lit(k))).alias(k) for k in ("links", "items")))
 
 
 @book.add()
@@ -177,7 +183,7 @@ def element_relocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The element of each page that is most like the first page's first list item."""
     rows = html.elements(table(spark, sf_dir, "pages"), ["page_id"], "html", "li")
     fp = rows.select(F.col("page_id").alias("page"), "place", F.struct(*[c for c in rows.columns if c not in ("page_id", "place")]).alias("fp"))
-    saved = fp.filter("page = 0 AND place = 0").select(F.lit("item").alias("identifier"), "fp")
+    saved = fp.filter("page = 0").orderBy("place").limit(1).select(F.lit("item").alias("identifier"), "fp")
     return html.relocate(saved, fp, 40.0)
 
 
