@@ -161,6 +161,7 @@ def truncate(time: Column, unit: str = "day") -> Column:
 def format_duration(seconds: Column) -> Column:
     """Two largest units in Chinese; a zero second unit is left out."""
 
+    # fixed values: the names of the units
     def shown(unit: int, name: str, lower: int, lower_name: str) -> Column:
         rest = F.floor(seconds % unit / lower)
         return F.concat(F.floor(seconds / unit).cast("string"), F.lit(f" {name}"), F.when(rest > 0, F.concat(F.lit(" "), rest.cast("string"), F.lit(f" {lower_name}"))).otherwise(""))

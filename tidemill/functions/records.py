@@ -85,6 +85,7 @@ def exchange_suffix(code: Column) -> Column:
     s = F.trim(code.cast("string"))
     s = F.when(F.length(s) < 6, F.lpad(s, 6, "0")).otherwise(s)
     two = F.substring(s, 1, 2)
+    # fixed values: prefixes by exchange
     suffix = (
         F.when(two.isin("60", "68"), ".SH")
         .when(two.isin("00", "01", "02", "30"), ".SZ")

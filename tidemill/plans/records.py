@@ -127,6 +127,7 @@ book.on(
     lambda t: t.select("o_orderkey", dates.parse_time(F.concat(F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(" 07:08:09"))).alias("a"), dates.parse_time(F.date_format("o_orderdate", "MMMM d, yyyy")).alias("b"), dates.parse_time(F.lit("soon")).alias("c")),
     "SELECT o_orderkey, o_orderdate::DATE + INTERVAL '7 hours 8 minutes 9 seconds' AS a, o_orderdate::DATE::TIMESTAMP AS b, NULL::TIMESTAMP AS c FROM orders",
 )
+# fixed values in the SQL: the names of the units
 book.on(
     "events", "durations",
     lambda t: t.select("event_id", dates.format_duration(F.col("event_id") * 37 % 200000).alias("shown")),
@@ -135,6 +136,7 @@ book.on(
         WHEN s < 86400 THEN (s // 3600) || ' 小时' || CASE WHEN s % 3600 // 60 > 0 THEN ' ' || (s % 3600 // 60) || ' 分钟' ELSE '' END
         ELSE (s // 86400) || ' 天' || CASE WHEN s % 86400 // 3600 > 0 THEN ' ' || (s % 86400 // 3600) || ' 小时' ELSE '' END END AS shown FROM d""",
 )
+# fixed values in the SQL: prefixes of stock codes by exchange
 book.on(
     "part", "stock_codes",
     lambda t: t.select("p_partkey", records.exchange_suffix((F.col("p_partkey") * 7919 % 1000000).cast("string")).alias("code"), records.business_key(F.col("p_name"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_brand"))).alias("id"), records.round_half_up(F.col("p_retailprice") / 7, 4).alias("price")),

@@ -60,11 +60,9 @@ book.on(
         "doc_id", *(F.size(f(F.col("text"))).alias(n) for n, f in (("numbers", text.extract_numbers), ("emails", text.extract_emails), ("urls", text.extract_urls), ("phones", text.extract_phones))),
         F.array_join(text.extract_numbers(F.col("text")), ",").alias("all_numbers"),
     ),
-    r"""SELECT doc_id, len(regexp_extract_all(text, '-?\d+\.?\d*'))::INT AS numbers,
-      len(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b'))::INT AS emails,
-      len(regexp_extract_all(text, 'http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+'))::INT AS urls,
-      (len(regexp_extract_all(text, '\b1[3-9]\d{9}\b')) + len(regexp_extract_all(text, '\b0\d{2,3}[-\s]?\d{7,8}\b')) + len(regexp_extract_all(text, '\b400[-\s]?\d{3}[-\s]?\d{4}\b')))::INT AS phones,
-      array_to_string(regexp_extract_all(text, '-?\d+\.?\d*'), ',') AS all_numbers FROM documents""",
+    f"""SELECT doc_id, len(regexp_extract_all(text, '{text.NUMBER}'))::INT AS numbers, len(regexp_extract_all(text, '{text.EMAIL}'))::INT AS emails,
+      len(regexp_extract_all(text, '{text.URL}'))::INT AS urls, ({" + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in text.PHONES)})::INT AS phones,
+      array_to_string(regexp_extract_all(text, '{text.NUMBER}'), ',') AS all_numbers FROM documents""",
 )
 book.on(
     "pages", "regex_find",
