@@ -136,3 +136,10 @@ def test_more_ways_to_write_a_time(spark):
     }
     found = spark.createDataFrame([(t,) for t in want], "t string").select("t", dates.parse_time(F.col("t")).alias("p")).collect()
     assert {r["t"]: str(r["p"]) for r in found} == want
+
+
+def test_times_with_zones_and_job_runs(spark):
+    at = one(spark, dates.from_timestamp_with_tz(F.lit(0.0), "Asia/Tokyo"))
+    assert at["zone"] == "Asia/Tokyo" and at["time"] == datetime(1970, 1, 1)
+    run = one(spark, dates.next_job_run(F.lit("0 6 * * *"), F.lit("2024-01-01 06:00:00").cast("timestamp_ntz"), F.lit("2024-01-05 07:00:00").cast("timestamp_ntz")))
+    assert run == datetime(2024, 1, 6, 6)

@@ -286,3 +286,11 @@ def test_failover_stream(spark, tmp_path):
     data = spark.createDataFrame([(0, T0, 1), (1, T0 + timedelta(seconds=10), 2), (2, T0 + timedelta(seconds=500), 2)], "event_id long, ts timestamp_ntz, user_id long").coalesce(1)
     _stateful(spark, tmp_path, data, streaming.Failover(90, 60), "worker long, state string, at_ms long", "failover", "Update", "EventTime")
     assert {("alive", 1), ("alive", 2)} <= {(r["state"], r["worker"]) for r in spark.table("failover").collect()}
+
+
+def test_overflow(spark):
+    queue = spark.createDataFrame([(i % 3, i) for i in range(6)], "priority int, seq int")
+    kept, dropped = streaming.overflow(queue, 4)
+    assert rows(kept) == [(0, 0), (0, 3), (1, 1), (1, 4)] and dropped == 2 and streaming.overflow(queue, 6)[1] == 0
+    with pytest.raises(OverflowError, match="6 rows"):
+        streaming.overflow(queue, 4, "raise")
