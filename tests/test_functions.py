@@ -64,9 +64,13 @@ def test_dates(spark):
     assert one(spark, dates.cron_next(F.lit("*/15 9-17 * * 1-5"), a)) == datetime(2025, 9, 10, 10, 15)
     assert one(spark, dates.cron_next(F.lit("0 0 1 1 *"), a)) == datetime(2026, 1, 1)
     assert one(spark, dates.cron_next(F.lit("x"), a)) is None
+    wanted = {
+        "*/20 * * * * *": "2025-09-10 10:00:20", "5,50 10 * * *": "2025-09-10 10:05:00", "0 10 * * *": "2025-09-11 10:00:00", "0 0 */2 * *": "2025-09-12 00:00:00", "0 0 * * 7": "2025-09-14 00:00:00",
+        "0 0 29 2 *": "None", "0 12 31 * 1-5": "2025-10-31 12:00:00", "0 9-17/4 * * *": "2025-09-10 13:00:00", "61 * * * *": "None", "* * * *": "None", "0 1-5,11 * * *": "2025-09-10 11:00:00", "59 59 23 31 12 *": "2025-12-31 23:59:59",
+    }
+    runs = spark.createDataFrame([(c,) for c in wanted], "c string").select("c", dates.cron_next(F.col("c"), F.lit("2025-09-10 10:00:00").cast("timestamp_ntz")).alias("n")).collect()
+    assert {r["c"]: str(r["n"]) for r in runs} == wanted
     assert one(spark, dates.cron_matches(F.lit("30 14 * * *"), ntz("2025-09-10 14:30:00")))
-    assert dates.next_run("0 1-5,10 * * *", datetime(2025, 1, 1, 6), lists_first=False) == datetime(2025, 1, 2, 1)
-    assert dates.next_run("0 1-5,10 * * *", datetime(2025, 1, 1, 6)) == datetime(2025, 1, 1, 10)
 
 
 def test_records(spark):

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import calendar
-from datetime import datetime, timedelta
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The formats that are tried, in order, as patterns and as what a text must look like.
 FORMATS = [
@@ -174,61 +171,58 @@ def format_duration(seconds: Column) -> Column:
     )
 
 
-def _field(text: str, low: int, high: int, lists_first: bool) -> set[int]:
-    """The values of a cron field. Unless lists_first, a range is read before a list and up to its first step or comma, as some schedulers do."""
-    if text == "*":
-        return set(range(low, high + 1))
-    if text.startswith("*/"):
-        return set(range(low, high + 1, int(text[2:])))
-    if lists_first and "," in text:
-        return set().union(*(_field(x, low, high, True) for x in text.split(",")))
-    if "-" in text:
-        span, _, step = text.partition("/") if lists_first else (text, "", "")
-        a, b = span.split("-", 1)
-        return set(range(int(a), int(b.split(",")[0].split("/")[0]) + 1, int(step or 1)))
-    if "," in text:
-        return {int(x) for x in text.split(",")}
-    return {int(text)}
-
-
-def next_run(cron: str, after: datetime, lists_first: bool = True) -> datetime | None:
-    """The next time after a given one that a cron text of five fields, or six with seconds first, names, within 367 days."""
-    fields = cron.split()
-    if len(fields) not in (5, 6):
-        return None
-    second, minute, hour, day, month, weekday = ([{0}] if len(fields) == 5 else []) + [
-        _field(f, a, b, lists_first) for f, (a, b) in zip(fields, ([(0, 59)] if len(fields) == 6 else []) + [(0, 59), (0, 23), (1, 31), (1, 12), (0, 7)], strict=True)
-    ]
-    weekday = {x % 7 for x in weekday}
-    at = after.replace(microsecond=0) + timedelta(seconds=1)
-    last = after + timedelta(days=367)
-    while at <= last:
-        if at.month not in month:
-            at = (at.replace(day=1) + timedelta(days=calendar.monthrange(at.year, at.month)[1])).replace(hour=0, minute=0, second=0)
-        elif at.day not in day or (at.weekday() + 1) % 7 not in weekday:
-            at = at.replace(hour=0, minute=0, second=0) + timedelta(days=1)
-        elif at.hour not in hour:
-            at = at.replace(minute=0, second=0) + timedelta(hours=1)
-        elif at.minute not in minute:
-            at = at.replace(second=0) + timedelta(minutes=1)
-        elif at.second not in second:
-            at += timedelta(seconds=1)
-        else:
-            return at
-    return None
+CRON_PART = r"(?:\d+(?:-\d+)?(?:/\d+)?|\*(?:/\d+)?)"
+
+
+def _cron_values(text: Column, low: int, high: int) -> Column:
+    """The values of a cron field, in order; null where it is none. Lists of numbers, ranges, * and steps; a step of * counts from 0, one of a number or range from there."""
+
+    def named(part: Column, v: Column) -> Column:
+        first, last, step = (F.regexp_extract(part, p, 1) for p in (r"^(\d+)", r"-(\d+)", r"/(\d+)$"))
+        by = F.when(step != "", F.greatest(step.cast("int"), F.lit(1))).otherwise(1)
+        end = F.when(last != "", last.cast("int")).when(step != "", high).otherwise(first.cast("int"))
+        return F.when(F.startswith(part, F.lit("*")), v % by == 0).otherwise((v >= first.cast("int")) & (v <= end) & ((v - first.cast("int")) % by == 0))
+
+    values = F.filter(F.sequence(F.lit(low), F.lit(high)), lambda v: F.exists(F.split(text, ","), lambda part: named(part, v)))
+    return F.when(F.rlike(text, F.lit(rf"\A{CRON_PART}(,{CRON_PART})*\z")) & (F.size(values) > 0), values)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is worked out once: as the element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
 
+def cron_next(cron: Column, after: Column) -> Column:
+    """The next run after a time, within 367 days, of a cron text of five fields, or six with seconds first; null for one that can't be read."""
+    bounds = {"second": (0, 59), "minute": (0, 59), "hour": (0, 23), "day": (1, 31), "month": (1, 12), "weekday": (0, 7)}
+    text = F.split(F.trim(cron), r"\s+")
+    whole = F.when(F.size(text) == 5, F.concat(F.array(F.lit("0")), text)).when(F.size(text) == 6, text)
+    at = F.date_trunc("second", after).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(1))
 
-@F.pandas_udf(T.TimestampNTZType())
-def cron_next(cron: pd.Series, after: pd.Series) -> pd.Series:
-    """The next run after a time; null for a cron text that can't be read."""
+    def dates_of(f: Column) -> Column:
+        """The dates on which f may run, of which two are enough: today and the first after it."""
+        today = f["at"].cast("date")
+        fits = lambda d: F.array_contains(f["month"], F.month(d)) & F.array_contains(f["day"], F.day(d)) & (F.array_contains(f["weekday"], F.dayofweek(d) - 1) | ((F.dayofweek(d) == 1) & F.array_contains(f["weekday"], 7)))
+        return F.filter(F.sequence(today, F.date_add(today, 367), F.expr("interval 1 day")), fits)
 
-    def one(c: str | None, a: pd.Timestamp) -> datetime | None:
-        try:
-            return None if c is None or pd.isna(a) else next_run(c, a.to_pydatetime())
-        except ValueError:
-            return None
+    def found(f: Column, days: Column) -> Column:
+        hour, minute, second = (part(f["at"]) for part in (F.hour, F.minute, F.second))
+        least = lambda name, low: F.array_min(F.filter(f[name], lambda v: v >= low))
+        first = {name: F.get(f[name], F.lit(0)) for name in bounds}
+        time = lambda h, m, s: h * 3600 + m * 60 + s
+        # today: in this minute, in this hour, in a later one
+        now = F.coalesce(
+            F.when(F.array_contains(f["hour"], hour) & F.array_contains(f["minute"], minute), time(hour, minute, least("second", second))),
+            F.when(F.array_contains(f["hour"], hour), time(hour, least("minute", minute + 1), first["second"])),
+            time(least("hour", hour + 1), first["minute"], first["second"]),
+        )
+        now = F.when(F.get(days, F.lit(0)) == f["at"].cast("date"), now)
+        later = F.when(F.get(days, F.lit(0)) == f["at"].cast("date"), F.get(days, F.lit(1))).otherwise(F.get(days, F.lit(0)))
+        return F.coalesce(F.timestamp_add("SECOND", now, F.get(days, F.lit(0)).cast("timestamp_ntz")), F.timestamp_add("SECOND", time(first["hour"], first["minute"], first["second"]), later.cast("timestamp_ntz")))
 
-    return pd.Series([one(c, a) for c, a in zip(cron, after, strict=True)], dtype="datetime64[ns]")
+    fields = F.struct(*(_cron_values(F.get(whole, F.lit(i)), *b).alias(name) for i, (name, b) in enumerate(bounds.items())), at.alias("at"))
+    next_ = _once(fields, lambda f: _once(dates_of(f), lambda days: found(f, days)))
+    return _once(next_, lambda n: F.when(n <= F.timestamp_add("DAY", F.lit(367), after.cast("timestamp_ntz")), n))
 
 
 def cron_matches(cron: Column, time: Column) -> Column:
