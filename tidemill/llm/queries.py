@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import op1_minhash, op2_langid, op3_urls, op4_collide, op5_pack, op6_search, op7_mix, op8_toxicity, op9_quality, op10_chat
+from tidemill.llm import op1_minhash, op2_langid, op3_urls, op4_collide, op5_pack, op6_search, op7_mix, op8_toxicity, op9_quality, op10_chat, op11_quality_rules
 
 QUERIES = {
     "op1_minhash": op1_minhash.op1_minhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity.op8_toxicity,
     "op9_quality": op9_quality.op9_quality,
     "op10_chat": op10_chat.op10_chat,
+    "op11_quality_rules": op11_quality_rules.op11_quality_rules,
 }
 ORACLES = {
     "op1_minhash": op1_minhash.ORACLE_SQL,
