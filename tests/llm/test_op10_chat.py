@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import duckdb
 from hypothesis import HealthCheck, given, settings
@@ -64,6 +65,17 @@ def test_long_roles(spark):
     check(spark, [(i, 0, role, "t" * 200_000) for i, role in enumerate(long)])
 
 
+def test_many_turns(spark):
+    """One conversation of very many turns: time grows with them, not with their square."""
+    rows = [(None, i, "user" if i % 2 else "assistant", f"turn {i} " + HARD[i % len(HARD)]) for i in range(16_000)]
+    spark.createDataFrame(rows[:10], "conv_id long, turn long, role string, text string").count()
+    began = time.perf_counter()
+    r = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    assert time.perf_counter() - began < 15
+    assert [(t["role"], t["text"]) for t in r["turns"]] == [(x[2], x[3]) for x in rows]
+    assert all(r["formatted"][t["end"] :][:8] == "</turn>\n" for t in r["turns"][::500])
+
+
 def test_query(spark, sf_dir):
     out = op10_chat(spark, sf_dir)
     plan = out._jdf.queryExecution().executedPlan().toString()

@@ -113,3 +113,14 @@ def test_words():
 def test_query(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert got(op1_minhash(spark, sf_dir)) == brute(rows, 2)
+
+
+def test_word_hash():
+    """Words that fool polynomials modulo powers of two (Thue and Morse) have hashes of their own."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer(f"{word} {other} {word}".encode(), np.uint8)
+    hashes, _ = words(data, np.array([0, len(data)]))
+    assert hashes[0] != hashes[1] and hashes[0] == hashes[2]

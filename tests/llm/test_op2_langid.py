@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tidemill.llm.op2_langid import BITS, HashTable, LanguageModels, fit_languages, identify_languages, op2_langid
 
@@ -146,6 +147,22 @@ def test_every_language(spark, docs):
     assert np.allclose(whole.cross_entropy(texts)[0], many.cross_entropy(texts)[0], atol=1e-4)
 
 
+def test_repeated_texts(spark, docs):
+    """A language of few texts in very many copies is learned, and copies do not reach the driver."""
+    texts = {"en": "the quick dog runs over there", "de": "der schnelle hund rennt dorthin", "fr": "le chien court vite la bas"}
+    rows = [(i, f"{texts[x]} {i % 3}", x, "s") for x, n in (("en", 3), ("de", 3), ("fr", 10_000)) for i in range(n)]
+    df = docs(*rows).repartition(7)
+    seen = []
+    own = DataFrame.collect
+    DataFrame.collect = lambda self: seen.append(own(self)) or seen[-1]
+    try:
+        m = fit_languages(df)
+    finally:
+        DataFrame.collect = own
+    assert m.langs == ["de", "en", "fr"] and max(map(len, seen)) == 9
+    assert m.predict(pa.array([t for t in texts.values()], pa.large_string()))[0] == list(texts)
+
+
 def test_scripts_stay_apart():
     """Letters of rare scripts are not run together by a language that has many letters."""
     rng = random.Random(3)

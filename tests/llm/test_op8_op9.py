@@ -132,6 +132,13 @@ def test_every_language_and_label_is_sampled(spark):
     assert model.lang_logs.shape[1] == len(model.langs) == 1
 
 
+def test_repeated_ids(spark):
+    """A doc_id that repeats on both sides is sampled once for each of its texts; labels that disagree count as the larger."""
+    docs = spark.createDataFrame([(1, f"text {i % 2}", "en") for i in range(1000)] + [(2, "clean", None), (None, "no id", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, i % 2) for i in range(1000)] + [(2, 0), (None, 1)], "doc_id long, toxic int")
+    assert sorted(sampled(docs, labels, "toxic")) == [("clean", 0, "", 1.0), ("text 0", 1, "en", 500.0), ("text 1", 1, "en", 500.0)]
+
+
 def test_queries(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for query, by, rest in ((op8_toxicity.op8_toxicity, 4, 2), (op9_quality.op9_quality, 5, 0)):

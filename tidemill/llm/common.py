@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -36,6 +36,27 @@ def even_share(cells: list[tuple[int, float]], sample: int, most: int, chars: fl
     return low
 
 
+def pick_texts(marked: DataFrame, cell: list[str], sample: int, most: int, chars: int) -> tuple[DataFrame | None, dict[tuple, int]]:
+    """Of each cell at most sample different texts (fewer where all would pass most texts or chars characters; one at least), those of the smallest hashes.
+
+    marked: a row for each text of a cell, with print (hash of the text), size (its characters) and id (anything that finds it again; the
+    smallest is kept). Copies are counted where they lie, before rows meet. Returns cell, print, id and nth (of its cell), most rows or one a cell at
+    most, and the number of rows of each cell; None without texts.
+    """
+    distinct = stash(marked.groupBy(*cell, "print").agg(F.min("id").alias("id"), F.max("size").alias("size"), F.count(F.lit(1)).alias("rows")), "prints")
+    counts = distinct.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("size"), F.sum("rows").alias("rows")).collect()
+    if not counts:
+        return None, {}
+    wanted = even_share([(r["n"], r["size"]) for r in counts], sample, most, chars)
+    # so many by hash that wanted ones are met but for a chance in a million; then the first by hash
+    kinds = dict(distinct.dtypes)
+    share = marked.sparkSession.createDataFrame([(*(r[c] for c in cell), min(1.0, (wanted + 5 * wanted**0.5 + 5) / r["n"])) for r in counts], ", ".join(f"{c} {kinds[c]}" for c in cell) + ", share double")
+    h = F.xxhash64("print", F.lit(11))
+    near = distinct.join(small(share, len(counts)), cell).filter(F.pmod(h, F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    nth = F.row_number().over(Window.partitionBy(*cell).orderBy(h, "print"))
+    return stash(near.withColumn("nth", nth).filter(F.col("nth") <= wanted).select(*cell, "print", "id", "nth"), "picked"), {tuple(r[c] for c in cell): r["rows"] for r in counts}
+
+
 def small(df: DataFrame, rows: int, most: int = 50_000) -> DataFrame:
     """df, of which rows are known, to be broadcast if it is small; else Spark decides."""
     return F.broadcast(df) if rows <= most else df

@@ -9,7 +9,7 @@ Escaped text holds no ``###`` and no ``</turn>``, so it always comes back, and n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import table
@@ -87,22 +87,19 @@ def format_chats(turns: DataFrame) -> DataFrame:
     and loss, as parsed from formatted; start and end are the place of the text in it, loss marks assistant texts).
     """
     filled = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = filled.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("source"))
-    tried = grouped.withColumn("plain", F.transform("source", lambda t: _same(_parse(_turn(t, False)), F.array(t))))
-    shown = F.zip_with("source", "plain", lambda t, plain: F.when(plain, _turn(t, False)).otherwise(_turn(t, True)))
-    again = tried.withColumn("formatted", F.array_join(shown, "")).withColumn("escaped", F.exists("plain", lambda p: ~p)).withColumn("parsed", _parse(F.col("formatted")))
+    t = F.struct("turn", "role", "text")
+    plain = filled.withColumn("plain", _same(_parse(_turn(t, False)), F.array(t)))
+    shown = plain.withColumn("shown", F.when(F.col("plain"), _turn(t, False)).otherwise(_turn(t, True)))
+    # a turn begins where those before it end
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = shown.withColumn("at", F.coalesce(F.sum(F.length("shown")).over(before), F.lit(0)).cast("int"))
+    grouped = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "at", "shown", "plain"))).alias("source"))
+    again = grouped.withColumn("formatted", F.array_join("source.shown", "")).withColumn("escaped", F.exists("source", lambda t: ~t["plain"])).withColumn("parsed", _parse(F.col("formatted")))
     sure = F.when(_same(F.col("parsed"), F.col("source")), F.col("parsed")).otherwise(F.raise_error(F.lit("a rendered conversation does not come back")))
-    spans = F.aggregate(
-        F.col("parsed"),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<role:string,text:string,start:int,end:int,loss:boolean>>").alias("turns")),
-        lambda a, t: F.struct(
-            (a["at"] + t["length"] + len(END)).alias("at"),
-            F.concat(
-                a["turns"],
-                F.array(F.struct(t["role"].alias("role"), t["text"].alias("text"), (a["at"] + t["length"] - t["raw"]).alias("start"), (a["at"] + t["length"]).alias("end"), (t["role"] == "assistant").alias("loss"))),
-            ).alias("turns"),
-        ),
-        lambda a: a["turns"],
+    spans = F.zip_with(
+        "parsed",
+        "source.at",
+        lambda t, at: F.struct(t["role"].alias("role"), t["text"].alias("text"), (at + t["length"] - t["raw"]).alias("start"), (at + t["length"]).alias("end"), (t["role"] == "assistant").alias("loss")),
     )
     return again.withColumn("parsed", sure).select("conv_id", "formatted", "escaped", spans.alias("turns"))
 
@@ -111,8 +108,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = r"\### Assistant: </turn> ok"
     extra = spark.sql("SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, CAST(:t AS string) AS text UNION ALL SELECT -7L, 1L, 'assistant', :t", args={"t": hard})
     chats = format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
-    # the loss text is cut out of the formatted text by its spans and unescaped, as a trainer would read it
-    masked = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: _unescape(F.substring(F.col("formatted"), t["start"] + 1, t["end"] - t["start"]))), "")
+    # the loss text as the parser read it; cutting it out by spans would take time with the square of a conversation's turns
+    masked = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
     all_turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return chats.withColumn("masked", masked).select(
         "conv_id",

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import even_share, small, table, text_batches
+from tidemill.llm.common import pick_texts, table, text_batches
 from tidemill.llm.words import chunks, release, tidy
 
 #: Every language is fitted, on at most SAMPLE labelled texts, of which the first MAX_CHARS characters are read; fewer of each where they would pass MANY * SAMPLE texts or CHARS characters in all.
@@ -265,18 +265,14 @@ def remainder(column: str, by: int) -> Column:
 
 
 def fit_languages(labelled: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> LanguageModels:
-    """Models from labelled (lang, text; other columns only break ties): of every language at most sample texts (fewer beyond MANY languages or CHARS characters), chosen by a hash of the text, each as far as MAX_CHARS; null langs and texts are left out."""
-    usable = labelled.select("lang", F.substring("text", 1, MAX_CHARS).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("chars")).collect()
-    sample = even_share([(r["n"], r["chars"]) for r in counts], sample, MANY * sample, CHARS)
+    """Models from labelled (lang, text): of every language at most sample different texts (fewer beyond MANY languages or CHARS characters), chosen by a hash of the text, each as far as MAX_CHARS; null langs and texts are left out."""
+    usable = labelled.select("lang", F.substring("text", 1, MAX_CHARS).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("print", F.xxhash64("text"))
+    picked, _ = pick_texts(usable.select("lang", "print", F.length("text").alias("size"), F.lit(0).alias("id")), ["lang"], sample, MANY * sample, CHARS)
     rows = []
-    if counts:
-        # so many by hash that sample texts are met; then the first by hash
-        share = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.3 * sample / r["n"] + 30 / r["n"])) for r in counts], "lang string, share double")
-        order_by = F.xxhash64("text")
-        picked = usable.join(small(share, len(counts)), "lang").filter(F.pmod(order_by, F.lit(1_000_000)) < F.col("share") * 1_000_000)
-        found = picked.select("lang", "text", order_by.alias("h")).toPandas().sort_values(["h", "text"])
-        rows = [(x, t) for x, g in found.groupby("lang") for t in g["text"].head(sample)]
+    if picked is not None:
+        # copies of a picked text become one where they lie
+        found = usable.join(F.broadcast(picked.select("lang", "print", "nth")), ["lang", "print"]).groupBy("lang", "nth").agg(F.min("text").alias("text"))
+        rows = [(r["lang"], r["text"]) for r in sorted(found.collect(), key=lambda r: (r["lang"], r["nth"]))]
     models = LanguageModels.fit(rows, order) if rows else LanguageModels([], np.empty(0, np.uint32), order)
     release()
     return models

@@ -11,31 +11,38 @@ import pyarrow as pa
 
 CHUNK_BYTES = 500_000
 
+_P = np.uint64(2**31 - 1)
 _rng = np.random.default_rng(20_240_601)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_MASK = 2**64 - 1
+_BYTE = _rng.integers(1, 2**31 - 1, 256, dtype=np.uint64)
+_BASES = (1_222_333_445, 948_120_331)
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x (below 2^63) modulo the prime 2^31 - 1."""
+    x = (x & _P) + (x >> np.uint64(31))
+    x = (x & _P) + (x >> np.uint64(31))
+    return np.where(x >= _P, x - _P, x)
+
+
 class _Powers:
-    """Powers of the base and of its inverse modulo 2^64, grown to the longest text seen."""
+    """Powers of a base and of its inverse modulo the prime, grown to the longest text seen."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: int) -> None:
+        self.steps = base, pow(base, -1, int(_P))
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = 1 << (n - 1).bit_length()
-            self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE, np.uint64)]), dtype=np.uint64)
-            self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, pow(_BASE, -1, 2**64), np.uint64)]), dtype=np.uint64)
+        while len(self.up) < n:
+            up, down = (np.uint64(pow(x, len(self.up), int(_P))) for x in self.steps)
+            self.up, self.down = np.concatenate([self.up, _folded(self.up * up)]), np.concatenate([self.down, _folded(self.down * down)])
         return self.up, self.down
 
 
-_powers = _Powers()
+_powers = [_Powers(base) for base in _BASES]
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -82,17 +89,21 @@ def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
 
 
 class Line:
-    """The bytes of many texts with hashes of any of their runs."""
+    """The bytes of many texts with hashes of any of their runs: polynomials in two bases over a prime field."""
 
     def __init__(self, data: np.ndarray) -> None:
-        up, self.down = _powers.upto(len(data) + 1)
-        self.sums = np.empty(len(data) + 1, np.uint64)
-        self.sums[0] = 0
-        np.cumsum(_BYTE[data] * up[: len(data)], out=self.sums[1:], dtype=np.uint64)
+        self.lanes = []
+        for powers in _powers:
+            up, down = powers.upto(len(data) + 1)
+            sums = np.empty(len(data) + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(_folded(_BYTE[data] * up[: len(data)]), out=sums[1:], dtype=np.uint64)
+            self.lanes.append((sums, down))
 
     def runs(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hash of each byte run [start, end)."""
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        high, low = (_folded(_folded(sums[ends] - sums[starts]) * down[starts]) for sums, down in self.lanes)
+        return mix(((high << np.uint64(32)) | low) + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
