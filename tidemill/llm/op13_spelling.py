@@ -151,7 +151,8 @@ def near_words(words: DataFrame) -> DataFrame:
                     picked = pa.array(row[cut])
                     yield pa.RecordBatch.from_arrays([pa.array(key[cut].view(np.int64)), pa.array(own[cut]), b.column(0).take(picked), b.column(1).take(picked)], ["key", "own", "word", "n"])
 
-    keys = stash(words.select("word", "n").mapInArrow(run, "key long, own boolean, word string, n long"), "keys")
+    # made once for each side of the join, which takes less than writing them
+    keys = words.select("word", "n").mapInArrow(run, "key long, own boolean, word string, n long")
     left = keys.filter("own").select("key", F.col("word").alias("a"), F.col("n").alias("n_a"))
     right = keys.select("key", F.col("word").alias("b"), F.col("n").alias("n_b"), "own")
     long = lambda c: F.length(c) > LONG  # noqa: E731  of two near words the second is as long or longer
