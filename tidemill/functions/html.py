@@ -1,262 +1,294 @@
-"""HTML as rows: a page is parsed once into a row for each element and text, and selectors are filters and joins over these rows.
+"""HTML as nodes: a page is parsed once into an array of its nodes, in its row, and selectors, serialisation and fingerprints are column expressions over it.
 
-Places number the elements and texts of a page in document order; last is the largest place below an element, so that
-what is below an element lies between its place and last.
+Places number the nodes of a page in document order, from 0, which is the page itself; last is the largest place in an element, so that
+what is below an element lies between its place and last. No page leaves its row, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
-from functools import reduce
 from html.parser import HTMLParser
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.functions import selectors
+from tidemill.functions.relocation import alike, find_similar, relocate, save_first, similarity  # noqa: F401
+from tidemill.functions.selectors import BLANK, below, is_element
+
 # Fixed values of HTML: elements without content, and what an open element is closed by.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 CLOSES = {"li": {"li"}, "p": {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "section", "article"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
+RAW = {"script", "style"}
+#: Attributes that pages change by themselves, left out of fingerprints.
+FORBIDDEN = ("data-reactid", "data-react-checksum", "ng-reflect-name")
 
-NODE = "place int, last int, parent int, tag string, attrs map<string,string>, nth int, text string"
+NODE = "place int, last int, parent int, tag string, attrs map<string,string>, nth int, nth_end int, child int, child_end int, path string, text string"
+PAGES_A_BATCH = 100
 
 
-class _Rows(HTMLParser):
-    """Rows of one page; place 0 is the page itself."""
+class _Nodes(HTMLParser):
+    """Columns of the nodes of many pages. tag is '' for a page, null for a text and '!--' for a comment; nth and child count an element among its siblings of its tag and of all, from both ends."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[list] = [[0, 0, None, "", {}, 1, None]]
-        self.open, self.seen = [0], [{}]
+        self.columns: dict[str, list] = {k: [] for k in ("last", "parent", "tag", "attrs", "path", "text")}
+        self.starts = [0]
+
+    def page(self, text: str | None) -> None:
+        self.reset()
+        self.first, self.open = self.starts[-1], []
+        if text is not None:
+            self.open.append(self._add("", {}, None))
+            self.feed(text)
+            self.close()
+            while self.open:
+                self._close()
+        self.starts.append(len(self.columns["tag"]))
 
     def _add(self, tag: str | None, attrs: dict[str, str] | None, text: str | None) -> int:
-        at, nth = len(self.rows), None
-        if tag:
-            nth = self.seen[-1][tag] = self.seen[-1].get(tag, 0) + 1
-        self.rows.append([at, at, self.open[-1], tag, attrs, nth, text])
+        at, columns = len(self.columns["tag"]) - self.first, self.columns
+        up = self.open[-1] if self.open else None
+        above = columns["path"][self.first + up] if up else ""
+        columns["last"].append(at)
+        columns["parent"].append(up)
+        columns["tag"].append(tag)
+        columns["attrs"].append(attrs)
+        columns["path"].append((f"{above}/{tag}" if above else tag) if attrs is not None else None)
+        columns["text"].append(text)
         return at
 
+    def _tag(self, place: int) -> str:
+        return self.columns["tag"][self.first + place]
+
     def _close(self) -> None:
-        self.rows[self.open.pop()][1] = len(self.rows) - 1
-        self.seen.pop()
+        self.columns["last"][self.first + self.open.pop()] = len(self.columns["tag"]) - self.first - 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in CLOSES.get(self.rows[self.open[-1]][3], ()):
+        while tag in CLOSES.get(self._tag(self.open[-1]), ()):
             self._close()
-        at = self._add(tag, {k: v or "" for k, v in attrs}, None)
+        named: dict[str, str] = {}
+        for k, v in attrs:
+            named.setdefault(k, v or "")
+        at = self._add(tag, named, None)
         if tag not in VOID:
             self.open.append(at)
-            self.seen.append({})
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self._add(tag, {k: v or "" for k, v in attrs}, None)
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self._close()
 
     def handle_endtag(self, tag: str) -> None:
-        if any(self.rows[x][3] == tag for x in self.open[1:]):
-            while self.rows[self.open[-1]][3] != tag:
+        if any(self._tag(x) == tag for x in self.open[1:]):
+            while self._tag(self.open[-1]) != tag:
                 self._close()
             self._close()
 
     def handle_data(self, data: str) -> None:
-        if data.strip():
-            self._add(None, None, data.strip())
-
-    @classmethod
-    def of(cls, page: str) -> list[list]:
-        made = cls()
-        made.feed(page)
-        made.close()
-        while made.open:
-            made._close()
-        return made.rows
+        before = len(self.columns["tag"]) - 1
+        if before >= self.first and self.columns["tag"][before] is None and self.columns["parent"][before] == self.open[-1]:
+            self.columns["text"][before] += data
+        else:
+            self._add(None, None, data)
+
+    def handle_comment(self, data: str) -> None:
+        self._add("!--", None, data)
+
+    def arrays(self, missing: np.ndarray) -> pa.Array:
+        """The pages as an array of arrays of nodes; missing pages are null."""
+        c, n = self.columns, len(self.columns["tag"])
+        page = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
+        place = np.arange(n) - np.array(self.starts)[page] if n else np.empty(0, np.int64)
+        parent = np.array([-1 if x is None else x for x in c["parent"]], np.int64)
+        inner = np.array([a is not None and bool(t) for a, t in zip(c["attrs"], c["tag"], strict=True)], bool)
+        family = page * (n + 1) + parent
+        kind = pa.array(c["tag"], pa.string()).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        made = {k: pa.array(c[k], pa.int32()) for k in ("last", "parent")} | {k: pa.array(c[k], pa.string()) for k in ("tag", "path", "text")} | {"place": pa.array(place.astype(np.int32))}
+        for name, group in (("nth", family * (n + 1) + kind + 1), ("child", family)):
+            from_start, from_end = _ranks(group, inner)
+            made |= {name: pa.array(from_start, pa.int32(), mask=~inner), f"{name}_end": pa.array(from_end, pa.int32(), mask=~inner)}
+        sizes = [len(a) if a else 0 for a in c["attrs"]]
+        keys, values = ([x for a in c["attrs"] if a for x in getattr(a, part)()] for part in ("keys", "values"))
+        attrs = pa.MapArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(keys, pa.string()), pa.array(values, pa.string()))
+        names = [x.split()[0] for x in NODE.split(", ")]
+        nodes = pa.StructArray.from_arrays([attrs if k == "attrs" else made[k] for k in names], names)
+        return pa.ListArray.from_arrays(pa.array(self.starts, pa.int32()), nodes, mask=pa.array(missing))
+
+
+def _ranks(group: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each counted row, its place in its group from the start and from the end, from 1."""
+    rows = np.flatnonzero(counted)
+    order = rows[np.argsort(group[rows], kind="stable")]
+    _, first, size = np.unique(group[order], return_index=True, return_counts=True)
+    nth = np.arange(len(order)) - np.repeat(first, size) + 1
+    out, end = np.zeros(len(group), np.int32), np.zeros(len(group), np.int32)
+    out[order], end[order] = nth, np.repeat(size, size) + 1 - nth
+    return out, end
+
+
+def parse(pages: DataFrame, html: str = "html", into: str = "nodes") -> DataFrame:
+    """pages with an array of each page's nodes (struct of NODE), by one pass of the parser over batches of pages; null for null. The column of this name is replaced."""
+    pages = pages.drop(into)
+    names = pages.columns
+    at = names.index(html)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, PAGES_A_BATCH):
+                b = whole.slice(first, PAGES_A_BATCH)
+                texts = b.column(at).to_pylist()
+                made = _Nodes()
+                for text in texts:
+                    made.page(text)
+                yield pa.RecordBatch.from_arrays([*b.columns, made.arrays(np.array([x is None for x in texts]))], [*names, into])
+
+    return pages.mapInArrow(run, T.StructType([*pages.schema, T.StructField(into, T.ArrayType(T.StructType.fromDDL(NODE)))]))
 
 
 def nodes(pages: DataFrame, key: list[str], html: str) -> DataFrame:
-    """Rows of pages: key, place, last, parent, tag, attrs, nth (place among siblings of its tag), text (stripped, of texts; blank ones are left out). Null HTML has none."""
-    kinds = dict(pages.dtypes)
-    names = [x.split()[0] for x in NODE.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            for r in part.to_dict("records"):
-                if r[html] is not None:
-                    made = pd.DataFrame(_Rows.of(r[html]), columns=names)
-                    for k in key:
-                        made[k] = r[k]
-                    yield made[[*key, *names]]
-
-    return pages.select(*key, html).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + f", {NODE}")
-
-
-_STEP = re.compile(r"\s*([>\s])?\s*([a-zA-Z][\w-]*|\*)?((?:[#.][\w-]+|\[[^\]]*\]|:nth-of-type\(\d+\))*)")
-_CONDITION = re.compile(r"([#.])([\w-]+)|\[\s*([\w:-]+)\s*(?:([~^$*|]?=)\s*[\"']?([^\"'\]]*)[\"']?)?\s*\]|:nth-of-type\((\d+)\)")
-
-
-def to_css(selector: str) -> str:
-    """An XPath of steps, attribute tests and places as CSS; CSS stays."""
-    if not selector.lstrip(".").startswith(("/", "(")):
-        return selector
-    css = selector.lstrip(".")
-    css = re.sub(r"/@([\w-]+)$", r"::attr(\1)", css)
-    css = re.sub(r"/+text\(\)$", "::text", css)
-    css = re.sub(r"\[contains\(@([\w-]+),\s*[\"']([^\"']*)[\"']\)\]", r"[\1*='\2']", css)
-    css = re.sub(r"\[@([\w-]+)\s*=\s*[\"']([^\"']*)[\"']\]", r"[\1='\2']", css)
-    css = re.sub(r"\[@([\w-]+)\]", r"[\1]", css)
-    css = re.sub(r"\[(\d+)\]", r":nth-of-type(\1)", css)
-    return css.replace("//", " ").replace("/", " > ").strip().removeprefix("> ")
-
-
-def _fits(tag: str | None, conditions: str) -> Column:
-    """Whether a node has a tag and meets conditions: #id, .class, [attribute], [attribute op value], :nth-of-type(n)."""
-    tests = [F.col("tag") != "", F.col("tag") == tag.lower() if tag and tag != "*" else F.col("tag").isNotNull()]
-    for mark, name, attr, op, value, place in _CONDITION.findall(conditions):
-        own = F.try_element_at("attrs", F.lit("id" if mark == "#" else "class" if mark else attr))
-        words = F.split(own, r"\s+")
-        if mark == "#":
-            tests.append(own == name)
-        elif mark:
-            tests.append(F.array_contains(words, name))
-        elif place:
-            tests.append(F.col("nth") == int(place))
-        else:
-            how = {"": own.isNotNull(), "=": own == value, "^=": F.startswith(own, F.lit(value)), "$=": F.endswith(own, F.lit(value)), "*=": F.contains(own, F.lit(value)), "~=": F.array_contains(words, value), "|=": (own == value) | F.startswith(own, F.lit(value + "-"))}
-            tests.append(how[op])
-    return reduce(lambda a, b: a & F.coalesce(b, F.lit(False)), tests)
-
-
-def select(found: DataFrame, key: list[str], css: str) -> DataFrame:
-    """The elements of found (nodes) that a selector list names: tags, #id, .class, attributes, places, descendants and children. Each step is a filter and a semi-join with the step before."""
-    hits = None
-    for one in css.split(","):
-        at = None
-        for m in _STEP.finditer(one.strip()):
-            if not (m[2] or m[3]):
-                continue
-            fit = found.filter(_fits(m[2], m[3]))
-            if at is not None:
-                above = at.select(*(F.col(k).alias(f"_{k}") for k in key), F.col("place").alias("_place"), F.col("last").alias("_last"))
-                below = F.col("parent") == F.col("_place") if m[1] == ">" else (F.col("place") > F.col("_place")) & (F.col("place") <= F.col("_last"))
-                fit = fit.join(above, reduce(lambda a, b: a & b, (F.col(k) == F.col(f"_{k}") for k in key)) & below, "left_semi")
-            at = fit
-        hits = at if hits is None else hits.union(at).dropDuplicates([*key, "place"])
-    return hits
-
-
-def texts(found: DataFrame, hits: DataFrame, key: list[str], direct: bool = False) -> DataFrame:
-    """key, place and value of elements hits: the texts below (or, direct, right below: a row each), joined by a space; elements without text are left out."""
-    below = found.filter("text IS NOT NULL").select(*(F.col(k).alias(f"_{k}") for k in key), F.col("place").alias("_place"), F.col("parent").alias("_parent"), F.col("text").alias("_text"))
-    same = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"_{k}") for k in key))
-    if direct:
-        return hits.join(below, same & (F.col("_parent") == F.col("place"))).select(*key, F.col("_place").alias("place"), F.col("_text").alias("value"))
-    held = hits.select(*key, "place", "last").join(below, same & (F.col("_place") > F.col("place")) & (F.col("_place") <= F.col("last")))
-    return held.groupBy(*key, "place").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_place", "_text"))), lambda x: x["_text"]), " ").alias("value"))
-
-
-def values(found: DataFrame, key: list[str], selector: str) -> DataFrame:
-    """key, place and value of what a CSS or XPath selector gives: texts, or attributes for ::attr(name) or /@name, or single texts for ::text or /text()."""
-    css, _, pseudo = to_css(selector).partition("::")
-    hits = select(found, key, css)
-    if pseudo.startswith("attr("):
-        return hits.select(*key, "place", F.try_element_at("attrs", F.lit(pseudo[5:-1])).alias("value")).filter("value IS NOT NULL")
-    return texts(found, hits, key, pseudo == "text")
-
-
-def extract(pages: DataFrame, key: list[str], html: str, selectors: dict[str, str]) -> DataFrame:
-    """pages with found, a map of names to arrays of what their selectors give in document order (null for pages where none gives anything). key names a page."""
-    rows = nodes(pages, key, html)
-    each = [values(rows, key, s).withColumn("name", F.lit(n)) for n, s in selectors.items()]
-    named = reduce(lambda a, b: a.union(b), each).groupBy(*key, "name").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("values"))
-    return pages.join(named.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("name", "values"))).alias("found")), key, "left")
+    """A row for each node of pages: key and the fields of NODE. Null HTML has none."""
+    return parse(pages.select(*key, html), html, "_nodes").select(*key, F.inline("_nodes"))
+
+
+def found(page: Column, selector: str) -> Column:
+    """Places of what a CSS or XPath selector finds among a page's nodes (from parse), in document order. A selector that is not understood raises ValueError."""
+    ways = [p.places(page, F.array(F.lit(0))) for p in selectors.paths(selector)]
+    return ways[0] if len(ways) == 1 else F.array_sort(F.array_distinct(F.flatten(F.array(*ways))))
+
+
+def _words(page: Column, n: Column) -> Column:
+    """Stripped texts in an element, blank ones left out, joined by a space; of a text, itself."""
+    inside = F.filter(F.transform(below(page, n), lambda t: F.when(t["tag"].isNull(), F.btrim(t["text"], F.lit(BLANK)))), lambda t: t.isNotNull() & (t != ""))
+    return F.when(n["tag"].isNull(), F.btrim(n["text"], F.lit(BLANK))).otherwise(F.array_join(inside, " "))
+
+
+def words(page: Column, place: Column) -> Column:
+    """The text of the node at a place, as get() gives it."""
+    return _words(page, F.get(page, place))
+
+
+def _read(page: Column, selector: str, of) -> Column:
+    """What each path of a selector finds, read by of (path, node), in document order."""
+
+    def way(path: selectors.Path) -> Column:
+        return F.transform(path.places(page, F.array(F.lit(0))), lambda p: F.struct(p.alias("place"), of(path, F.get(page, p)).alias("value")))
+
+    ways = [way(path) for path in selectors.paths(selector)]
+    both = ways[0] if len(ways) == 1 else F.array_sort(F.array_distinct(F.flatten(F.array(*ways))))
+    return F.filter(F.transform(both, lambda x: x["value"]), lambda v: v.isNotNull())
+
+
+def getall(page: Column, selector: str) -> Column:
+    """Texts of what a selector finds, those without text left out; attributes for ::attr(name) and /@name; single texts for ::text and /text()."""
+
+    def value(path: selectors.Path, n: Column) -> Column:
+        if path.reads.startswith("@"):
+            return F.try_element_at(n["attrs"], F.lit(path.reads[1:]))
+        return F.nullif(_words(page, n), F.lit(""))
+
+    return F.when(page.isNotNull(), _read(page, selector, value))
+
+
+def get(page: Column, selector: str, default: str | None = None) -> Column:
+    """The first text that a selector finds."""
+    return F.coalesce(F.get(getall(page, selector), F.lit(0)), F.lit(default))
+
+
+def attrs(page: Column, selector: str, name: str) -> Column:
+    """An attribute of every element that a selector finds, those without it left out."""
+    return F.when(page.isNotNull(), _read(page, selector, lambda _, n: F.try_element_at(n["attrs"], F.lit(name.lower()))))
+
+
+def attr(page: Column, selector: str, name: str, default: str | None = None) -> Column:
+    """An attribute of the first element that a selector finds; default if that has none."""
+    first = F.get(page, F.get(found(page, selector), F.lit(0)))
+    return F.coalesce(F.try_element_at(first["attrs"], F.lit(name.lower())), F.lit(default))
+
+
+def _escaped(text: Column, quoted: bool = False) -> Column:
+    for mark, name in [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")] + [('"', "&quot;")] * quoted:
+        text = F.replace(text, F.lit(mark), F.lit(name))
+    return text
+
+
+def _outer(page: Column, n: Column) -> Column:
+    """HTML of a node: its opening and closing marks and those below it, in order. Elements close after the last place in them, inner ones first."""
+    mark = lambda at, shut, turn, s: F.struct(at.alias("at"), F.lit(shut).alias("shut"), turn.alias("turn"), s.alias("s"))
+
+    def opened(x: Column) -> Column:
+        named = F.array_join(F.transform(F.map_entries(x["attrs"]), lambda a: F.concat(F.lit(" "), a["key"], F.lit('="'), _escaped(a["value"], True), F.lit('"'))), "")
+        inside = F.get(page, x["parent"])["tag"].isin(*RAW)
+        text = F.when(inside, x["text"]).otherwise(_escaped(x["text"]))
+        return mark(x["place"], 0, F.lit(0), F.when(x["tag"].isNull(), text).when(x["tag"] == "!--", F.concat(F.lit("<!--"), x["text"], F.lit("-->"))).otherwise(F.concat(F.lit("<"), x["tag"], named, F.lit(">"))))
+
+    every = F.concat(F.array(n), below(page, n))
+    closed = F.transform(F.filter(every, lambda x: is_element(x) & ~x["tag"].isin(*VOID)), lambda x: mark(x["last"], 1, -x["place"], F.concat(F.lit("</"), x["tag"], F.lit(">"))))
+    return F.array_join(F.transform(F.array_sort(F.concat(F.transform(every, opened), closed)), lambda x: x["s"]), "")
+
+
+def getall_outer(page: Column, selector: str) -> Column:
+    """HTML, tags included, of what a selector finds; attributes and texts for those that read them."""
+
+    def value(path: selectors.Path, n: Column) -> Column:
+        return F.try_element_at(n["attrs"], F.lit(path.reads[1:])) if path.reads.startswith("@") else n["text"] if path.reads else _outer(page, n)
+
+    return F.when(page.isNotNull(), _read(page, selector, value))
+
+
+def get_outer(page: Column, selector: str, default: str | None = None) -> Column:
+    """HTML of the first that a selector finds."""
+    return F.coalesce(F.get(getall_outer(page, selector), F.lit(0)), F.lit(default))
+
+
+def values(rows: DataFrame, key: list[str], selector: str) -> DataFrame:
+    """key, place and value of what a selector gives, from rows of nodes."""
+    fields = [x.split()[0] for x in NODE.split(", ")]
+    pages = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*fields)), lambda a, b: a["place"] - b["place"]).alias("_nodes"))
+    return pages.select(*key, F.posexplode(getall(F.col("_nodes"), selector)).alias("place", "value"))
+
+
+def extract(pages: DataFrame, key: list[str], html: str, wanted: dict[str, str]) -> DataFrame:
+    """pages with found, a map of names to arrays of what their selectors give in document order (null for pages where none gives anything). A page is parsed once."""
+    parsed = parse(pages, html, "_nodes")
+    each = [F.struct(F.lit(n).alias("name"), getall(F.col("_nodes"), s).alias("values")) for n, s in wanted.items()]
+    hits = F.filter(F.array(*each), lambda x: F.size(F.coalesce(x["values"], F.array().cast("array<string>"))) > 0)
+    return parsed.withColumn("_hits", hits).withColumn("found", F.when(F.size("_hits") > 0, F.map_from_entries("_hits"))).drop("_nodes", "_hits")
 
 
 def first(extracted: Column, name: str, default: str | None = None) -> Column:
     return F.coalesce(F.get(F.try_element_at(extracted, F.lit(name)), F.lit(0)), F.lit(default))
 
 
-def elements(pages: DataFrame, key: list[str], html: str, css: str = "*") -> DataFrame:
-    """One row for each element that css names: key, place, and its fingerprint: tag, text of its own, attributes, path of tags, its parent's name, attributes and text, tags of siblings and children."""
-    rows = nodes(pages, key, html)
-    tagged = rows.filter("tag <> ''")
-    own = rows.filter("text IS NOT NULL").groupBy(*key, F.col("parent").alias("place")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), " ").alias("text"))
-    children = tagged.groupBy(*key, F.col("parent").alias("place")).agg(F.sort_array(F.collect_list(F.struct("place", "tag"))).alias("below"))
-    hits = select(rows, key, css).select(*key, "place", "last", "parent", "tag", F.col("attrs").alias("attributes"))
-    up = tagged.select(*(F.col(k).alias(f"_{k}") for k in key), F.col("place").alias("_place"), F.col("last").alias("_last"), F.col("tag").alias("_tag"))
-    same = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"_{k}") for k in key))
-    path = hits.select(*key, "place").join(up, same & (F.col("_place") <= F.col("place")) & (F.col("place") <= F.col("_last"))).groupBy(*key, "place").agg(F.transform(F.sort_array(F.collect_list(F.struct("_place", "_tag"))), lambda x: x["_tag"]).alias("path"))
-    above = tagged.drop("text").join(own, [*key, "place"], "left").select(*key, F.col("place").alias("parent"), F.col("tag").alias("parent_name"), F.col("attrs").alias("parent_attributes"), F.col("text").alias("parent_text"))
-    beside = children.select(*key, F.col("place").alias("parent"), F.col("below").alias("beside"))
-    none = F.array().cast("array<struct<place:int,tag:string>>")
-    tags = lambda c: F.transform(c, lambda x: x["tag"])
-    whole = hits.join(own, [*key, "place"], "left").join(path, [*key, "place"], "left").join(children, [*key, "place"], "left").join(above, [*key, "parent"], "left").join(beside, [*key, "parent"], "left")
-    return whole.select(
-        *key, "place", "tag", F.coalesce("text", F.lit("")).alias("text"), "attributes", "path", "parent_name", F.coalesce("parent_attributes", F.create_map().cast("map<string,string>")).alias("parent_attributes"),
-        F.when(F.col("parent_name").isNotNull(), F.coalesce("parent_text", F.lit(""))).alias("parent_text"), tags(F.filter(F.coalesce("beside", none), lambda x: x["place"] != F.col("place"))).alias("siblings"), tags(F.coalesce("below", none)).alias("children"),
-    )
-
-
-# Weights of what an element is compared by.
-WEIGHTS = {"tag": 1.0, "text": 2.0, "attributes": 1.5, "important": 2.0, "path": 1.0, "parent": 1.0, "siblings": 0.5}
-IMPORTANT = ("class", "id", "href", "src")
-
-
-def _ratio(a, b) -> float:
-    return SequenceMatcher(None, a, b).ratio()
-
-
-def _maps(a: dict, b: dict) -> float:
-    if not a and not b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    common = set(a) & set(b)
-    return 0.5 * len(common) / len(set(a) | set(b)) + 0.5 * (sum(_ratio(a[k], b[k]) for k in common) / len(common) if common else 0.0)
-
-
-def alike(a: dict, b: dict) -> float:
-    """How alike two fingerprints are, 0 to 100; what the first has not is left out of the weights."""
-    parts = [("tag", float(a["tag"] == b["tag"])), ("attributes", _maps(a["attributes"], b["attributes"])), ("path", _ratio(a["path"], b["path"]))]
-    if a["text"]:
-        parts.append(("text", _ratio(a["text"], b["text"] or "")))
-    named = [k for k in IMPORTANT if a["attributes"].get(k)]
-    if named:
-        parts.append(("important", sum(_ratio(a["attributes"][k], b["attributes"].get(k) or "") for k in named) / len(named)))
-    if a["parent_name"] and b["parent_name"]:
-        scores = [_ratio(a["parent_name"], b["parent_name"]), _maps(a["parent_attributes"], b["parent_attributes"])]
-        scores += [_ratio(a["parent_text"], b["parent_text"] or "")] if a["parent_text"] else []
-        parts.append(("parent", sum(scores) / len(scores)))
-    if a["siblings"]:
-        parts.append(("siblings", _ratio(a["siblings"], b["siblings"])))
-    return 100 * sum(WEIGHTS[k] * s for k, s in parts) / sum(WEIGHTS[k] for k, _ in parts)
-
-
-def _plain(x: dict) -> dict:
-    return {k: dict(v) if k.endswith("attributes") else list(v) if k in ("path", "siblings", "children") else v for k, v in x.items()}
-
-
-@F.pandas_udf(T.DoubleType())
-def similarity(left: pd.DataFrame, right: pd.DataFrame) -> pd.Series:
-    """How alike two fingerprints (structs) are."""
-    return pd.Series([alike(_plain(a), _plain(b)) for a, b in zip(left.to_dict("records"), right.to_dict("records"), strict=True)])
-
-
-def relocate(saved: DataFrame, candidates: DataFrame, least: float = 0.0) -> DataFrame:
-    """The elements (candidates: page, place, fp) that are most like a saved one (identifier, fp) of their tag, all ties, on each page."""
-    pairs = saved.select("identifier", F.col("fp").alias("want"), F.col("fp.tag").alias("tag")).join(candidates.withColumn("tag", F.col("fp.tag")), "tag")
-    scored = pairs.withColumn("score", similarity("want", "fp")).filter(F.col("score") >= least)
-    best = scored.groupBy("identifier", "page").agg(F.max("score").alias("best"))
-    return scored.join(best, ["identifier", "page"]).filter("score = best").select("identifier", "page", "place", "score")
-
-
-def find_similar(target: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
-    """Elements of the target's page with its tag, parent and children's tags, a depth within one, and likeness of least at least; the target itself, by its place, is left out."""
-    t = target.select("page", F.col("place").alias("own"), F.col("fp").alias("want"))
-    met = t.join(candidates, "page").filter("place <> own AND fp.tag = want.tag AND fp.parent_name <=> want.parent_name AND fp.children = want.children AND abs(size(fp.path) - size(want.path)) <= 1")
-    return met.withColumn("score", similarity("want", "fp")).filter(F.col("score") >= least).select("page", "own", "place", "score")
-
-
-def save_first(saved: DataFrame, new: DataFrame) -> DataFrame:
-    """saved with the fingerprints of new whose domain and identifier it has not."""
-    return saved.unionByName(new.join(saved.select("domain", "identifier"), ["domain", "identifier"], "left_anti").dropDuplicates(["domain", "identifier"]))
+def _clean(attributes: Column) -> Column:
+    return F.map_filter(attributes, lambda k, v: (F.btrim(v, F.lit(BLANK)) != "") & ~k.isin(*FORBIDDEN))
+
+
+def fingerprint(page: Column, place: Column) -> Column:
+    """What an element is known again by: tag, text of its own, attributes (neither blank nor forbidden), path of tags, its parent's name, attributes and text, tags of siblings and children."""
+    n = F.get(page, place)
+    up = F.get(page, n["parent"])
+    whole = n["parent"] > 0
+    text = lambda x: F.array_join(F.filter(F.transform(F.filter(below(page, x), lambda t: t["tag"].isNull() & (t["parent"] == x["place"])), lambda t: F.btrim(t["text"], F.lit(BLANK))), lambda t: t != ""), " ")
+    inside = lambda x: F.filter(below(page, x), lambda c: is_element(c) & (c["parent"] == x["place"]))
+    tags = lambda xs: F.transform(xs, lambda x: x["tag"])
+    return F.struct(
+        n["tag"].alias("tag"),
+        text(n).alias("text"),
+        _clean(n["attrs"]).alias("attributes"),
+        F.split(n["path"], "/").alias("path"),
+        F.when(whole, up["tag"]).alias("parent_name"),
+        F.when(whole, _clean(up["attrs"])).otherwise(F.create_map().cast("map<string,string>")).alias("parent_attributes"),
+        F.when(whole, text(up)).alias("parent_text"),
+        tags(F.filter(inside(up), lambda x: x["place"] != n["place"])).alias("siblings"),
+        tags(inside(n)).alias("children"),
+    )
+
+
+def elements(pages: DataFrame, key: list[str], html: str, selector: str = "*") -> DataFrame:
+    """A row for each element that a selector finds: key, place, and the fields of its fingerprint."""
+    found_here = F.transform(found(F.col("_nodes"), selector), lambda p: F.struct(p.alias("place"), fingerprint(F.col("_nodes"), p).alias("fp")))
+    return parse(pages.select(*key, html), html, "_nodes").select(*key, F.inline(found_here)).select(*key, "place", "fp.*")

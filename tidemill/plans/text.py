@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.functions import encoding, html, records, text, web
+from tidemill.functions import encoding, html, records, relocation, text, web
 from tidemill.operators import dedup
-from tidemill.plans.base import Book, table
+from tidemill.plans.base import Book, scratch, table
 
 book = Book()
 
@@ -171,9 +171,68 @@ _BODY = r"""regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?
       nullif(len(regexp_extract_all(body, '(?i)<li[^>]*>\s*<a[\s>]')), 0)::INT AS items FROM b"""
 )
 def html_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title, links and list items of pages, by one parse of each and joins of their elements; null for none."""
-    pages = html.extract(table(spark, sf_dir, "pages").select("page_id", "html"), ["page_id"], "html", {"title": "title", "links": "a::attr(href)", "items": "//li/a"})
-    return pages.select("page_id", html.first(F.col("found"), "title").alias("title"), *(F.size(F.try_element_at("found", F.lit(k))).alias(k) for k in ("links", "items")))
+    """Title, links and list items of pages, by one parse of each; null for none."""
+    pages = html.parse(table(spark, sf_dir, "pages").select("page_id", "html"))
+    some = lambda selector: F.nullif(F.size(html.getall(F.col("nodes"), selector)), F.lit(0))
+    return pages.select("page_id", html.get(F.col("nodes"), "title").alias("title"), some("a::attr(href)").alias("links"), some("//li/a").alias("items"))
+
+
+# the entities that the test pages have, as they are and as they are written again
+_AGAIN = "replace(replace(replace({0}, '&copy;', '\u00a9'), '&middot;', '\u00b7'), '&quot;', '\"')"
+
+
+@book.add(
+    rf"""WITH b AS (SELECT page_id, {_BODY} AS body FROM pages)
+    SELECT page_id, {_AGAIN.format("regexp_extract(body, '<h1>.*?</h1>', 0, 's')")} AS heading, {_AGAIN.format("regexp_extract(body, '<nav>.*?</nav>', 0, 's')")} AS nav,
+      list_transform(regexp_extract_all(regexp_extract(body, '<nav>.*?</nav>', 0, 's'), '<a [^>]*>.*?</a>'), lambda a: {_AGAIN.format("a")}) AS links FROM b"""
+)
+def outer_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heading, navigation and its links as HTML again."""
+    pages = html.parse(table(spark, sf_dir, "pages").select("page_id", "html"))
+    n = F.col("nodes")
+    return pages.select("page_id", html.get_outer(n, "h1").alias("heading"), html.get_outer(n, "//nav").alias("nav"), html.getall_outer(n, "nav a").alias("links"))
+
+
+@book.add(
+    rf"""WITH b AS (SELECT page_id, regexp_extract({_BODY}, '<nav>.*?</nav>', 0, 's') AS nav, regexp_extract({_BODY}, '<article>.*?</h1>', 0, 's') AS top, html FROM pages),
+      x AS (SELECT *, regexp_extract_all(nav, 'href="([^"]*)"', 1) AS hrefs, regexp_extract_all(nav, '<a [^>]*>(.*?)</a>', 1) AS names FROM b)
+    SELECT page_id, hrefs[1:2] AS first_two, hrefs[len(hrefs)] AS final, trim(replace(regexp_extract(top, '<h1>(.*?)</h1>', 1, 's'), '&amp;', '&')) AS heading,
+      len(list_filter(names, lambda n: contains(n, 'e')))::BIGINT AS with_e, (len(hrefs) - 1)::BIGINT AS later, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM x"""
+)
+def selector_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pages hold beside, above and below their elements: siblings, ancestors, positions, texts that contain."""
+    pages = html.parse(table(spark, sf_dir, "pages").select("page_id", "html"))
+    n = F.col("nodes")
+    return pages.select(
+        "page_id",
+        html.getall(n, "//div[@class='ad']/preceding-sibling::nav//li[position() < 3]/a/@href").alias("first_two"),
+        html.attr(n, "nav li:last-child a", "href").alias("final"),
+        html.get(n, "nav ~ article > h1").alias("heading"),
+        F.size(html.getall(n, "//nav//a[contains(text(), 'e')]/@href")).cast("long").alias("with_e"),
+        F.size(html.attrs(n, "nav li:not(:first-child) > a", "href")).cast("long").alias("later"),
+        html.get(n, "//title/ancestor::html/@lang").alias("lang"),
+    )
+
+
+@book.add(
+    rf"""WITH a AS (SELECT page_id, {_DOMAIN} AS domain, {_SQUEEZE.format("regexp_replace(regexp_extract(" + _BODY + ", '<div class=.ad.>(.*?)</div>', 1, 's'), '<[^>]*>', ' ', 'g')")} AS text FROM pages)
+    SELECT visit, page_id, visit = 2 AS healed, text FROM a, (VALUES (1), (2)) v(visit) WHERE text <> '' AND (visit = 1 OR domain IN (SELECT domain FROM a WHERE text <> ''))"""
+)
+def healed_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two visits of every site: on the second the advertisement has another class, and is found by the fingerprint that the domain's first page left."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), web.domain(F.col("url")).alias("domain"), "html")
+    store = relocation.FingerprintStore(scratch(spark, "fingerprints"))
+    out = []
+    for visit, shown in ((1, F.col("html")), (2, F.replace(F.col("html"), F.lit('class="ad"'), F.lit('class="promo"')))):
+        parsed = html.parse(pages.withColumn("html", shown)).drop("html")
+        n = F.col("nodes")
+        divs = F.transform(html.found(n, "div"), lambda p: F.struct(p.alias("place"), html.fingerprint(n, p).alias("fp"), text.remove_extra_whitespace(html.words(n, p)).alias("text"), F.array_contains(html.found(n, "div.ad"), p).alias("hit")))
+        path = scratch(spark, "visit")
+        parsed.select("page", "domain", F.inline(divs)).write.parquet(path)
+        found = spark.read.parquet(path)
+        healed = relocation.heal(pages.select("page", "domain"), found.filter("hit").select("page", "place", "fp"), found.select("page", "domain", "place", "fp"), store, visit, least=30.0)
+        out.append(healed.join(found, ["page", "place"]).select(F.lit(visit).alias("visit"), F.col("page").alias("page_id"), "healed", "text"))
+    return out[0].union(out[1])
 
 
 @book.add()
