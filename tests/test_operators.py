@@ -294,3 +294,64 @@ def test_overflow(spark):
     assert rows(kept) == [(0, 0), (0, 3), (1, 1), (1, 4)] and dropped == 2 and streaming.overflow(queue, 6)[1] == 0
     with pytest.raises(OverflowError, match="6 rows"):
         streaming.overflow(queue, 4, "raise")
+
+
+def test_csv_for_other_readers(spark, tmp_path):
+    """Quotes are doubled, white space stays: Python's csv reads back what was written."""
+    import csv
+    import glob
+
+    data = [("1", 'a "b", c'), ("2", "back\\slash"), ("3", ' "lead'), ("4", "line\nbreak"), ("5", '""'), ("6", "plain"), ("7", " padded ")]
+    sinks.csv(spark.createDataFrame(data, "i string, t string").coalesce(1), str(tmp_path / "csv"))
+    with open(glob.glob(str(tmp_path / "csv" / "part-*"))[0], newline="") as f:
+        assert list(csv.reader(f)) == [["i", "t"], *map(list, data)]
+
+
+def test_blob_names(spark, tmp_path):
+    """Names differ whatever numbers they have already; equal values of one name are one file."""
+    rows = [("file.bin", b"a"), ("file.bin", b"b"), ("file_1.bin", b"c"), ("file_1.bin", b"d"), ("file_1_1.bin", b"e"), ("none", b"f"), ("none", b"f"), (None, b"g"), ("none", None)]
+    rows += [("hot.txt", str(i).encode()) for i in range(600)]
+    sinks.blobs(spark.createDataFrame([(n, None if b is None else bytearray(b)) for n, b in rows], "n string, b binary"), "n", "b", str(tmp_path / "blobs"))
+    found = [(r["name"], r["body"]) for r in spark.read.parquet(str(tmp_path / "blobs")).collect()]
+    assert len(found) == len(rows) - 1 == len({n for n, _ in found}) and {b if b is None else bytes(b) for _, b in found} == {b for _, b in rows}
+    assert {n for n, _ in found} >= {"hot.txt", "hot_1.txt", "hot_599.txt", "file.bin", "file_1.bin", "file_1_1.bin"}
+
+
+def test_sink_connects_again():
+    """A connection that has gone away is opened anew, in a batch and row by row."""
+    opened, kept = [], []
+
+    class Gone:
+        def __init__(self):
+            opened.append(self)
+            self.left = 2
+
+        def cursor(self):
+            return self
+
+        def execute(self, sql, value):
+            self.left -= 1
+            if self.left < 0:
+                raise OSError(2006, "gone away")
+            if value == ("bad",):
+                raise OSError(1062, "twice")
+            kept.append(value)
+
+        def executemany(self, sql, values):
+            if len(opened) < 2:
+                raise OSError(2013, "lost")
+            raise OSError(1, "refused")
+
+        def commit(self):
+            pass
+
+        def rollback(self):
+            if self.left < 0:
+                raise OSError(2006, "gone away")
+
+        def close(self):
+            raise OSError("closed already")
+
+    sent, failed = sinks._send(sinks.Link(Gone), "", ["v"], [{"v": x} for x in ("a", "bad", "b", "c", "d")], 3, 0.0)
+    assert [r["v"] for r in sent] == ["a", "b", "c", "d"] and [(r["v"], r["_action"]) for r in failed] == [("bad", "skip")]
+    assert kept == [("a",), ("b",), ("c",), ("d",)] and len(opened) > 2

@@ -26,7 +26,7 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "csv")
     sinks.csv(_customers(spark, sf_dir), path)
-    return spark.read.schema(_CUSTOMER).csv(path, header=True, escape="\\", nullValue="")
+    return spark.read.schema(_CUSTOMER).csv(path, header=True, escape='"', nullValue="")
 
 
 @book.add(f"SELECT c_mktsegment, {_ODD} AS c_name FROM customer")
@@ -34,7 +34,7 @@ def csv_fields_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields in a given order, others left out, another delimiter."""
     path = scratch(spark, "csv")
     sinks.csv(_customers(spark, sf_dir), path, ["c_mktsegment", "c_name"], ";")
-    return spark.read.schema("c_mktsegment string, c_name string").csv(path, header=True, sep=";", escape="\\", nullValue="")
+    return spark.read.schema("c_mktsegment string, c_name string").csv(path, header=True, sep=";", escape='"', nullValue="")
 
 
 @book.add(f"SELECT c_custkey, {_ODD} AS c_name, c_mktsegment, '2024-01-02' AS _crawl_time, 'shop' AS _spider_name FROM customer")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -25,9 +26,9 @@ def for_sql(rows: DataFrame) -> DataFrame:
 
 
 def csv(rows: DataFrame, path: str, fields: list[str] | None = None, delimiter: str = ",", quote: str = '"', mode: str = "append") -> None:
-    """With a header; null is empty; quotes only where they are needed. Columns are those of fields, or all."""
+    """With a header; null is empty; quotes only where they are needed, doubled inside them, as other readers of CSV expect. Columns are those of fields, or all."""
     flat = for_sql(rows.select(*fields) if fields else rows)
-    flat.write.mode(mode).csv(path, header=True, sep=delimiter, quote=quote, nullValue="", emptyValue="")
+    flat.write.mode(mode).csv(path, header=True, sep=delimiter, quote=quote, escape=quote, nullValue="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def json_lines(rows: DataFrame, path: str, crawl_time: str | None = None, spider: str | None = None, mode: str = "append") -> None:
@@ -91,11 +92,11 @@ def rows_to(
     rows: DataFrame, connect: Callable[[], object], sql: str, dead_letters: str, batch: int = 100, tries: int = 3, wait: float = 1.0, give_up: int = 10, before: Callable[[Rows], Rows] | None = None,
     after: Callable[[Rows], None] | None = None,
 ) -> DataFrame:
-    """Writes rows by a DB-API statement from the tasks; connect opens a connection in the task.
+    """Writes rows by a DB-API statement from the tasks; connect opens a connection in the task, and again when an error that may pass has closed it.
 
     A batch whose error may pass (error_action) is tried again, after wait seconds more each time; one that fails goes row
     by row. Rows that fail are not lost: they are added to the table at dead_letters with _action (skip, retry or fatal) and
-    _error, and come back as a DataFrame. After give_up batches in a row of which no row went in, the task fails. before gets
+    _error, in a folder of this write, and this write's come back as a DataFrame. After give_up batches in a row of which no row went in, the task fails. before gets
     each batch as dicts and returns what is to be written, after gets what was written. A task that Spark repeats writes
     its rows again, as with any sink of this kind.
     """
@@ -104,14 +105,13 @@ def rows_to(
     schema = T.StructType([*flat.schema, T.StructField("_action", T.StringType()), T.StructField("_error", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        connection, empty = None, 0
+        link, empty = Link(connect), 0
         try:
             for part in batches:
                 for at in range(0, part.num_rows, batch):
                     held = part.slice(at, batch).to_pylist()
                     held = before(held) if before else held
-                    connection = connection or connect()
-                    sent, failed = _send(connection, sql, columns, held, tries, wait)
+                    sent, failed = _send(link, sql, columns, held, tries, wait)
                     if after and sent:
                         after(sent)
                     empty = 0 if sent or not held else empty + 1
@@ -120,11 +120,40 @@ def rows_to(
                     if failed:
                         yield pa.RecordBatch.from_pylist(failed, to_arrow_schema(schema))
         finally:
-            if connection:
-                connection.close()
+            link.drop()
 
-    flat.mapInArrow(run, schema).write.mode("append").parquet(dead_letters)
-    return rows.sparkSession.read.schema(schema).parquet(dead_letters)
+    own = f"{dead_letters.rstrip('/')}/write={uuid.uuid4().hex}"
+    flat.mapInArrow(run, schema).write.parquet(own)
+    return rows.sparkSession.read.schema(schema).parquet(own)
+
+
+class Link:
+    """A connection that is opened when it is needed, and opened anew after it was dropped."""
+
+    def __init__(self, connect: Callable[[], object]) -> None:
+        self.connect, self.open = connect, None
+
+    def execute(self, sql: str, values: object, many: bool = False) -> None:
+        if self.open is None:
+            self.open = self.connect()
+        cursor = self.open.cursor()
+        (cursor.executemany if many else cursor.execute)(sql, values)
+        self.open.commit()
+
+    def rollback(self) -> None:
+        """Takes back what is not committed; a connection that can't is dropped."""
+        try:
+            self.open.rollback()
+        except Exception:  # noqa: BLE001 - the connection is gone, and with it what was not committed
+            self.drop()
+
+    def drop(self) -> None:
+        try:
+            if self.open is not None:
+                self.open.close()
+        except Exception:  # noqa: BLE001 - it is gone
+            pass
+        self.open = None
 
 
 def _action(error: Exception) -> str:
@@ -132,27 +161,34 @@ def _action(error: Exception) -> str:
     return error_action(code) if code is not None else "skip"
 
 
-def _send(connection, sql: str, columns: list[str], held: Rows, tries: int, wait: float) -> tuple[Rows, Rows]:
+def _send(link: Link, sql: str, columns: list[str], held: Rows, tries: int, wait: float) -> tuple[Rows, Rows]:
     """What was written, and what was not with _action and _error."""
+    if not hasattr(link, "drop"):  # a connection that is open
+        given, link = link, Link(lambda: given)
     values = [tuple(r[c] for c in columns) for r in held]
-    for n in range(tries):
-        try:
-            connection.cursor().executemany(sql, values)
-            connection.commit()
-            return held, []
-        except Exception as error:  # noqa: BLE001 - drivers have their own classes
-            connection.rollback()
-            if _action(error) != "retry":
-                break
-            time.sleep(wait * (n + 1))
+
+    def tried(sql: str, value: object, many: bool) -> Exception | None:
+        """None once it is written, else the last error."""
+        for n in range(tries):
+            try:
+                return link.execute(sql, value, many)
+            except Exception as error:  # noqa: BLE001 - drivers have their own classes
+                last = error
+                link.rollback()
+                if _action(error) != "retry":
+                    break
+                link.drop()
+                time.sleep(wait * (n + 1))
+        return last
+
+    if tried(sql, values, True) is None:
+        return held, []
     sent, failed = [], []
     for row, value in zip(held, values, strict=True):
-        try:
-            connection.cursor().execute(sql, value)
-            connection.commit()
+        error = tried(sql, value, False)
+        if error is None:
             sent.append(row)
-        except Exception as error:  # noqa: BLE001
-            connection.rollback()
+        else:
             failed.append({c: row[c] for c in columns} | {"_action": _action(error), "_error": str(error)})
     return sent, failed
 
@@ -197,11 +233,29 @@ def enqueue(frontier: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
     return frontier.join(new.select(key), key, "left_anti").unionByName(keep_first(new, [key], ["seq"], last=True).select(*frontier.columns))
 
 
-def blobs(rows: DataFrame, name: str, body: str, path: str) -> None:
-    """Binary values to Parquet with safe, distinct names: of equal names the later ones get a number before the extension."""
-    safe = rows.withColumn("_name", safe_filename(F.col(name)))
-    n = F.row_number().over(W.partitionBy("_name").orderBy(F.sha2(F.col(body), 256))) - 1
+def blob_names(names: DataFrame) -> DataFrame:
+    """names (_name, _print) with final, which differs for each row: of equal names the later ones by _print get a number before the extension, and the print too where a name of that number is there already.
+
+    A hot name's rows are numbered in 256 parts by their print, each after those of the parts before it.
+    """
+    part = F.substring("_print", 1, 2)
+    each = names.select("_name", "_print").distinct().withColumn("_part", part)
+    parts = each.groupBy("_name", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("_name").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    starts = parts.select("_name", "_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    nth = F.row_number().over(W.partitionBy("_name", "_part").orderBy("_print")) - 1
+    placed = each.withColumn("_nth", nth).join(starts, ["_name", "_part"]).withColumn("_nth", F.col("_nth") + F.col("_start"))
     ext = F.regexp_extract("_name", r"(\.[^.]*)$", 1)
     stem = F.substring("_name", F.lit(1), F.length("_name") - F.length(ext))
-    final = F.when(n > 0, F.concat(stem, F.lit("_"), n.cast("string"), ext)).otherwise(F.col("_name"))
-    safe.select(final.alias("name"), F.col(body).cast(T.BinaryType()).alias("body")).write.mode("append").parquet(path)
+    given = placed.withColumn("final", F.when(F.col("_nth") > 0, F.concat(stem, F.lit("_"), F.col("_nth").cast("string"), ext)).otherwise(F.col("_name")))
+    taken = parts.select(F.col("_name").alias("final")).distinct().withColumn("_taken", F.lit(True))
+    clear = F.when(F.col("_taken") & (F.col("_nth") > 0), F.concat(stem, F.lit("_"), F.col("_nth").cast("string"), F.lit("_"), F.col("_print"), ext)).otherwise(F.col("final"))
+    return given.join(taken, "final", "left").select("_name", "_print", clear.alias("final"))
+
+
+def blobs(rows: DataFrame, name: str, body: str, path: str) -> None:
+    """Binary values to Parquet with safe, distinct names (blob_names); equal values of one name are one file. Names are made without the values, which then join them."""
+    safe = rows.select(safe_filename(F.col(name)).alias("_name"), F.sha2(F.col(body), 256).alias("_print"), F.col(body).cast(T.BinaryType()).alias("body"))
+    named = safe.withColumn("_print", F.coalesce("_print", F.lit(""))).withColumn("_name", F.coalesce("_name", F.lit("")))
+    once = named.join(blob_names(named), ["_name", "_print"]).dropDuplicates(["_name", "_print"])
+    once.select(F.col("final").alias("name"), "body").write.mode("append").parquet(path)
