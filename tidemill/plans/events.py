@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemill import streaming
 from tidemill.functions import pressure, web
-from tidemill.operators import dedup, order, stats, windows
-from tidemill.plans.base import Book, table
+from tidemill.operators import dedup, frames, order, stats, windows
+from tidemill.plans.base import Book, scratch, table
 
 book = Book()
 
@@ -137,6 +137,23 @@ book.on(
     """SELECT event_id, round(sum(value) OVER w, 6) AS ring_sum, round(avg(value) OVER w, 6) AS ring_mean, round(min(value) OVER w, 6) AS ring_min, round(max(value) OVER w, 6) AS ring_max, count(value) OVER w AS ring_count, round(quantile_cont(value, 0.9) OVER w, 6) AS ring_p90
       FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""",
 )
+@book.add(
+    """SELECT event_id, round(sum(value) OVER w, 6) AS ring_sum, round(max(value) OVER w, 6) AS ring_max, count(value) OVER w AS ring_count, round(quantile_cont(value, 0.9) OVER w, 6) AS ring_p90,
+      lag(event_type) OVER o AS before, round((epoch_us(ts) - epoch_us(lag(ts) OVER o)) / 1e6, 3) AS gap
+      FROM events WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), o AS (ORDER BY ts, event_id)"""
+)
+def hot_key_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last ten events, the type and the time before, of all events as of one key, which no task holds."""
+
+    def make(w: WindowSpec) -> dict[str, Column]:
+        rings = {f"ring_{n}": F.round(c, 6) for n, c in windows.ring("value", w, 10).items() if n in ("sum", "max")} | {"ring_count": windows.ring("value", w, 10)["count"]}
+        return rings | {"ring_p90": F.round(windows.ring_percentile("value", w, 10, 0.9), 6), "before": F.lag("event_type").over(w), "gap": F.round(windows.since_last(F.col("ts"), w), 3)}
+
+    events = table(spark, sf_dir, "events").select(F.lit("all").alias("key"), "ts", "event_id", "event_type", "value")
+    out = frames.framed(events, ["key"], ["ts", "event_id"], 10, make, scratch(spark, "frames"))
+    return out.select("event_id", "ring_sum", "ring_max", "ring_count", "ring_p90", "before", "gap")
+
+
 book.on(
     "events", "level_changes",
     lambda t: windows.changes(t, "event_type", _by_user()).select("event_id", "event_type", "before"),

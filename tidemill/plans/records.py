@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import dates, records
-from tidemill.operators import joins, order, validate, writes
+from tidemill.operators import bloom, joins, order, validate, writes
 from tidemill.plans.base import Book, scratch, table
 from tidemill.sources import sinks
 
@@ -30,6 +30,33 @@ def seen_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.missing(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
+_BACK = "(SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.09)"
+
+
+def _parts_and_back(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    back = table(spark, sf_dir, "lineitem").filter(writes.lookup({"l_returnflag": "R", "l_discount__gt": 0.09}))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name"), back.select(F.col("l_partkey").alias("p_partkey"))
+
+
+@book.add(f"SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN {_BACK}")
+def bloom_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that never came back: most are cleared by a Bloom filter, the others by an exact join."""
+    parts, back = _parts_and_back(spark, sf_dir)
+    return bloom.unseen(parts, back, ["p_partkey"])
+
+
+@book.add(f"SELECT count(*) FILTER (p_partkey IN {_BACK}) AS held, count(*) FILTER (p_partkey NOT IN {_BACK}) AS never, true AS few_false FROM part")
+def bloom_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two filters of halves of the keys, merged: all keys are held, of the others at most one in a hundred."""
+    parts, back = _parts_and_back(spark, sf_dir)
+    n = back.select("p_partkey").distinct().count()
+    odd, even = (bloom.Bloom.of(back.filter(F.col("p_partkey") % 2 == k), ["p_partkey"], n) for k in (1, 0))
+    seen = back.distinct().withColumn("seen", F.lit(True))
+    probed = odd.merge(even).probe(parts).join(seen, "p_partkey", "left")
+    counts = probed.agg(F.count(F.when(F.col("seen") & F.col("maybe"), 1)).alias("held"), F.count(F.when(F.col("seen").isNull(), 1)).alias("never"), F.count(F.when(F.col("seen").isNull() & F.col("maybe"), 1)).alias("false"))
+    return counts.select("held", "never", (F.col("false") <= F.ceil(0.01 * F.col("never"))).alias("few_false"))
+
+
 @book.add("SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem l WHERE EXISTS (SELECT 1 FROM lineitem r WHERE r.l_partkey = l.l_partkey AND r.l_suppkey = l.l_suppkey AND r.l_returnflag = 'R' AND r.l_discount > 0.09)")
 def composite_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
