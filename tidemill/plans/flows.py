@@ -10,6 +10,7 @@ from tidemill import sources, streaming
 from tidemill.operators import chain, dedup
 from tidemill.plans.base import Book, scratch, table
 from tidemill.sources import sinks
+from tidemill.streaming import delivery
 
 book = Book()
 
@@ -183,4 +184,22 @@ def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.dead_letters(spark, f"{path}/dead").groupBy("event_type", "attempts", "error").agg(F.count("*").alias("n"))
 
 
+@book.add("SELECT event_type, count(*) FILTER (event_id % 100 <> 7) AS taken, count(*) FILTER (event_id % 100 = 7) AS refused, CASE WHEN count(*) FILTER (event_id % 100 = 7) > 0 THEN 'ValueError: no' END AS error FROM events GROUP BY 1")
+def stream_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of which one row in a hundred is refused: the others are taken, and only those rows are dead letters."""
+    path = scratch(spark, "delivered")
+
+    def open_send() -> delivery.Send:
+        def send(rows: list[dict], token: str) -> None:
+            if any(r["event_id"] % 100 == 7 for r in rows):
+                raise ValueError("no")
+
+        return send
+
+    stream = _events(spark, sf_dir).select("event_id", "event_type")
+    stream.writeStream.foreachBatch(delivery.delivery(open_send, f"{path}/rows")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{path}/rows")
+    return rows.groupBy("event_type").agg(F.count(F.when(F.col("_error").isNull(), 1)).alias("taken"), F.count("_error").alias("refused"), F.max("_error").alias("error"))
+
+
 QUERIES, ORACLES = book.queries, book.oracles

@@ -133,10 +133,13 @@ class Link:
     def __init__(self, connect: Callable[[], object]) -> None:
         self.connect, self.open = connect, None
 
-    def execute(self, sql: str, values: object, many: bool = False) -> None:
+    def cursor(self) -> object:
         if self.open is None:
             self.open = self.connect()
-        cursor = self.open.cursor()
+        return self.open.cursor()
+
+    def execute(self, sql: str, values: object, many: bool = False) -> None:
+        cursor = self.cursor()
         (cursor.executemany if many else cursor.execute)(sql, values)
         self.open.commit()
 
@@ -156,7 +159,7 @@ class Link:
         self.open = None
 
 
-def _action(error: Exception) -> str:
+def action(error: Exception) -> str:
     code = error.args[0] if error.args and isinstance(error.args[0], int) else None
     return error_action(code) if code is not None else "skip"
 
@@ -175,7 +178,7 @@ def _send(link: Link, sql: str, columns: list[str], held: Rows, tries: int, wait
             except Exception as error:  # noqa: BLE001 - drivers have their own classes
                 last = error
                 link.rollback()
-                if _action(error) != "retry":
+                if action(error) != "retry":
                     break
                 link.drop()
                 time.sleep(wait * (n + 1))
@@ -189,7 +192,7 @@ def _send(link: Link, sql: str, columns: list[str], held: Rows, tries: int, wait
         if error is None:
             sent.append(row)
         else:
-            failed.append({c: row[c] for c in columns} | {"_action": _action(error), "_error": str(error)})
+            failed.append({c: row[c] for c in columns} | {"_action": action(error), "_error": str(error)})
     return sent, failed
 
 
