@@ -40,19 +40,93 @@ MORE_FORMATS = [
     (r"\d{1,2} [A-Za-z]{4,9} \d{4}", "d MMMM y"),
     (r"[A-Za-z]{3} \d{1,2}, \d{4} \d{1,2}:\d{1,2} [AaPp][Mm]", "MMM d, y h:m a"),
     (r"[A-Za-z]{4,9} \d{1,2}, \d{4} \d{1,2}:\d{1,2} [AaPp][Mm]", "MMMM d, y h:m a"),
+    (r"[A-Za-z]{3} \d{1,2},? \d{4},? \d{1,2}:\d{1,2}(:\d{1,2})?", "MMM d[,] y[,] H:m[:s]"),
+    (r"[A-Za-z]{4,9} \d{1,2},? \d{4},? \d{1,2}:\d{1,2}(:\d{1,2})?", "MMMM d[,] y[,] H:m[:s]"),
+    (r"\d{1,2} [A-Za-z]{3} \d{4},? \d{1,2}:\d{1,2}(:\d{1,2})?", "d MMM y[,] H:m[:s]"),
+    (r"\d{1,2} [A-Za-z]{4,9} \d{4},? \d{1,2}:\d{1,2}(:\d{1,2})?", "d MMMM y[,] H:m[:s]"),
+    (r"[A-Za-z]{3} \d{1,2} \d{4}", "MMM d y"),
+    (r"[A-Za-z]{4,9} \d{1,2} \d{4}", "MMMM d y"),
+    (r"\d{4}年\d{1,2}月\d{1,2}日 ?\d{1,2}:\d{1,2}(:\d{1,2})?", "y年M月d日[ ]H:m[:s]"),
+    (r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2} [AaPp][Mm]", "y-M-d h:m a"),
 ]
 OFFSET = r"(\d{4}-\d{1,2}-\d{1,2}[Tt ]\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d{1,6})?)?) ?([Zz]|[+-]\d{2}:?\d{2})"
 SECONDS = {"seconds": 1, "minutes": 60, "hours": 3600, "days": 86400}
 LOCAL_ZONE = "Asia/Shanghai"
 
 
-def parse_time(text: Column) -> Column:
-    """The first of FORMATS, then of MORE_FORMATS, that fits the stripped text, as timestamp_ntz; null if none does.
+#: Of a unit of time, in English and Chinese: months, seconds.
+UNITS = [
+    (r"(?:years?|yrs?|年)", 12, 0), (r"(?:months?|mos?|个?月)", 1, 0), (r"(?:weeks?|wks?|周|个?星期)", 0, 604_800), (r"(?:days?|天|日)", 0, 86_400), (r"(?:hours?|hrs?|h|个?小时)", 0, 3600), (r"(?:minutes?|mins?|分钟?)", 0, 60), (r"(?:seconds?|secs?|秒钟?)", 0, 1),
+]
+_UNIT = "(?:" + "|".join(u for u, _, _ in UNITS) + ")"
+_AMOUNT = rf"(?:\d+|an?|one|half an?|半) ?{_UNIT}"
+_SPAN = rf"{_AMOUNT}(?:(?:,? and |, ?| )?{_AMOUNT})*"
+#: Days from now.
+DAYS = [(r"(?:the )?day before yesterday|前天", -2), (r"yesterday|昨天", -1), (r"today|今天", 0), (r"(?:the )?day after tomorrow|后天", 2), (r"tomorrow|明天", 1)]
+WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+_CLOCK = r"(?:(?: at)? (\d{1,2}):(\d{2})(?::(\d{2}))? ?([ap]m)?)?"
+
+
+def _relative(plain: Column, now: Column) -> Column:
+    """Times by their distance from now: "3 days ago", "in 2 weeks", "1 hour, 20 minutes ago", "yesterday 17:05", "last month", "last monday", "5分钟前"; null for anything else."""
+    low = F.lower(plain)
+    now = now.cast("timestamp_ntz")
+    fits = lambda pattern: F.rlike(low, F.lit(rf"\A(?:{pattern})\z"))
+
+    def moved(months: Column, seconds: Column) -> Column:
+        return F.timestamp_add("SECOND", seconds, F.timestamp_add("MONTH", months, now))
+
+    def amount(part: Column) -> Column:
+        half = F.rlike(part, F.lit("half|半"))
+        return F.when(half, F.lit(0.5)).otherwise(F.coalesce(F.nullif(F.regexp_extract(part, r"^(\d{1,6})", 1), F.lit("")).cast("double"), F.lit(1.0)))
+
+    def counted(which: int, sign: Column) -> Column:
+        total = F.lit(0.0)
+        for unit, *sizes in UNITS:
+            of = F.regexp_extract_all(low, F.lit(rf"({_AMOUNT})"), F.lit(1))
+            total = total + F.aggregate(_with_unit(of, unit), F.lit(0.0), lambda s, x: s + amount(x)) * sizes[which]
+        return (total * sign).cast("long")
+
+    ago, later = fits(rf"{_SPAN} ?(?:ago|before|前)"), fits(rf"in {_SPAN}|{_SPAN} ?(?:later|from now|后)")
+    sign = F.when(ago, -1).otherwise(1)
+    out = F.when(ago | later, moved(counted(0, sign).cast("int"), counted(1, sign).cast("int"))).when(fits("now|just now|刚刚|现在|刚才"), now)
+    for word, way in (("last", -1), ("next", 1)):
+        for unit, months, seconds in UNITS[:4]:
+            out = out.when(fits(rf"{word} {unit}"), moved(F.lit(way * months), F.lit(way * seconds)))
+    midnight = F.date_trunc("day", now).cast("timestamp_ntz")
+    for k, name in enumerate(WEEKDAYS):
+        back, ahead = F.pmod(F.weekday(now) - k - 1, F.lit(7)) + 1, F.pmod(F.lit(k - 1) - F.weekday(now), F.lit(7)) + 1
+        out = out.when(fits(rf"(?:last )?{name}"), F.timestamp_add("DAY", -back, midnight)).when(fits(rf"next {name}"), F.timestamp_add("DAY", ahead, midnight))
+    for pattern, days in DAYS:
+        clock = rf"\A(?:{pattern}){_CLOCK}\z"
+        part = lambda i, c=clock: F.coalesce(F.nullif(F.regexp_extract(low, c, i), F.lit("")).cast("int"), F.lit(0))
+        half = F.regexp_extract(low, clock, 4)
+        hour = F.when(half == "", part(1)).otherwise(part(1) % 12 + F.when(half == "pm", 12).otherwise(0))
+        valid = (hour < 24) & (part(2) < 60) & (part(3) < 60)
+        bare = F.regexp_extract(low, clock, 1) == ""
+        # a day without a time is that day, now
+        at = F.when(bare, F.timestamp_add("DAY", F.lit(days), now)).otherwise(F.timestamp_add("SECOND", (hour * 3600 + part(2) * 60 + part(3)).cast("int"), F.timestamp_add("DAY", F.lit(days), midnight)))
+        out = out.when(F.rlike(low, F.lit(clock)) & valid, at)
+    return out
+
+
+def _with_unit(parts: Column, unit: str) -> Column:
+    return F.filter(parts, lambda x: F.rlike(x, F.lit(rf"\A(?:\d+|an?|one|half an?|半) ?{unit}\z")))
+
 
-    Names of weekdays are not checked. Times with an offset or Z are turned into UTC.
+def parse_time(text: Column, now: Column | None = None) -> Column:
+    """The first of FORMATS, then of MORE_FORMATS, that fits the stripped text, as timestamp_ntz; then the same without ordinal endings, "of" and "at"; then, if now is given, a distance from it; null if none does.
+
+    Names of weekdays are not checked. Times with an offset or Z are turned into UTC. now: what distances count from; F.localtimestamp() is the session's local time.
     """
+
+    def read(plain: Column) -> Column:
+        spoken = F.regexp_replace(F.regexp_replace(plain, r"(?i)(?<=\d)(?:st|nd|rd|th)\b| of\b(?= [A-Za-z])| at\b(?= \d)", ""), r"(?i)\A(?:mon|tues|wednes|thurs|fri|satur|sun)day,? (?=\w)", "")
+        written = F.coalesce(_parsed(plain), F.when(spoken != plain, _parsed(spoken)))
+        return written if now is None else F.coalesce(written, _relative(plain, now))
+
     # the stripped text is made once, as the element of an array, and each format reads that
-    return F.transform(F.array(F.trim(F.regexp_replace(text, r"\s+", " "))), _parsed)[0]
+    return F.transform(F.array(F.trim(F.regexp_replace(text, r"\s+", " "))), read)[0]
 
 
 def _parsed(plain: Column) -> Column:

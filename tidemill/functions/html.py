@@ -292,3 +292,57 @@ def elements(pages: DataFrame, key: list[str], html: str, selector: str = "*") -
     """A row for each element that a selector finds: key, place, and the fields of its fingerprint."""
     found_here = F.transform(found(F.col("_nodes"), selector), lambda p: F.struct(p.alias("place"), fingerprint(F.col("_nodes"), p).alias("fp")))
     return parse(pages.select(*key, html), html, "_nodes").select(*key, F.inline(found_here)).select(*key, "place", "fp.*")
+
+
+_LISTS = ("ul", "ol")
+_AROUND = {"strong": "**", "b": "**", "em": "*", "i": "*", "code": "`", "del": "~~", "s": "~~"}
+_BLOCKS = ("p", "div", "section", "article", "main", "header", "footer", "nav", "aside", "table", "ul", "ol", "dl", "figure", "form")
+_LEFT_OUT = ("script", "style", "head", "title", "noscript", "template")
+
+
+def _markdown_of(page: Column, n: Column) -> Column:
+    """Markdown of a node: what opens and closes each element, and the texts, in order; then blank lines are squeezed."""
+    mark = lambda at, shut, turn, s: F.struct(at.alias("at"), F.lit(shut).alias("shut"), turn.alias("turn"), s.alias("s"))
+    path = lambda x: F.split(F.coalesce(x["path"], F.get(page, x["parent"])["path"], F.lit("")), "/")
+    within = lambda x, *tags: F.arrays_overlap(path(x), F.array(*(F.lit(t) for t in tags)))
+    named = lambda x, name: F.coalesce(F.try_element_at(x["attrs"], F.lit(name)), F.lit(""))
+
+    def opened(x: Column) -> Column:
+        depth = F.size(F.filter(path(x), lambda t: t.isin(*_LISTS)))
+        parent = F.get(page, x["parent"])["tag"]
+        text = F.when(within(x, "pre"), x["text"]).otherwise(F.regexp_replace(x["text"], r"[ \t\r\n\f]+", " "))
+        item = F.concat(F.lit("\n"), F.repeat(F.lit("  "), F.greatest(depth - 1, F.lit(0))), F.when(parent == "ol", F.concat(x["nth"].cast("string"), F.lit(". "))).otherwise("- "))
+        out = F.when(x["tag"].isNull(), text)
+        for level in range(1, 7):
+            out = out.when(x["tag"] == f"h{level}", F.lit("\n\n" + "#" * level + " "))
+        for tag, sign in _AROUND.items():
+            out = out.when(x["tag"] == tag, F.lit("" if tag == "code" else sign) if tag != "code" else F.when(within(x, "pre"), F.lit("")).otherwise(F.lit(sign)))
+        out = out.when((x["tag"] == "a") & (named(x, "href") != ""), F.lit("[")).when(x["tag"] == "img", F.concat(F.lit("!["), named(x, "alt"), F.lit("]("), named(x, "src"), F.lit(")")))
+        out = out.when(x["tag"] == "br", F.lit("\x01\n")).when(x["tag"] == "hr", F.lit("\n\n---\n\n")).when(x["tag"] == "pre", F.lit("\n\n```\n")).when(x["tag"] == "blockquote", F.lit("\n\n> ")).when(x["tag"] == "li", item)
+        out = out.when(x["tag"] == "tr", F.lit("\n| ")).when(x["tag"].isin(*_LISTS) & (depth > 1), F.lit("")).when(x["tag"].isin(*_BLOCKS), F.lit("\n\n"))
+        return mark(x["place"], 0, F.lit(0), out.otherwise(""))
+
+    def closed(x: Column) -> Column:
+        depth = F.size(F.filter(path(x), lambda t: t.isin(*_LISTS)))
+        cells = F.size(F.filter(below(page, x), lambda c: (c["parent"] == x["place"]) & c["tag"].isin("td", "th")))
+        first_row = (x["nth"] == 1) & ~(F.get(page, x["parent"])["tag"].isin("tbody") & (F.get(page, x["parent"])["child"] > 1))
+        out = F.when(F.rlike(x["tag"], F.lit("^h[1-6]$")), F.lit("\n\n"))
+        for tag, sign in _AROUND.items():
+            out = out.when(x["tag"] == tag, F.when(within(x, "pre"), F.lit("")).otherwise(F.lit(sign)) if tag == "code" else F.lit(sign))
+        out = out.when((x["tag"] == "a") & (named(x, "href") != ""), F.concat(F.lit("]("), named(x, "href"), F.lit(")"))).when(x["tag"] == "pre", F.lit("\n```\n\n")).when(x["tag"] == "blockquote", F.lit("\n\n"))
+        out = out.when(x["tag"].isin("td", "th"), F.lit(" | ")).when((x["tag"] == "tr") & first_row, F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), cells)))
+        out = out.when(x["tag"].isin(*_LISTS) & (depth > 1), F.lit("")).when(x["tag"].isin(*_BLOCKS), F.lit("\n\n"))
+        return mark(x["last"], 1, -x["place"], out.otherwise(""))
+
+    every = F.filter(F.concat(F.array(n), below(page, n)), lambda x: (x["tag"].isNull() | (x["tag"] != "!--")) & ~within(x, *_LEFT_OUT))
+    marks = F.concat(F.transform(every, opened), F.transform(F.filter(every, lambda x: is_element(x) & ~x["tag"].isin(*VOID)), closed))
+    joined = F.array_join(F.transform(F.array_sort(marks), lambda x: x["s"]), "")
+    # a line break's two spaces are put in after those at other line ends are gone
+    tidy = F.regexp_replace(F.regexp_replace(joined, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
+    return F.replace(F.btrim(F.regexp_replace(tidy, r"(?m)\|[ \t]+$", "|"), F.lit(BLANK)), F.lit("\x01"), F.lit("  "))
+
+
+def markdown(page: Column, selector: str | None = None) -> Column:
+    """Markdown of a page's nodes (from parse), or of the first element that a selector finds: headings, paragraphs, emphasis, code, links, images, lists by depth, quotes and tables. Scripts, styles, titles and comments are left out; null for none."""
+    place = F.get(found(page, selector), F.lit(0)) if selector else F.lit(0)
+    return F.when(F.get(page, place).isNotNull(), _markdown_of(page, F.get(page, place)))

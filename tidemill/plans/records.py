@@ -207,4 +207,16 @@ def link_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.depths(links, spark.sql("SELECT '1' AS url"))
 
 
+@book.add(
+    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderdate - to_days((o_orderkey % 40)::INTEGER) WHEN 1 THEN o_orderdate + to_hours((o_orderkey % 90)::BIGINT) + to_minutes(5)
+        WHEN 2 THEN date_trunc('day', o_orderdate) - INTERVAL 1 DAY + INTERVAL '17:05' HOUR TO MINUTE ELSE o_orderdate - to_months((o_orderkey % 15)::INTEGER) END AS found FROM orders""".replace("INTERVAL '17:05' HOUR TO MINUTE", "INTERVAL 1025 MINUTE")
+)
+def relative_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times told by their distance from each order's date, in two languages."""
+    n = lambda k: (F.col("o_orderkey") % k).cast("string")
+    kind = F.col("o_orderkey") % 4
+    said = F.when(kind == 0, F.concat(n(40), F.lit(" days ago"))).when(kind == 1, F.concat(F.lit("in "), n(90), F.lit(" hours, 5 minutes"))).when(kind == 2, F.lit("Yesterday at 5:05 PM")).otherwise(F.concat(n(15), F.lit("个月前")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.parse_time(said, F.col("o_orderdate")).alias("found"))
+
+
 QUERIES, ORACLES = book.queries, book.oracles

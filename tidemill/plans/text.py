@@ -244,6 +244,30 @@ def element_relocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.relocate(saved, fp, 40.0)
 
 
+@book.add(
+    rf"""WITH b AS (SELECT page_id, regexp_extract({_BODY}, '<nav>.*?</nav>', 0, 's') AS nav, {_AGAIN.format("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")} AS h1 FROM pages)
+    SELECT page_id, '# ' || {_SQUEEZE.format("replace(h1, '&amp;', '&')")} AS heading,
+      array_to_string(list_transform(regexp_extract_all(nav, '<a [^>]*>.*?</a>'), lambda a: '- [' || regexp_extract(a, '>(.*?)<', 1) || '](' || regexp_extract(a, 'href="([^"]*)"', 1) || ')'), chr(10)) AS links FROM b"""
+)
+def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heading and navigation of pages as Markdown."""
+    pages = html.parse(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return pages.select("page_id", html.markdown(F.col("nodes"), "h1").alias("heading"), html.markdown(F.col("nodes"), "nav").alias("links"))
+
+
+@book.add("SELECT page_id, CASE page_id % 4 WHEN 1 THEN 'utf-16-le' WHEN 2 THEN 'cp1252' ELSE 'utf-8' END AS encoding, true AS same FROM pages")
+def encodings_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as bytes without a header, told by a byte order mark, by their meta element, or by being UTF-8."""
+    plain = F.regexp_replace("html", "[^\x00-\xff]", "?")
+    meta = F.replace(plain, F.lit('charset="utf-8"'), F.lit('charset="ISO-8859-1"'))
+    kind = F.col("page_id") % 4
+    pages = table(spark, sf_dir, "pages").select("page_id", F.when(kind == 2, meta).when(kind == 3, F.replace(plain, F.lit('<meta charset="utf-8">'), F.lit(""))).otherwise(plain).alias("html"), kind.alias("kind"))
+    mark = lambda hexes: F.unhex(F.lit(hexes))
+    body = F.when(F.col("kind") == 0, F.concat(mark("EFBBBF"), F.encode("html", "UTF-8"))).when(F.col("kind") == 1, F.concat(mark("FFFE"), F.encode("html", "UTF-16LE"))).when(F.col("kind") == 2, F.encode("html", "ISO-8859-1")).otherwise(F.encode("html", "UTF-8"))
+    found = pages.withColumn("body", body).withColumn("encoding", encoding.detect_encoding(F.col("body"), F.lit(None).cast("string")))
+    return found.select("page_id", "encoding", (encoding.decode_body(F.col("body"), F.col("encoding")) == F.col("html")).alias("same"))
+
+
 @book.add("SELECT page_id, ['UTF-8', 'UTF-16LE', 'ISO-8859-1'][page_id % 3 + 1] AS charset, ['utf-8', 'utf-16-le', 'cp1252'][page_id % 3 + 1] AS encoding, true AS same FROM pages")
 def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as bytes in several encodings, detected and decoded again."""
