@@ -78,16 +78,16 @@ def percentiles(value: str, *shares: float) -> Column:
 def at_ranks(values: DataFrame, wanted: DataFrame, buckets: int = 200) -> DataFrame:
     """Of values (k, v) those at wanted (k, name, rank from 0) in each k's order: k, name, v. Null values are left out.
 
-    Equal values are counted first. Approximate cuts divide a group into buckets; the counts of these tell which of them hold
-    the ranks, and only they are ordered.
+    Approximate cuts divide a group into buckets, whose counts, a few hundred rows a group, tell which of them hold the ranks; only
+    the values of these are counted and ordered.
     """
     known = values.filter("v IS NOT NULL")
     cuts = known.groupBy("k").agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("cuts"))
-    counted = known.groupBy("k", "v").agg(F.count("*").alias("n")).join(cuts, "k").select("k", "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("bucket"))
-    sizes = counted.groupBy("k", "bucket").agg(F.sum("n").alias("n"))
+    placed = known.join(cuts, "k").select("k", "v", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("bucket"))
+    sizes = placed.groupBy("k", "bucket").agg(F.count("*").alias("n"))
     before = sizes.select("k", "bucket", "n", F.coalesce(F.sum("n").over(W.partitionBy("k").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     asked = wanted.join(before, "k").filter("rank >= before AND rank < before + n").select("k", "bucket", "name", (F.col("rank") - F.col("before")).alias("rank"))
-    held = counted.join(asked.select("k", "bucket").distinct(), ["k", "bucket"])
+    held = placed.join(asked.select("k", "bucket").distinct(), ["k", "bucket"]).groupBy("k", "bucket", "v").agg(F.count("*").alias("n"))
     upto = held.withColumn("upto", F.sum("n").over(W.partitionBy("k", "bucket").orderBy("v")))
     return upto.join(asked, ["k", "bucket"]).filter("rank < upto AND rank >= upto - n").select("k", "name", "v")
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tidemill import sources, streaming
 from tidemill.operators import chain, dedup
+from tidemill.plans import events
 from tidemill.plans.base import Book, scratch, table
 from tidemill.sources import sinks
 from tidemill.streaming import delivery
@@ -184,6 +185,28 @@ def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.dead_letters(spark, f"{path}/dead").groupBy("event_type", "attempts", "error").agg(F.count("*").alias("n"))
 
 
+@book.add(events.ORACLES["first_sightings"])
+def stream_first_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each user for half an hour, by a stream of files in order of time; a key's state goes once the watermark is past that time."""
+    path = scratch(spark, "sightings")
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    low, high = rows.agg(F.min("ts").cast("double"), F.max("ts").cast("double")).first()
+    parts = 4
+    for k in range(parts):  # files are read in the order in which they were written
+        share = F.least(F.floor((F.col("ts").cast("double") - low) / (high - low + 1) * parts), F.lit(parts - 1))
+        rows.filter(share == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in").withWatermark("ts", "1 minute")
+        first = stream.groupBy("user_id").transformWithStateInPandas(streaming.FirstSighting(1800), "event_id long, ts timestamp, user_id long", "Append", "EventTime")
+        query = first.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(first.schema).parquet(f"{path}/out").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
+
+
 @book.add("SELECT event_type, count(*) FILTER (event_id % 100 <> 7) AS taken, count(*) FILTER (event_id % 100 = 7) AS refused, CASE WHEN count(*) FILTER (event_id % 100 = 7) > 0 THEN 'ValueError: no' END AS error FROM events GROUP BY 1")
 def stream_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of which one row in a hundred is refused: the others are taken, and only those rows are dead letters."""
