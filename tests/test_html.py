@@ -137,3 +137,15 @@ def test_healing(spark, tmp_path):
     assert visit(1, [(1, "a.com", first), (2, "b.com", moved)]) == [(1, 4, False)]
     assert visit(2, [(1, "a.com", moved), (2, "b.com", moved), (3, "a.com", first), (4, "a.com", None)]) == [(1, 5, True), (3, 4, False)]
     assert visit(3, [(1, "a.com", first)]) == [(1, 4, False)] and store.read(spark).first()["fp"]["text"] == "12.50 EUR"
+
+
+def test_sql_functions(spark):
+    """Nodes as a table function, and functions by name."""
+    from tidemill.functions import sql
+
+    assert "html_nodes" in sql.register(spark)
+    spark.createDataFrame([(1, PAGE), (2, None), (3, "")], "id long, html string").createOrReplaceTempView("shop")
+    got = spark.sql("SELECT id, n.* FROM shop, LATERAL html_nodes(html) n").collect()
+    want = html.nodes(spark.table("shop"), ["id"], "html").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and {r["id"] for r in got} == {1, 3}
+    assert spark.sql("SELECT decode_html_entities('a &amp; b'), detect_encoding(X'EFBBBF41', CAST(NULL AS STRING))").first()[:] == ("a & b", "utf-8")

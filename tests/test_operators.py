@@ -355,3 +355,11 @@ def test_sink_connects_again():
     sent, failed = sinks._send(sinks.Link(Gone), "", ["v"], [{"v": x} for x in ("a", "bad", "b", "c", "d")], 3, 0.0)
     assert [r["v"] for r in sent] == ["a", "b", "c", "d"] and [(r["v"], r["_action"]) for r in failed] == [("bad", "skip")]
     assert kept == [("a",), ("b",), ("c",), ("d",)] and len(opened) > 2
+
+
+def test_observed_metrics(spark, tmp_path):
+    """Counts and aggregates of a write, without a pass of their own."""
+    rows, seen = sinks.observed(spark.range(10), "w", largest=F.max("id"), nothing=F.max(F.lit(None).cast("int")))
+    rows.write.parquet(str(tmp_path / "o"))
+    lines = {r["line"] for r in sinks.exposition(sinks.observed_stats(spark, seen)).collect()}
+    assert lines == {"# TYPE app_rows counter", "app_rows 10.0", "# TYPE app_largest gauge", "app_largest 9.0"}

@@ -130,6 +130,14 @@ def _ranks(group: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, end
 
 
+def node_rows(page: str) -> list[tuple]:
+    """The nodes of one page as tuples of the fields of NODE."""
+    made = _Nodes()
+    made.page(page)
+    names = [x.split()[0] for x in NODE.split(", ")]
+    return [tuple(dict(n[k]) if k == "attrs" and n[k] is not None else n[k] for k in names) for n in made.arrays(np.array([False])).to_pylist()[0]]
+
+
 def parse(pages: DataFrame, html: str = "html", into: str = "nodes") -> DataFrame:
     """pages with an array of each page's nodes (struct of NODE), by one pass of the parser over batches of pages; null for null. The column of this name is replaced."""
     pages = pages.drop(into)

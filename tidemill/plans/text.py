@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.functions import encoding, html, records, relocation, text, web
+from tidemill.functions import encoding, html, records, relocation, sql, text, web
 from tidemill.operators import dedup
 from tidemill.plans.base import Book, scratch, table
 
@@ -268,6 +268,16 @@ def encodings_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "encoding", (encoding.decode_body(F.col("body"), F.col("encoding")) == F.col("html")).alias("same"))
 
 
+@book.add(rf"SELECT page_id, len(regexp_extract_all({_BODY}, '<a\s[^>]*href='))::BIGINT AS links, true AS titled FROM pages")
+def sql_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages counted in SQL over a table function of their nodes."""
+    sql.register(spark)
+    table(spark, sf_dir, "pages").createOrReplaceTempView("tidemill_pages")
+    return spark.sql(
+        "SELECT page_id, count_if(n.tag = 'a' AND n.attrs['href'] IS NOT NULL) AS links, bool_or(n.tag = 'title') AS titled FROM tidemill_pages, LATERAL html_nodes(html) n GROUP BY page_id"
+    )
+
+
 @book.add("SELECT page_id, ['UTF-8', 'UTF-16LE', 'ISO-8859-1'][page_id % 3 + 1] AS charset, ['utf-8', 'utf-16-le', 'cp1252'][page_id % 3 + 1] AS encoding, true AS same FROM pages")
 def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as bytes in several encodings, detected and decoded again."""

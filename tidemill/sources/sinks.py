@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -225,6 +225,19 @@ def exposition(stats: DataFrame, prefix: str = "app") -> DataFrame:
     return named.select(F.explode(F.array(F.concat_ws(" ", F.lit("# TYPE"), "name", "kind"), F.concat_ws(" ", "name", F.col("value").cast("string")))).alias("line"))
 
 
+def observed(rows: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """rows, of which the rows and metrics (aggregates) are taken on the way, by whatever action runs first; no pass of its own."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in metrics.items())), seen
+
+
+def observed_stats(spark: SparkSession, seen: Observation, kinds: dict[str, str] | None = None) -> DataFrame:
+    """key, value and kind (of kinds, or gauge; rows are a counter) of what was observed, as exposition() takes them; null values are left out."""
+    known = {"rows": "counter"} | (kinds or {})
+    found = [(k, float(v), known.get(k, "gauge")) for k, v in seen.get.items() if v is not None]
+    return spark.createDataFrame(found, "key string, value double, kind string")
+
+
 def save_checkpoint(path: str, requests: DataFrame, fingerprints: DataFrame, stats: DataFrame) -> None:
     """Replaces the three tables of a saved run."""
     for name, rows in (("requests", requests), ("fingerprints", fingerprints), ("stats", stats)):
