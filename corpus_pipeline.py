@@ -27,7 +27,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, 80 per cent), that of the smallest doc_id.
 
-    Where rows repeat a doc_id, each text of it is a document of its own; of rows that repeat doc_id and text, one stays.
+    Where rows repeat a doc_id, each text of it is a document of its own; of rows that repeat doc_id and text, one stays, the
+    same in every run. Rows without a doc_id all stay.
     """
     known = docs.filter("doc_id IS NOT NULL")
     if known.groupBy("doc_id").count().filter("count > 1").isEmpty():
@@ -37,7 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # every (doc_id, text) gets a number of its own, in the order of doc_id
     marked = known.withColumn("_print", F.coalesce(F.sha2("text", 256), F.lit("")))
     numbers = stash(marked.select("doc_id", "_print").distinct().repartitionByRange("doc_id", "_print").sortWithinPartitions("doc_id", "_print").withColumn("_number", F.monotonically_increasing_id()), "numbers")
-    apart = stash(marked.join(numbers, ["doc_id", "_print"]).dropDuplicates(["_number"]), "texts")
+    one = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns))
+    apart = stash(marked.join(numbers, ["doc_id", "_print"]).groupBy("_number").agg(one.alias("_row")).select("_row.*", "_number"), "texts")
     classes = stash(op1_minhash.minhash_dedup(apart.select(F.col("_number").alias("doc_id"), "text")), "classes")
     kept = apart.join(classes.filter("kept").select(F.col("doc_id").alias("_number")), "_number")
     return kept.select(*docs.columns).union(docs.filter("doc_id IS NULL"))
