@@ -16,7 +16,7 @@ CASES = {
     "p:not(.intro)": ["Side", "Last one"], "li:first-child": ["one", "deep"], "ul > li:last-child": ["three deep", "deep"], "li:nth-child(2)": ["two"], "li:nth-child(odd)": ["one", "three deep", "deep"],
     "li:nth-child(-n+2)": ["one", "two", "deep"], "li:nth-last-child(1)": ["three deep", "deep"], "p:first-of-type": ["Intro bold tail", "Side"], "p:last-of-type": ["Intro bold tail", "Last one"], "p:nth-of-type(2)": ["Last one"],
     "b:only-child": ["bold"], "p:contains('Last')": ["Last one"], "h1, .side p": ["Main", "Side", "Last one"], "[data-n='5'] h1": ["Main"], "li[class~=y]": ["three deep"], "a[href^='/a'][href$='2'][href*='x=1']": ["Link"],
-    "a[href='/a?x=1&y=2']": ["Link"], "//a[@href='/a?x=1&y=2']": ["Link"], "(//li)[1]": ["one"], "(//li)[last()]": ["deep"], "//ul/li[1]": ["one", "deep"], "//li[@class][1]": ["two"], "//li[@class][2]": ["three deep"],
+    "a[href='/a?x=1&y=2']": ["Link"], "//a[@href='/a?x=1&y=2']": ["Link"], "(//li)[1]": ["one"], "(//li)[last()]": ["deep"], "(//li)[0]": [], "(//li)[9]": [], "//ul/li[1]": ["one", "deep"], "//li[@class][1]": ["two"], "//li[@class][2]": ["three deep"],
     "//li[position()<3]": ["one", "two", "deep"], "//li[last()]": ["three deep", "deep"], "//li[position()=last()]": ["three deep", "deep"], "//li[contains(@class,'x') and not(contains(@class,'y'))]": ["two"],
     "//li[text()='two']": ["two"], "//li[contains(text(),'e')]": ["one", "three deep", "deep"], "//li[starts-with(.,'th')]": ["three deep"], "//li[ul]": ["three deep"], "//li[ul/li='deep']": ["three deep"], "//li[not(ul)]": ["one", "two", "deep"],
     "//h1/following-sibling::p": ["Intro bold tail"], "//ul/preceding-sibling::h1": ["Main"], "//li[.='deep']/ancestor::li": ["three deep"], "//b/..": ["Intro bold tail"], "//b/parent::p/@class": ["intro"], "//h1/following::p[1]": ["Intro bold tail"],

@@ -59,7 +59,7 @@ class Path:
         for step in self.steps:
             at = _walk(nodes, at, step)
         if self.nth is not None:
-            at = F.slice(at, self.nth, 1) if self.nth > 0 else F.slice(at, -1, 1)
+            at = F.slice(at, self.nth or 1, 1 if self.nth else 0)  # there is no 0th
         return at
 
     def strings(self, nodes: Column, start: Column) -> Column:
