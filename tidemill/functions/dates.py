@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The formats that are tried, in order, as patterns and as what a text must look like.
 FORMATS = [
@@ -248,55 +251,84 @@ def format_duration(seconds: Column) -> Column:
 CRON_PART = r"(?:\d+(?:-\d+)?(?:/\d+)?|\*(?:/\d+)?)"
 
 
-def _cron_values(text: Column, low: int, high: int) -> Column:
-    """The values of a cron field, in order; null where it is none. Lists of numbers, ranges, * and steps; a step of * counts from 0, one of a number or range from there."""
+CRON_FIELDS = ((0, 59), (0, 59), (0, 23), (1, 31), (1, 12), (0, 7))
+CRON_DAYS = 367
 
-    def named(part: Column, v: Column) -> Column:
-        first, last, step = (F.regexp_extract(part, p, 1) for p in (r"^(\d+)", r"-(\d+)", r"/(\d+)$"))
-        by = F.when(step != "", F.greatest(step.cast("int"), F.lit(1))).otherwise(1)
-        end = F.when(last != "", last.cast("int")).when(step != "", high).otherwise(first.cast("int"))
-        return F.when(F.startswith(part, F.lit("*")), v % by == 0).otherwise((v >= first.cast("int")) & (v <= end) & ((v - first.cast("int")) % by == 0))
 
-    values = F.filter(F.sequence(F.lit(low), F.lit(high)), lambda v: F.exists(F.split(text, ","), lambda part: named(part, v)))
-    return F.when(F.rlike(text, F.lit(rf"\A{CRON_PART}(,{CRON_PART})*\z")) & (F.size(values) > 0), values)
-
-
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), where value is worked out once: as the element of an array."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def _cron_values(text: str, low: int, high: int) -> list[int]:
+    """The values of a cron field, in order; none where it can't be read. Lists of numbers, ranges, * and steps; a step of * counts from 0, one of a number or range from there."""
+    if not re.fullmatch(rf"{CRON_PART}(,{CRON_PART})*", text, re.ASCII):
+        return []
+    found: set[int] = set()
+    for part in text.split(","):
+        span, _, step = part.partition("/")
+        by = max(int(step or 1), 1)
+        if span == "*":
+            found.update(v for v in range(low, high + 1) if v % by == 0)
+        else:
+            first, _, last = span.partition("-")
+            end = int(last) if last else high if step else int(first)
+            found.update(v for v in range(low, min(end, high) + 1) if v >= int(first) and (v - int(first)) % by == 0)
+    return sorted(found)
+
+
+def _cron_read(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Seconds of a day at which a cron text runs, in order, and by number which days, months and weekdays (from Sunday) it runs on."""
+    parts = re.split(r"[ \t\n\x0b\f\r]+", text.strip(" "))
+    fields = [_cron_values(x, *b) for x, b in zip(["0"] * (len(parts) == 5) + parts, CRON_FIELDS, strict=False)]
+    if len(parts) not in (5, 6) or not all(fields):
+        return None
+    second, minute, hour = (np.array(f) for f in fields[:3])
+    times = (hour[:, None, None] * 3600 + minute[:, None] * 60 + second).reshape(-1)
+    days, months, weekdays = (np.isin(np.arange(n), f) for n, f in zip((32, 13, 8), fields[3:], strict=True))
+    weekdays[0] |= weekdays[7]
+    return times, days, months, weekdays
+
+
+def _cron_after(cron: str, micros: np.ndarray) -> np.ndarray:
+    """Seconds since 1970 of the next runs after times in microseconds since 1970; -1 << 62 where none comes within CRON_DAYS."""
+    out = np.full(len(micros), -1 << 62)
+    if (read := _cron_read(cron)) is None:
+        return out
+    times, days, months, weekdays = read
+    start = micros // 1_000_000 + 1
+    today, second = start // 86400, start % 86400
+    # which of the days that may be asked for it runs on; places of these, and for each day the first on or after it
+    asked = np.unique(np.unique(today)[:, None] + np.arange(CRON_DAYS + 1)) if len(np.unique(today)) < 1000 else np.arange(today.min(), today.max() + CRON_DAYS + 1)
+    month_start = asked.astype("datetime64[D]").astype("datetime64[M]")
+    day = (asked.astype("datetime64[D]") - month_start.astype("datetime64[D]")).astype(np.int64) + 1
+    runs = asked[days[day] & months[month_start.astype(np.int64) % 12 + 1] & weekdays[(asked + 4) % 7]]
+    if not len(runs):
+        return out
+    at = np.searchsorted(runs, today)
+    here = np.append(runs, runs[-1])[at] == today
+    nth = np.searchsorted(times, second)
+    now = here & (nth < len(times))
+    later = at + (here & ~now)
+    next_ = np.where(now, today * 86400 + times[np.minimum(nth, len(times) - 1)], runs[np.minimum(later, len(runs) - 1)] * 86400 + times[0])
+    good = (now | (later < len(runs))) & (next_ * 1_000_000 <= micros + CRON_DAYS * 86_400_000_000)
+    return np.where(good, next_, out)
+
+
+@F.pandas_udf(T.LongType())
+def _cron_seconds(cron: pd.Series, micros: pd.Series) -> pd.Series:
+    """A cron text is read once for all rows of a batch that have it."""
+    out = np.full(len(cron), -1 << 62)
+    known = (cron.notna() & micros.notna()).to_numpy()
+    times = micros.fillna(0).to_numpy().astype(np.int64)
+    codes, texts = pd.factorize(cron)
+    order = np.argsort(codes, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
+        rows = rows[known[rows]]
+        if len(rows):
+            out[rows] = _cron_after(texts[codes[rows[0]]], times[rows])
+    return pd.Series(out, dtype="Int64").mask(out == -1 << 62)
 
 
 def cron_next(cron: Column, after: Column) -> Column:
     """The next run after a time, within 367 days, of a cron text of five fields, or six with seconds first; null for one that can't be read."""
-    bounds = {"second": (0, 59), "minute": (0, 59), "hour": (0, 23), "day": (1, 31), "month": (1, 12), "weekday": (0, 7)}
-    text = F.split(F.trim(cron), r"\s+")
-    whole = F.when(F.size(text) == 5, F.concat(F.array(F.lit("0")), text)).when(F.size(text) == 6, text)
-    at = F.date_trunc("second", after).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(1))
-
-    def dates_of(f: Column) -> Column:
-        """The dates on which f may run, of which two are enough: today and the first after it."""
-        today = f["at"].cast("date")
-        fits = lambda d: F.array_contains(f["month"], F.month(d)) & F.array_contains(f["day"], F.day(d)) & (F.array_contains(f["weekday"], F.dayofweek(d) - 1) | ((F.dayofweek(d) == 1) & F.array_contains(f["weekday"], 7)))
-        return F.filter(F.sequence(today, F.date_add(today, 367), F.expr("interval 1 day")), fits)
-
-    def found(f: Column, days: Column) -> Column:
-        hour, minute, second = (part(f["at"]) for part in (F.hour, F.minute, F.second))
-        least = lambda name, low: F.array_min(F.filter(f[name], lambda v: v >= low))
-        first = {name: F.get(f[name], F.lit(0)) for name in bounds}
-        time = lambda h, m, s: h * 3600 + m * 60 + s
-        # today: in this minute, in this hour, in a later one
-        now = F.coalesce(
-            F.when(F.array_contains(f["hour"], hour) & F.array_contains(f["minute"], minute), time(hour, minute, least("second", second))),
-            F.when(F.array_contains(f["hour"], hour), time(hour, least("minute", minute + 1), first["second"])),
-            time(least("hour", hour + 1), first["minute"], first["second"]),
-        )
-        now = F.when(F.get(days, F.lit(0)) == f["at"].cast("date"), now)
-        later = F.when(F.get(days, F.lit(0)) == f["at"].cast("date"), F.get(days, F.lit(1))).otherwise(F.get(days, F.lit(0)))
-        return F.coalesce(F.timestamp_add("SECOND", now, F.get(days, F.lit(0)).cast("timestamp_ntz")), F.timestamp_add("SECOND", time(first["hour"], first["minute"], first["second"]), later.cast("timestamp_ntz")))
-
-    fields = F.struct(*(_cron_values(F.get(whole, F.lit(i)), *b).alias(name) for i, (name, b) in enumerate(bounds.items())), at.alias("at"))
-    next_ = _once(fields, lambda f: _once(dates_of(f), lambda days: found(f, days)))
-    return _once(next_, lambda n: F.when(n <= F.timestamp_add("DAY", F.lit(367), after.cast("timestamp_ntz")), n))
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_add("SECOND", _cron_seconds(cron, F.timestamp_diff("MICROSECOND", start, after.cast("timestamp_ntz"))), start)
 
 
 def cron_matches(cron: Column, time: Column) -> Column:
