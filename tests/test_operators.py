@@ -363,3 +363,11 @@ def test_observed_metrics(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "o"))
     lines = {r["line"] for r in sinks.exposition(sinks.observed_stats(spark, seen)).collect()}
     assert lines == {"# TYPE app_rows counter", "app_rows 10.0", "# TYPE app_largest gauge", "app_largest 9.0"}
+
+
+def test_blobs_keep_the_name_asked_for(spark, tmp_path):
+    """Files whose names were told apart by a number still say which name they were given for."""
+    rows = [("a?b.org/x", b"1"), ("a?b.org/x", b"2"), ("file_1.bin", b"3"), ("file.bin", b"4"), ("file.bin", b"5")]
+    sinks.blobs(spark.createDataFrame([(n, bytearray(b)) for n, b in rows], "n string, b binary"), "n", "b", str(tmp_path / "asked"))
+    found = spark.read.parquet(str(tmp_path / "asked")).collect()
+    assert len({r["name"] for r in found}) == 5 and sorted(r["asked"] for r in found) == ["a_b.org_x", "a_b.org_x", "file.bin", "file.bin", "file_1.bin"]

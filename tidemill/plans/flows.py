@@ -128,8 +128,8 @@ def blobs_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "blobs")
     pages = table(spark, sf_dir, "pages").select(F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise("file.bin").alias("name"), F.encode(F.concat(F.col("page_id").cast("string"), "html"), "utf-8").alias("body"))
     sinks.blobs(pages, "name", "body", path)
-    found = spark.read.parquet(path).select("name").distinct()  # all names differ
-    return found.groupBy(F.regexp_replace("name", r"^file_\d+\.bin$", "file.bin").alias("stem")).agg(F.count("*").alias("n"))
+    found = spark.read.parquet(path).groupBy("name").agg(F.min("asked").alias("stem"))  # all names differ
+    return found.groupBy("stem").agg(F.count("*").alias("n"))
 
 
 def _run(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:

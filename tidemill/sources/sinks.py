@@ -270,8 +270,8 @@ def blob_names(names: DataFrame) -> DataFrame:
 
 
 def blobs(rows: DataFrame, name: str, body: str, path: str) -> None:
-    """Binary values to Parquet with safe, distinct names (blob_names); equal values of one name are one file. Names are made without the values, which then join them."""
+    """Binary values to Parquet with safe, distinct names (blob_names), the safe name that was asked for, and body; equal values of one name are one file. Names are made without the values, which then join them."""
     safe = rows.select(safe_filename(F.col(name)).alias("_name"), F.sha2(F.col(body), 256).alias("_print"), F.col(body).cast(T.BinaryType()).alias("body"))
     named = safe.withColumn("_print", F.coalesce("_print", F.lit(""))).withColumn("_name", F.coalesce("_name", F.lit("")))
     once = named.join(blob_names(named), ["_name", "_print"]).dropDuplicates(["_name", "_print"])
-    once.select(F.col("final").alias("name"), "body").write.mode("append").parquet(path)
+    once.select(F.col("final").alias("name"), F.col("_name").alias("asked"), "body").write.mode("append").parquet(path)
