@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from tidemill.functions import text
@@ -63,3 +65,14 @@ def test_maps(spark):
     assert one(spark, text.header_value(headers, "content-type")) == "x" and one(spark, text.header_value(headers, "etag", "none")) == "none"
     for name, kind in (("MemoryError", "critical"), ("TimeoutError", "network"), ("FileNotFoundError", "network"), ("KeyError", "data"), ("Odd", "unknown")):
         assert t(spark, text.error_category, name) == kind
+
+
+def test_contexts_of_many_matches(spark):
+    """A long text is gone through once: 60,000 matches of it take no square of that."""
+    began = time.monotonic()
+    many = spark.range(1).select(F.repeat(F.lit("The \U0001f600b "), 60_000).alias("t"))
+    got = many.select(F.explode(text.regex_with_context(F.col("t"), r"\bthe\b", 3)).alias("m")).groupBy("m.match", "m.context").count().collect()
+    assert {(r["match"], r["context"]): r["count"] for r in got} == {("The", "The \U0001f600b..."): 1, ("The", "...\U0001f600b The \U0001f600b..."): 59_999}
+    assert time.monotonic() - began < 30
+    none = spark.createDataFrame([(None,), ("",), ("no match",)], "t string").select(text.regex_with_context(F.col("t"), "x+", 3).alias("c")).collect()
+    assert [r["c"] for r in none] == [None, [], []]
