@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemill import plans
 from tidemill.operators import bloom, frames, joins, windows
 
 T0 = datetime(2024, 1, 1)
@@ -61,3 +62,18 @@ def test_bloom(spark):
     for key in (["id"], ["name"], ["id", "name"]):
         assert bag(bloom.unseen(rows, seen, key)) == bag(joins.missing(rows, seen, key).select("id", "name"))
     assert bloom.unseen(rows, seen.limit(0), ["id"]).count() == 90_000 and bloom.unseen(rows.limit(0), seen, ["id"]).count() == 0
+
+
+def test_pages_go_to_python_in_small_batches(spark, sf_dir):
+    """Queries that send whole pages to Python bound the rows of a batch, so that a worker's memory does not grow with the table."""
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for name in ("encodings", "encodings_marked", "element_relocation", "healed_selectors"):
+            spark.conf.set(key, "10000")
+            plans.QUERIES[name](spark, sf_dir)
+            assert int(spark.conf.get(key)) <= 500
+            spark.conf.set(key, "7")
+            plans.QUERIES[name](spark, sf_dir)
+            assert spark.conf.get(key) == "7"
+    finally:
+        spark.conf.set(key, before)
