@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.functions import html, relocation, selectors
+from tidemill.functions import html, relocation, selectors, text
 
 PAGE = """<!DOCTYPE html><html><head><title>Shop &amp; more</title><script>if (a < b && c) {}</script></head><body>
 <div class="content main" id="top" data-n=5><h1>Main</h1><p class="intro">Intro <b>bold</b> tail</p>
@@ -149,3 +149,18 @@ def test_sql_functions(spark):
     want = html.nodes(spark.table("shop"), ["id"], "html").collect()
     assert sorted(map(repr, got)) == sorted(map(repr, want)) and {r["id"] for r in got} == {1, 3}
     assert spark.sql("SELECT decode_html_entities('a &amp; b'), detect_encoding(X'EFBBBF41', CAST(NULL AS STRING))").first()[:] == ("a & b", "utf-8")
+
+
+def test_cut_references_stay(spark):
+    """A reference without its semicolon is text, in nodes and written again; scripts, comments and attributes keep their ampersands."""
+    page = '<h1 title="a&ampb&lt;">x &amp; y &am<b>&amp</b> &lt;&#65;&#66 \ufdd0</h1><script>a && b &amp; c</script><!-- & -->'
+    n = F.col("nodes")
+    got = html.parse(spark.createDataFrame([(page,), ("<p>&copy; &</p>",)], "html string")).select(
+        html.get(n, "h1::text").alias("first"), html.get(n, "h1").alias("words"), html.get_outer(n, "h1").alias("outer"), html.get_outer(n, "script").alias("script"),
+        html.attr(n, "h1", "title").alias("title"), html.get_outer(n, "p").alias("p"), F.get(F.filter(n, lambda x: x["tag"] == "!--"), F.lit(0))["text"].alias("comment"), html.get(n, "p").alias("copy")
+    ).collect()
+    assert got[0]["first"] == "x & y &am" and got[0]["words"] == "x & y &am &amp <A&#66 \ufdd0" and got[0]["title"] == "a&ampb<"
+    assert got[0]["outer"] == '<h1 title="a&amp;ampb&lt;">x &amp; y &am<b>&amp</b> &lt;A&#66 \ufdd0</h1>' and got[0]["script"] == "<script>a && b &amp; c</script>"
+    assert got[0]["comment"] == " & " and got[1]["p"] == "<p>\u00a9 &</p>" and got[1]["copy"] == "\u00a9 &"
+    closed = spark.createDataFrame([("&amp;lt; &amp &copy; &ampx; &#38 &#x41;",)], "t string").select(text.decode_closed_entities("t").alias("t")).first()["t"]
+    assert closed == "&lt; &amp \u00a9 &ampx; &#38 A"
