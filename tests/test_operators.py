@@ -371,3 +371,10 @@ def test_blobs_keep_the_name_asked_for(spark, tmp_path):
     sinks.blobs(spark.createDataFrame([(n, bytearray(b)) for n, b in rows], "n string, b binary"), "n", "b", str(tmp_path / "asked"))
     found = spark.read.parquet(str(tmp_path / "asked")).collect()
     assert len({r["name"] for r in found}) == 5 and sorted(r["asked"] for r in found) == ["a_b.org_x", "a_b.org_x", "file.bin", "file.bin", "file_1.bin"]
+
+
+def test_first_sighting_ties(spark, tmp_path):
+    """Of events of one time that of the smallest tie passes, in whatever order they come."""
+    data = spark.createDataFrame([(40 - i, T0 + timedelta(seconds=400 * (i // 20)), 1) for i in range(40)], "event_id long, ts timestamp_ntz, user_id long").coalesce(1)
+    _stateful(spark, tmp_path, data, streaming.FirstSighting(300, tie="event_id"), "event_id long, ts timestamp, user_id long", "ties", "Append", "EventTime")
+    assert rows(spark.table("ties").select("event_id")) == [(1,), (21,)]

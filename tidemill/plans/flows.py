@@ -199,7 +199,7 @@ def stream_first_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in").withWatermark("ts", "1 minute")
-        first = stream.groupBy("user_id").transformWithStateInPandas(streaming.FirstSighting(1800), "event_id long, ts timestamp, user_id long", "Append", "EventTime")
+        first = stream.groupBy("user_id").transformWithStateInPandas(streaming.FirstSighting(1800, tie="event_id"), "event_id long, ts timestamp, user_id long", "Append", "EventTime")
         query = first.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
