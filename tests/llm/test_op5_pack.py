@@ -49,6 +49,26 @@ def test_words_are_tokens(texts):
     assert [np.frombuffer(m, "<u4").tolist() for m in made] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_words_are_learned_once(monkeypatch):
+    """A memory that runs over keeps what the words at hand need, and only words that normalisation may change go through the whole tokenizer."""
+    monkeypatch.setattr("tidemill.llm.op5_pack.MEMORY", 8)
+    tokens, learned, whole = WordTokens(default_tokenizer()), [], []
+    inner, full = tokens._learn, tokens.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, part, **how):
+            whole.extend(part)
+            return full.encode_batch_fast(part, **how)
+
+    tokens.tokenizer = Counted()
+    tokens._learn = lambda words: (learned.append(sorted(words)), inner(words))[1]
+    for text in ("alpha Beta gamma, été. delta straße", "Alpha beta. gamma ÉTÉ zeta, eta theta Straße"):
+        made = list(tokens(pa.array([text])))
+        assert np.frombuffer(made[0], "<u4").tolist() == full.encode(text, add_special_tokens=False).ids
+    assert learned[1] == ["eta", "theta", "zeta", "ÉtÉ"]
+    assert sorted(whole) == ["", ",", ".", "ÉtÉ"]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 60), max_size=60))
 def test_bins(lengths):

@@ -9,6 +9,7 @@ group is packed best fit decreasing and then improved; all bins that are still o
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from bisect import bisect_left, insort
@@ -42,6 +43,8 @@ def default_tokenizer() -> str:
 
 #: ASCII marks that are tokens apart from a letter or digit before them (an apostrophe may join what follows).
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words of small letters of Latin-1, which lower-casing and composition (NFC) leave alone.
+PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 
 class TextTokens:
@@ -73,41 +76,68 @@ class WordTokens(TextTokens):
     """Token ids of texts as little-endian bytes, each distinct word tokenised once."""
 
     def __init__(self, path: str) -> None:
+        from tokenizers.pre_tokenizers import ByteLevel
+
         super().__init__(path)
         self.memory: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
 
     def _learn(self, words: list[str]) -> None:
-        words = list(dict.fromkeys(w for w in words if w not in self.memory))
-        for a in range(0, len(words), 5000):
-            part = words[a : a + 5000]
+        """Words of PLAIN letters are one piece that normalisation leaves as it is: the model alone makes their tokens."""
+        tokenize, letters, memory, rest = self.model.tokenize, self.letters, self.memory, []
+        for w in words:
+            if PLAIN(w):
+                ids = [t.id for t in tokenize(w if w.isascii() else w.translate(letters))]
+                memory[w] = pack_ids(len(ids), ids)
+            else:
+                rest.append(w)
+        for a in range(0, len(rest), 5000):
+            part = rest[a : a + 5000]
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.memory.update(zip(part, (pack_ids(len(e), e.ids) for e in found), strict=True))
-
-    def distinct(self, words: pa.Array) -> list[bytes]:
+            memory.update(zip(part, (pack_ids(len(e), e.ids) for e in found), strict=True))
+
+    def _ids(self, words: list[str]) -> pa.Array:
+        """Ids of distinct words. A memory that would be over-full keeps what these words need."""
+        found = list(map(self.memory.get, words))
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
+            if len(self.memory) + len(new) > MEMORY:
+                self.memory = {w: x for w, x in zip(words, found, strict=True) if x is not None}
+            self._learn([words[i] for i in new])
+            for i in new:
+                found[i] = self.memory[words[i]]
+        return pa.array(found, pa.large_binary())
+
+    def distinct(self, words: pa.Array) -> pa.Array:
         """Ids of distinct words. A word that ends in marks after a letter or digit is that word and those marks; ASCII case makes no difference, but in a special token."""
         core = pc.ascii_rtrim(words, characters=MARKS)
-        low = pc.ascii_lower(core).to_pylist()
-        whole = words.to_pylist()
-        tail = [w[len(c) :] for w, c in zip(whole, low, strict=True)]
-        for i, (w, c, t) in enumerate(zip(whole, low, tail, strict=True)):
-            if "<|" in w or (t and not (c and (c[-1].isalpha() or c[-1] in "0123456789"))):
-                low[i], tail[i] = w, ""
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
-        self._learn(low)
-        self._learn(list(set(tail)))
-        memory = self.memory
-        return [memory[c] + memory[t] if t else memory[c] for c, t in zip(low, tail, strict=True)]
+        apart = pc.and_(pc.match_substring_regex(core, r"[\p{L}0-9]$"), pc.invert(pc.match_substring(words, "<|")))
+        low = pc.if_else(apart, pc.ascii_lower(core), words).dictionary_encode()
+        more = np.flatnonzero(pc.and_(apart, pc.not_equal(core, words)).to_numpy(zero_copy_only=False))
+        size = pc.utf8_length(core.take(pa.array(more))).to_numpy().tolist()
+        tails = pa.array([w[n:] for w, n in zip(_strings(words.take(pa.array(more))), size, strict=True)], pa.large_string()).dictionary_encode()
+        ids = self._ids([*_strings(low.dictionary), *_strings(tails.dictionary), ""])
+        at = np.full(len(words), len(ids) - 1)  # most words have no marks: the ids of ""
+        at[more] = len(low.dictionary) + tails.indices.to_numpy()
+        return pc.binary_join_element_wise(ids.take(low.indices), ids.take(pa.array(at)), pa.scalar(b"", pa.large_binary()))
 
     def __call__(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each text, four bytes an id; null counts as empty."""
         split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         words = split.flatten().dictionary_encode()
-        ids = self.distinct(words.dictionary)
+        ids = self.distinct(words.dictionary).take(words.indices)
         at = split.offsets.to_numpy() - split.offsets[0].as_py()
-        index = words.indices.to_numpy()
-        for lo, hi in zip(at[:-1], at[1:], strict=True):
-            yield b"".join([ids[i] for i in index[lo:hi].tolist()])
+        _, offsets, data = ids.buffers()
+        ends = np.frombuffer(offsets, np.int64)[ids.offset : ids.offset + len(ids) + 1][at] if len(ids) else np.zeros(len(at), np.int64)
+        data = memoryview(data or b"")
+        for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield bytes(data[lo:hi])
+
+
+def _strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()  # to_pylist takes several times as long
 
 
 def pack_ids(n: int, ids: list[int]) -> bytes:
