@@ -48,14 +48,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's weight asks: every one at least once, none more than twice; rows lie block by block, in the order of their places.
 
-    Places are worked out without the texts, which join them by their hash.
+    Places are worked out without the texts, which then go to their blocks at once.
     """
-    names = docs.columns
-    hashed = docs.withColumn("_text", F.sha2("text", 256))
-    slim = hashed.withColumn("_size", op7_mix.token_count()).drop("text")
-    placed = op7_mix.mix_sources(slim, max_repeats=op7_mix.MAX_REPEATS, tokens=F.col("_size"), text_hash=F.col("_text"))
-    texts = hashed.filter("text IS NOT NULL").select("_text", "text").dropDuplicates(["_text"])
-    return placed.join(texts, "_text", "left").repartition("block").sortWithinPartitions("block", "position").select(*names)
+    return op7_mix.lay_out(docs, op7_mix.MAX_REPEATS, F.sha2("text", 256))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.llm.op7_mix import ORACLE_SQL, mix_sources, op7_mix, temperature
+from tidemill.llm.op7_mix import ORACLE_SQL, lay_out, mix_sources, op7_mix, temperature
 
 
 def totals(spark, **tokens):
@@ -55,6 +55,28 @@ def test_mixture(spark, docs):
     assert mix_sources(df.limit(0), max_repeats=2.0).count() == 0
 
 
+def test_rows_are_laid_out_as_placed(spark, docs):
+    """lay_out gives the rows of mix_sources in the order of its places, with one shuffle of whole rows; equal rows stay, as often as epochs have them."""
+    rows = [(i, f"t{i} " * (i % 90), "en", "big") for i in range(900)] + [(1000 + i, "x" * 400, "en", None) for i in range(40)] + [(5, None, "en", "tiny"), (5, "", "en", "tiny"), (None, "y" * 8, "en", "tiny")]
+    df = docs(*rows)
+    out = lay_out(df, 3.0, block_tokens=2000)
+    assert out.columns == df.columns
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange" in x and "BroadcastExchange" not in x for x in plan.split("Final Plan")[-1].splitlines()) == 1
+    want = mix_sources(df, max_repeats=3.0, block_tokens=2000).orderBy("block", "position").collect()
+    blocks, parts = {}, {}
+    for r in want:
+        blocks.setdefault(r["block"], []).append((r["doc_id"], r["text"]))
+    for r in out.withColumn("_part", F.spark_partition_id()).collect():
+        parts.setdefault(r["_part"], []).append((r["doc_id"], r["text"]))
+    assert len(blocks) > 10 and sum(map(len, parts.values())) == len(want)
+    assert all(any(p[k : k + len(b)] == b for p in parts.values() for k in range(len(p) - len(b) + 1)) for b in blocks.values())
+    equal = docs(*[(None, "z" * 400, "en", "big")] * 300, *[(i, "x" * 400, "en", "tiny") for i in range(20)])
+    found = [r["doc_id"] for r in lay_out(equal, 2.0, block_tokens=2000).collect()]
+    assert found.count(None) == 300 and all(1 <= found.count(i) <= 2 for i in range(20))
+    assert lay_out(df.limit(0), 2.0).count() == 0
+
+
 def test_query_is_native_and_right(spark, sf_dir):
     import duckdb
 

@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Kept, table
+from tidemill.llm.common import Kept, small, stash, table
 
 BLOCK_TOKENS, BUCKET_ROWS, SEED = 1 << 20, 4_000, 17
 #: So many sources are broadcast, five numbers each; more are joined by a shuffle.
 FEW_SOURCES = 20_000
+#: So many beginnings of blocks, a hash and a number each, are broadcast.
+FEW_STARTS = 500_000
 
 
 def token_count() -> Column:
@@ -89,8 +91,29 @@ def mix_sources(
     """
     docs = docs.drop("epoch", "block", "position")
     names = docs.columns
+    sized = _sized(docs, tokens, text_hash)
+    plan, few = _plan(sized, target_entropy, max_repeats, budget)
+    blocks = _placed(_drawn(sized, plan, few, seed), block_tokens).filter("block IS NOT NULL")
+    order = W.partitionBy("block").orderBy(*PLACES)
+    return blocks.withColumn("_slot", _slot(seed)).withColumn("position", F.row_number().over(order).cast("long")).select(*names, "epoch", "block", "position")
+
+
+#: What orders the rows of a block.
+PLACES = ["_slot", "doc_id", "epoch", "_tokens"]
+
+
+def _slot(seed: int) -> Column:
+    return F.md5(F.concat_ws("-", F.lit(seed + 1), "epoch", "_own"))
+
+
+def _sized(docs: DataFrame, tokens: Column | None, text_hash: Column | None) -> DataFrame:
+    """docs with _tokens and _own, from which orders are hashed."""
     own = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text") if text_hash is None else text_hash)
-    sized = docs.withColumn("_tokens", token_count() if tokens is None else tokens).withColumn("_own", own)
+    return docs.withColumn("_tokens", token_count() if tokens is None else tokens).withColumn("_own", own)
+
+
+def _plan(sized: DataFrame, target_entropy: float | None, max_repeats: float | None, budget: float | None) -> tuple[DataFrame, bool]:
+    """Each source's weight, token budget, epochs and buckets, and whether sources are few."""
     kept = Kept()
     totals = kept(sized.groupBy("source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("_rows")))
     exponent, room, total = temperature(totals, target_entropy, max_repeats, budget)
@@ -104,22 +127,52 @@ def mix_sources(
         F.greatest(F.ceil(F.col("_room") / F.col("tokens")), F.lit(1)).cast("int").alias("_epochs"),
         F.ceil(F.col("_rows") / BUCKET_ROWS).cast("int").alias("_buckets"),
     )
+    return plan, few
+
+
+def _drawn(sized: DataFrame, plan: DataFrame, few: bool, seed: int) -> DataFrame:
+    """Rows once for each epoch, with their source's _key, and _h and _bucket, which order them in it."""
     drawn = sized.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("_of"))).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_epochs") - 1)))
     # a key that is never null, so that the window's partitioning serves the join with what comes before as well
     drawn = drawn.withColumn("_key", F.coalesce(F.concat(F.lit("of "), "_of"), F.lit("none"))).drop("_of")
     drawn = drawn.withColumn("_h", F.md5(F.concat_ws("-", F.lit(seed), "epoch", "_own")))
-    drawn = drawn.withColumn("_bucket", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / 2**32 * F.col("_buckets")).cast("int"))
+    return drawn.withColumn("_bucket", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / 2**32 * F.col("_buckets")).cast("int"))
+
+
+def _placed(drawn: DataFrame, block_tokens: int) -> DataFrame:
+    """drawn with each row's block, null where its source's budget has ended."""
     # the place of a document in its source's stream: what the buckets before hold, and what comes before in its own
     heads = drawn.groupBy("_key", "epoch", "_bucket").agg(F.sum("_tokens").alias("_sum"))
     before = heads.withColumn("_base", F.sum("_sum").over(W.partitionBy("_key").orderBy("epoch", "_bucket").rowsBetween(W.unboundedPreceding, -1)))
     inner = W.partitionBy("_key", "epoch", "_bucket").orderBy("_h", "doc_id", "_tokens").rowsBetween(W.unboundedPreceding, -1)
     placed = drawn.withColumn("_inner", F.coalesce(F.sum("_tokens").over(inner), F.lit(0)))
     placed = placed.join(before.select("_key", "epoch", "_bucket", "_base"), ["_key", "epoch", "_bucket"])
-    placed = placed.withColumn("_at", F.coalesce("_base", F.lit(0)) + F.col("_inner")).filter("_at < _room")
-    blocks = placed.withColumn("block", F.floor(F.col("_at") / (F.col("_weight") * block_tokens)).cast("long"))
-    slot = F.md5(F.concat_ws("-", F.lit(seed + 1), "epoch", "_own"))
-    order = W.partitionBy("block").orderBy("_slot", "doc_id", "epoch", "_tokens")
-    return blocks.withColumn("_slot", slot).withColumn("position", F.row_number().over(order).cast("long")).select(*names, "epoch", "block", "position")
+    placed = placed.withColumn("_at", F.coalesce("_base", F.lit(0)) + F.col("_inner"))
+    return placed.withColumn("block", F.when(F.col("_at") < F.col("_room"), F.floor(F.col("_at") / (F.col("_weight") * block_tokens)).cast("long")))
+
+
+def lay_out(docs: DataFrame, max_repeats: float, text_hash: Column | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
+    """docs (doc_id, text, source, ...), each row as often as mix_sources gives it, block by block in the order of the places there; whole rows are shuffled once.
+
+    Places are worked out on ids, sizes and hashes. As a bucket is in the order of a hash, the hashes at which its blocks begin say where
+    a row belongs, so rows go from where they lie to their block. Rows that are equal in id and text, and lie where blocks begin, are dealt to these.
+    """
+    names = docs.columns
+    sized = _sized(docs.drop("epoch", "block", "position"), None, text_hash)
+    slim = stash(sized.select("doc_id", "source", "_tokens", "_own"), "sizes")
+    plan, few = _plan(slim, None, max_repeats, None)
+    plan = stash(plan, "plan")
+    lean = _drawn(slim, plan, few, seed).select("_key", "epoch", "_bucket", "_h", "doc_id", "_tokens", "_weight", "_room")
+    firsts = _placed(lean, block_tokens).groupBy("_key", "epoch", "_bucket", "block").agg(F.min("_h").alias("from"))
+    starts = stash(firsts.groupBy("_key", "epoch", "_bucket").agg(F.sort_array(F.collect_list(F.struct("from", "block"))).alias("_starts")), "starts")
+    entries = starts.agg(F.sum(F.size("_starts"))).first()[0] or 0
+    rows = _drawn(sized, plan, few, seed).join(small(starts, entries, FEW_STARTS), ["_key", "epoch", "_bucket"])
+    here = F.filter("_starts", lambda x: x["from"] == F.col("_h"))
+    any_of = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.size("_here")).cast("int")
+    last = F.element_at(F.filter("_starts", lambda x: x["from"] <= F.col("_h")), -1)
+    rows = rows.withColumn("_here", here).withColumn("block", F.when(F.size("_here") > 1, F.get("_here", any_of)).otherwise(last)["block"])
+    rows = rows.filter("block IS NOT NULL").withColumn("_slot", _slot(seed)).select(*dict.fromkeys([*names, "block", *PLACES]))
+    return rows.repartition("block").sortWithinPartitions("block", *PLACES).select(*names)
 
 
 MAX_REPEATS = 2.0
