@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import op1_minhash, op2_langid, op5_pack, op7_mix, op8_toxicity
-from tidemill.llm.common import stash, table
+from tidemill.llm.common import stash, table, without
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,15 +33,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = docs.filter("doc_id IS NOT NULL")
     if known.groupBy("doc_id").count().filter("count > 1").isEmpty():
         classes = stash(op1_minhash.minhash_dedup(docs), "classes")
-        gone = classes.filter("NOT kept").select("doc_id")
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        return without(docs, classes.filter("NOT kept").select("doc_id"), "doc_id")
     # every (doc_id, text) gets a number of its own, in the order of doc_id
     marked = known.withColumn("_print", F.coalesce(F.sha2("text", 256), F.lit("")))
     numbers = stash(marked.select("doc_id", "_print").distinct().repartitionByRange("doc_id", "_print").sortWithinPartitions("doc_id", "_print").withColumn("_number", F.monotonically_increasing_id()), "numbers")
     one = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns))
     apart = stash(marked.join(numbers, ["doc_id", "_print"]).groupBy("_number").agg(one.alias("_row")).select("_row.*", "_number"), "texts")
     classes = stash(op1_minhash.minhash_dedup(apart.select(F.col("_number").alias("doc_id"), "text")), "classes")
-    kept = apart.join(classes.filter("kept").select(F.col("doc_id").alias("_number")), "_number")
+    kept = without(apart, classes.filter("NOT kept").select(F.col("doc_id").alias("_number")), "_number")
     return kept.select(*docs.columns).union(docs.filter("doc_id IS NULL"))
 
 

@@ -1,3 +1,6 @@
+import random
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -80,5 +83,43 @@ def test_repeated_ids(spark, sf_dir):
     assert sum(x in out for x in [(7, long["b"]), (7, near)]) == 1
 
 
+def shuffled(spark, work) -> int:
+    """Bytes that work() writes to shuffles."""
+    sc = spark.sparkContext
+    group = f"shuffled-{time.time()}"
+    sc.setJobGroup(group, "")
+    try:
+        work()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    jobs, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {k for j in jobs.getJobIdsForGroup(group) for k in jobs.getJobInfo(j).stageIds}
+    return sum(store.lastStageAttempt(k).shuffleWriteBytes() for k in stages)
+
+
+@pytest.mark.parametrize("again", [[], [(7, "a b c")]])
+def test_texts_stay_where_they_lie(spark, again):
+    """Near-dedup shuffles the texts that have a partner, not all of them to drop a few; with ids that repeat, all are shuffled to find what repeats, but not once more."""
+    schema = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").schema
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"{rng.getrandbits(64):x}" for _ in range(n))
+    rows = [(i, text(1500)) for i in range(300)]
+    rows += [(1000 + i, rows[i][1]) for i in range(5)] + [(2000 + i, rows[10 + i][1] + " end") for i in range(5)] + again
+    size = sum(len(t) for _, t in rows)
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], schema).repartition(4).persist()
+    docs.count()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    found = []
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        written = shuffled(spark, lambda: found.extend(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        docs.unpersist()
+    assert sorted(found) == sorted([*range(300), *(i for i, _ in again)])
+    assert written < (0.4 if not again else 2.2) * size
+
+
 def test_stages():
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None

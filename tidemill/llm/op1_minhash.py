@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import ROWS_A_FILE, joined, roots, stash, table, text_batches
+from tidemill.llm.common import ROWS_A_FILE, joined, only, roots, stash, table, text_batches
 from tidemill.llm.words import chunks, mix, tidy, words
 
 TREES, MIN_DEPTH, DEPTH, NEAR, SKETCH = 28, 6, 8, 6, 128
@@ -106,7 +106,7 @@ MET = ["a", "b", "same", "dense", "tree", "head", "label", "n", "s1", "s2"]
 
 
 def _neighbours(min_depth: int, near: int, floor: int, percent: int):
-    """Over labels in order: pairs of near neighbours that share min_depth values, whose sizes allow percent, and whose sketches agree in floor bits; dense marks the pairs of a region that reaches beyond its texts' neighbours. The first and last rows come as they are, with b null."""
+    """Over labels in order: pairs of near neighbours that share min_depth values, whose sizes allow percent, and whose sketches agree in floor bits; dense marks the texts (a = b) of a region that reaches beyond its texts' neighbours, some more than once. The first and last rows come as they are, with b null."""
 
     def border(rows: pa.RecordBatch) -> pa.RecordBatch:
         none = lambda kind: pa.nulls(rows.num_rows, kind)
@@ -133,16 +133,21 @@ def _neighbours(min_depth: int, near: int, floor: int, percent: int):
             new[1:] = (head[1:] != head[:-1]).any(1) | (tree[1:] != tree[:-1])
             region = np.cumsum(new)
             out = []
-            for step in range(1, near + 2):
+            for step in range(1, near + 1):
                 x = np.flatnonzero(region[step:] == region[:-step])
                 x = x[x + step >= old]
-                if step > near:
-                    out.append((x, x + step, np.zeros(len(x), np.int32), np.full(len(x), True)))
-                    continue
                 same = np.bitwise_count(~(sketch[x] ^ sketch[x + step])).sum(1).astype(np.int32)
                 small, large = np.minimum(size[x], size[x + step]), np.maximum(size[x], size[x + step])
                 good = (same >= floor) & (100 * small >= percent * large)
                 out.append((x[good], x[good] + step, same[good], np.full(good.sum(), False)))
+            # near + 2 texts of one region in a row
+            x = np.flatnonzero(region[near + 1 :] == region[: -near - 1])
+            x = x[x + near + 1 >= old]
+            runs = np.zeros(n + 1, np.int64)
+            runs[x] += 1
+            runs[x + near + 2] -= 1
+            x = np.flatnonzero(np.cumsum(runs[:-1]))
+            out.append((x, x, np.zeros(len(x), np.int32), np.full(len(x), True)))
             x, y, same, dense = (np.concatenate(v) for v in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -218,16 +223,15 @@ def _met(percent: int):
     return run
 
 
-def _rest(dense: DataFrame, labels: DataFrame, comps: DataFrame, sets_of, percent: int, min_depth: int) -> DataFrame:
-    """Exact links (a, b) between the components of regions that are denser than their texts' neighbours reach.
+def _rest(dense: DataFrame, comps: DataFrame, sets_of, percent: int) -> DataFrame:
+    """Exact links (a, b) between the components of regions that are denser than their texts' neighbours reach; dense: their texts (tree, head, a), some more than once.
 
     Only regions that hold more than one component matter. A text is at home in the largest of its regions, or the largest
     that is HOPS regions from there; the texts at home in one are dealt to blocks, large components by themselves, and every two blocks that a region has in common
     are compared on full sets, but for two of one component: a group of near copies that is linked already is met only
     by what stands apart from it. Only links leave a pair of blocks.
     """
-    regions = dense.select("tree", "head").distinct()
-    inside = labels.select("tree", F.substring("label", 1, 2 * min_depth).alias("head"), "doc_id").join(regions, ["tree", "head"])
+    inside = dense.select("tree", "head", F.col("a").alias("doc_id")).distinct()
     inside = inside.join(comps, inside["doc_id"] == comps["node"], "left").select(F.xxhash64("tree", "head").alias("region"), "doc_id", F.coalesce("component", "doc_id").alias("c"))
     inside = stash(inside, "dense")
     mixed = stash(inside.groupBy("region").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size")).filter("x < y").select("region", "size"), "mixed")
@@ -289,8 +293,8 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 80, trees: int
     pairs = met.filter("NOT dense AND a < b").groupBy("a", "b").agg(F.max("same").alias("same"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        """Full sets of the texts of ids."""
-        texts = slim.join(ids.distinct(), "doc_id").dropDuplicates(["doc_id", "text"])
+        """Full sets of the texts of ids, which are few of all where copies and near copies are."""
+        texts = only(slim, stash(ids.distinct(), "ids"), "doc_id").dropDuplicates(["doc_id", "text"])
         return stash(texts.mapInArrow(_sets(width), "doc_id long, grams array<long>"), "sets")
 
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
@@ -302,7 +306,7 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 80, trees: int
         comps = joined(comps, more)
     dense = met.filter("dense")
     if not dense.isEmpty():
-        more = stash(_rest(dense, labels, comps, sets_of, percent, min_depth).repartition(parts), "links")
+        more = stash(_rest(dense, comps, sets_of, percent).repartition(parts), "links")
         if not more.isEmpty():
             comps = joined(comps, more)
     heads_of = classes.join(comps.hint("merge"), classes["rep"] == comps["node"], "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("head"))
