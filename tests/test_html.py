@@ -164,3 +164,37 @@ def test_cut_references_stay(spark):
     assert got[0]["comment"] == " & " and got[1]["p"] == "<p>\u00a9 &</p>" and got[1]["copy"] == "\u00a9 &"
     closed = spark.createDataFrame([("&amp;lt; &amp &copy; &ampx; &#38 &#x41;",)], "t string").select(text.decode_closed_entities("t").alias("t")).first()["t"]
     assert closed == "&lt; &amp \u00a9 &ampx; &#38 A"
+
+
+def test_references_as_written(spark):
+    """Texts with their references as the page has them, beside the decoded ones; scripts, attributes and tags are as before."""
+    page = "<title>a &quot;b&#34; &amp;lt; &am &copy;</title><p x='&quot;&amp'>&nbsp;<b>&lt;i&gt;</b> c&amp;</p><script>a &amp; b &quot</script><x&amp;y>z</x&amp;y><i>no</i>"
+    n = F.col("nodes")
+    r = html.parse(spark.createDataFrame([(page,)], "html string")).select(
+        html.get(n, "title", written=True), html.get(n, "title"), html.get(n, "p", written=True), html.getall(n, "p::text", written=True), html.attr(n, "p", "x"), html.get(n, "script", written=True),
+        html.get_outer(n, "script"), html.get(n, "i", written=True), html.get_outer(n, "title"), F.transform(F.filter(n, lambda x: x["raw"].isNotNull()), lambda x: x["raw"]), F.exists(n, lambda x: x["tag"] == "x&amp;y")
+    ).first()
+    assert r[0] == "a &quot;b&#34; &amp;lt; &am &copy;" and r[1] == 'a "b" &lt; &am ©' and r[2] == "&nbsp; &lt;i&gt; c&amp;" and r[3] == ["&nbsp;", "c&amp;"]
+    assert r[4] == '"&amp' and r[5] == "a &amp; b &quot" and r[6] == "<script>a &amp; b &quot</script>" and r[7] == "no"
+    assert r[8] == '<title>a "b" &amp;lt; &am ©</title>' and r[9] == ["a &quot;b&#34; &amp;lt; &am &copy;", "&nbsp;", "&lt;i&gt;", " c&amp;"] and r[10]
+
+
+def _as_sql(spark, folder, query):
+    """Rows of a query and of its SQL over pages whose titles and headings hold many kinds of references."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    kinds = ["&quot;x&quot; &amp; y", "&amp;quot;", "&lt;b&gt; &#39;c&#x27;", "cut &quo", "&copy; &middot; &amp", "plain", "&nbsp;z"]
+    body = '<html lang="en"><head><title>{0}</title></head><body><nav><ul><li><a href="/a">one</a></li><li><a href="/b">two</a></li></ul></nav><div class="ad">x</div><article><h1>{0}</h1></article></body></html>'
+    spark.createDataFrame([(i, body.format(k)) for i, k in enumerate(kinds)], "page_id long, html string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    found = con.execute(entry.oracle_sql()[query])
+    names = [c[0] for c in found.description]
+    return sorted(tuple(r) for r in entry.queries()[query](spark, str(folder)).select(*names).collect()), sorted(found.fetchall())
+
+
+def test_titles_equal_sql(spark, tmp_path):
+    got, want = _as_sql(spark, tmp_path, "html_select")
+    assert len(got) == 7 and got == want
