@@ -198,3 +198,8 @@ def _as_sql(spark, folder, query):
 def test_titles_equal_sql(spark, tmp_path):
     got, want = _as_sql(spark, tmp_path, "html_select")
     assert len(got) == 7 and got == want
+
+
+def test_headings_equal_sql(spark, tmp_path):
+    got, want = _as_sql(spark, tmp_path, "selector_axes")
+    assert len(got) == 7 and got == want
