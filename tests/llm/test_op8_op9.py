@@ -145,3 +145,26 @@ def test_queries(spark, sf_dir):
         out = query(spark, sf_dir)
         assert out.columns == ["doc_id", "held_out", "score", "predicted"] and out.count() == n
         assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % by == rest) for r in out.select("doc_id", "held_out").collect())
+
+
+def test_texts_beyond_the_sample(spark, labelled):
+    """With a sample far smaller than the table all labelled texts are learned from, in shards, and neither partitions nor repeated rows change the model."""
+    docs, labels = labelled
+    learn = labels.filter("doc_id % 6 <> 0")
+    model, again = fit_toxicity(docs, learn, sample=4, shard=150), fit_toxicity(docs.repartition(7).union(docs.limit(5)), learn, sample=4, shard=150)
+    assert (model.embed == again.embed).all() and (model.flat() == again.flat()).all() and (model.lang_logs == again.lang_logs).all()
+    assert model.langs == ["", "en"]
+    out = score_texts(docs, model).join(labels, "doc_id").filter("doc_id % 6 = 0").collect()
+    assert sum(r["predicted"] == r["toxic"] for r in out) >= 0.95 * len(out)
+
+
+def test_long_texts_are_learned_from(spark, labelled):
+    """Texts of more characters than the sample takes are no longer left out: words that only they have are counted, but for those of texts that calibrate."""
+    docs, labels = labelled
+    long = [(5000 + i, f"only{i} " + "en9 en8 " * (op8_toxicity.MAX_CHARS // 8), "en") for i in range(12)]
+    model = fit_toxicity(docs.union(spark.createDataFrame(long, docs.schema)), labels.union(spark.createDataFrame([(i, 0, 1) for i, _, _ in long], labels.schema)), epochs=1)
+    bucket = [features(*bytes_of(f"only{i}"))[0][0, 0] % op8_toxicity.LANG_BUCKETS for i in range(12)]
+    heard = (model.lang_logs[bucket].max(1) > model.lang_logs.min() + 1).sum()
+    assert 4 <= heard <= 12
+    alone = fit_toxicity(spark.createDataFrame(long, docs.schema), spark.createDataFrame([(i, i % 2, 1) for i, _, _ in long], labels.schema), epochs=1)
+    assert score_texts(docs, alone).count() == 1200
